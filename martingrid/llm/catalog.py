@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from martingrid.llm import bpe, chat, langid, licences, mixing, pii, quality, simhash, sql, transport
+from martingrid.llm import bpe, chat, langid, licences, mixing, pii, quality, simhash, sql, transport, wrappers
 from martingrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -47,6 +48,10 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_pii_pseudonyms, op2_quality_rules, op3_transport_streams, op4_language_id, op5_chat_format, op6_byte_bpe, op7_licence_scan, op9_mix_sources, op10_simhash_near_dedup)
+QUERIES = (op1_pii_pseudonyms, op2_quality_rules, op3_transport_streams, op4_language_id, op5_chat_format, op6_byte_bpe, op7_licence_scan, op8_html_wrappers, op9_mix_sources, op10_simhash_near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
