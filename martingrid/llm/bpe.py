@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose ids a task remembers; the memory is emptied when full.
 REMEMBERED = 300_000
+_WORD = (1 << 64) - 1
 
 
 class PerfectHash:
@@ -56,7 +57,10 @@ class PerfectHash:
         self.shift = self.shift.tolist()
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 40 & 0xFFFFFFFF) + d * (h >> 72 | 1)) % self.n
+        # mixed anew for each d: a plain stride could walk a short cycle of taken slots for ever
+        x = ((h >> 64) + d * 0x9E3779B97F4A7C15) & _WORD
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _WORD
+        return (x ^ x >> 27) % self.n
 
     def lookup(self, key: bytes) -> int:
         h = xxhash.xxh3_128_intdigest(key)
