@@ -30,6 +30,13 @@ class RunSpec:
     volatility: float = 0.2
     payoff: str = "european_call"
     block_size: int = 2048
+    model: str = "gbm"
+    antithetic: bool = False
+    initial_variance: float = 0.04
+    reversion: float = 1.5
+    long_variance: float = 0.04
+    variance_volatility: float = 0.3
+    correlation: float = -0.7
 
     def __post_init__(self):
         if not (1 <= self.scenarios <= rng.MAX_SCENARIOS and 1 <= self.steps <= rng.MAX_STEPS and self.block_size >= 1):
@@ -38,6 +45,14 @@ class RunSpec:
             raise ValueError(f"unknown payoff {self.payoff}")
         if not all(map(math.isfinite, (self.maturity, self.spot, self.strike, self.rate, self.volatility))) or min(self.maturity, self.spot, self.strike, self.volatility) <= 0:
             raise ValueError("parameters must be finite, and all but the rate above zero")
+        if self.antithetic and (self.scenarios % 2 or self.block_size % 2):
+            raise ValueError("antithetic runs need even scenario counts and block sizes")
+        if self.model not in ("gbm", "heston"):
+            raise ValueError(f"unknown model {self.model}")
+        if self.model == "heston":
+            variance = (self.initial_variance, self.reversion, self.long_variance, self.variance_volatility)
+            if not all(math.isfinite(x) and x >= 0 for x in variance) or not -1 <= self.correlation <= 1:
+                raise ValueError("variance parameters must be finite and not negative, the correlation within -1 and 1")
 
     @property
     def drift(self) -> float:
@@ -79,9 +94,9 @@ def one_step_payoffs(spark: SparkSession, spec: RunSpec) -> DataFrame:
     return normals(rows, spec.seed).select("scenario", F.expr(f"scenario div {spec.block_size}").alias("block_id"), paid.alias("payoff"))
 
 
-def _draws(seed: int, scenario: np.ndarray, step: int) -> np.ndarray:
+def _draws(seed: int, scenario: np.ndarray, step: int, dimension: int = 0) -> np.ndarray:
     m, s32 = np.uint64(rng.MASK), np.uint64(32)
-    c = [scenario & m, (scenario >> s32) | np.uint64(step << 8), np.zeros_like(scenario), np.zeros_like(scenario)]
+    c = [scenario & m, (scenario >> s32) | np.uint64(step << 8), np.full_like(scenario, dimension), np.zeros_like(scenario)]
     k = [seed & rng.MASK, seed >> 32 & rng.MASK]
     for _ in range(rng.ROUNDS):
         p, q = np.uint64(rng.MULTIPLIERS[0]) * c[0], np.uint64(rng.MULTIPLIERS[1]) * c[2]
@@ -96,15 +111,47 @@ def _draws(seed: int, scenario: np.ndarray, step: int) -> np.ndarray:
     return np.where(u < rng.ACKLAM_LOW, ends, np.where(u > 1 - rng.ACKLAM_LOW, -ends, middle))
 
 
-def _payoffs(spec: RunSpec, scenario: np.ndarray) -> np.ndarray:
+def _walk(spec: RunSpec, scenario: np.ndarray, sign: float) -> np.ndarray:
     price, total = np.full(len(scenario), spec.spot), np.zeros(len(scenario))
+    dt = spec.maturity / spec.steps
+    root, other = math.sqrt(dt), math.sqrt(max(0.0, 1 - spec.correlation**2))
+    variance = np.full(len(scenario), spec.initial_variance)
     for step in range(spec.steps):
-        price = price * np.exp(spec.drift + spec.diffusion * _draws(spec.seed, scenario, step))
+        z = sign * _draws(spec.seed, scenario, step)
+        if spec.model == "gbm":
+            price = price * np.exp(spec.drift + spec.diffusion * z)
+        else:  # full truncation: the variance may go below zero, its square root and drift use the positive part
+            above = np.maximum(variance, 0.0)
+            spread = np.sqrt(above) * root
+            price = price * np.exp((spec.rate - 0.5 * above) * dt + spread * z)
+            shock = spec.correlation * z + other * sign * _draws(spec.seed, scenario, step, 1)
+            variance = variance + spec.reversion * (spec.long_variance - above) * dt + spec.variance_volatility * spread * shock
         total += price
     settled = price if spec.payoff == "european_call" else total / spec.steps
     return spec.discount * np.maximum(settled - spec.strike, 0.0)
 
 
+def _payoffs(spec: RunSpec, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scenarios and payoffs of a block; antithetic runs give the mean of each pair under its even number."""
+    if spec.antithetic:
+        even = np.arange(start, end, 2, dtype=np.uint64)
+        return even, 0.5 * (_walk(spec, even, 1.0) + _walk(spec, even, -1.0))
+    scenario = np.arange(start, end, dtype=np.uint64)
+    return scenario, _walk(spec, scenario, 1.0)
+
+
+def path_payoffs(spark: SparkSession, spec: RunSpec) -> DataFrame:
+    """(scenario, payoff) of every path or antithetic pair, without a shuffle."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for _, start, end in f.itertuples(index=False):
+                scenario, x = _payoffs(spec, start, end)
+                yield pd.DataFrame({"scenario": scenario.astype(np.int64), "payoff": x})
+
+    return blocks(spark, spec).mapInPandas(run, "scenario long, payoff double")
+
+
 STATS = "block_id long, n long, mean double, m2 double, min double, max double"
 
 
@@ -114,7 +161,7 @@ def block_stats(spark: SparkSession, spec: RunSpec) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for b, start, end in f.itertuples(index=False):
-                x = _payoffs(spec, np.arange(start, end, dtype=np.uint64))
+                _, x = _payoffs(spec, start, end)
                 if not np.isfinite(x).all():
                     raise ArithmeticError(f"block {b} has a payoff that is not finite")
                 mean = m2 = 0.0
@@ -151,12 +198,12 @@ def reduce_blocks(stats: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def price(spark: SparkSession, spec: RunSpec) -> DataFrame:
-    """One row: price, standard error, interval, and for European calls the closed form and the error against it."""
+    """One row: price, standard error, interval, and for European calls of constant volatility the closed form and the error against it."""
     whole = reduce_blocks(block_stats(spark, spec), -(-spec.scenarios // spec.block_size))
     n, mean, m2 = F.col("n"), F.col("mean"), F.col("m2")
     low, high = confidence(n, mean, m2)
     exact = black_scholes_call(*[F.lit(x) for x in (spec.spot, spec.strike, spec.rate, spec.volatility, spec.maturity)])
-    oracle = exact if spec.payoff == "european_call" else F.lit(None).cast("double")
+    oracle = exact if spec.payoff == "european_call" and spec.model == "gbm" else F.lit(None).cast("double")
     return whole.select(n, mean.alias("price"), standard_error(n, m2).alias("standard_error"), low.alias("ci_low"), high.alias("ci_high"), "min", "max", oracle.alias("analytic")).withColumn(
         "analytic_error", F.col("price") - F.col("analytic")
     )

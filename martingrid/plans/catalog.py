@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martingrid.functions import pricing, rng
-from martingrid.operators.simulate import RunSpec, block_stats, blocks, normals, one_step_payoffs, price, reduce_blocks
+from martingrid.operators.simulate import RunSpec, block_stats, blocks, normals, one_step_payoffs, path_payoffs, price, reduce_blocks
+from martingrid.plans import tables
 from martingrid.functions.pricing import black_scholes_call, confidence, standard_error
 
 SPEC = RunSpec(seed=0x0123456789ABCDEF, scenarios=50_000)
 ASIAN = RunSpec(seed=42, scenarios=20_000, steps=8, payoff="asian_call", block_size=512)
+HESTON = RunSpec(seed=0x484553544F4E, scenarios=5_000, steps=4, model="heston", block_size=512)
+PAIRED = RunSpec(seed=91, scenarios=20_000, antithetic=True)
+WALKED = RunSpec(seed=42, scenarios=5_000, steps=4, payoff="asian_call", block_size=512)
 DIGITS = 8
 
 
@@ -52,11 +58,27 @@ def m13_black_scholes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("price", F.round(black_scholes_call(F.col("spot"), F.lit(100.0), F.lit(0.05), F.col("volatility"), F.lit(1.0)), DIGITS))
 
 
-QUERIES = (s1_blocks, r1_philox_words, r8_standard_normal, m8_european_payoff, a1_block_stats, t1_price, t1_price_asian, m13_black_scholes)
+def _paid(spark: SparkSession, spec: RunSpec) -> DataFrame:
+    return path_payoffs(spark, spec).withColumn("payoff", F.round("payoff", DIGITS))
+
+
+def m5_heston_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paid(spark, HESTON)
+
+
+def m3_antithetic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paid(spark, PAIRED)
+
+
+def m9_asian_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paid(spark, WALKED)
 
 
-def _philox_sql(n: int, seed: int) -> str:
-    sql = f"SELECT i AS scenario, (i & {rng.MASK})::BIGINT AS w0, (i >> 32)::BIGINT AS w1, 0::BIGINT AS w2, 0::BIGINT AS w3 FROM range({n}) t(i)"
+QUERIES = (m5_heston_paths, m3_antithetic_pairs, m9_asian_paths, *tables.QUERIES, s1_blocks, r1_philox_words, r8_standard_normal, m8_european_payoff, a1_block_stats, t1_price, t1_price_asian, m13_black_scholes)
+
+
+def _philox_sql(n: int, seed: int, step: int = 0, dimension: int = 0) -> str:
+    sql = f"SELECT i AS scenario, (i & {rng.MASK})::BIGINT AS w0, ((i >> 32) + {step << 8})::BIGINT AS w1, {dimension}::BIGINT AS w2, 0::BIGINT AS w3 FROM range({n}) t(i)"
     key = [seed & rng.MASK, seed >> 32 & rng.MASK]
     m0, m1 = rng.MULTIPLIERS
     for _ in range(rng.ROUNDS):
@@ -75,19 +97,42 @@ def _poly(coefficients, x: str) -> str:
     return out
 
 
-def _normal_sql(n: int, seed: int) -> str:
+def _normal_sql(n: int, seed: int, step: int = 0, dimension: int = 0) -> str:
     ends = lambda x: f"{_poly(rng.ACKLAM_C, x)} / {_poly(rng.ACKLAM_D, x)}"
     return f"""SELECT scenario, u, CASE WHEN u < {rng.ACKLAM_LOW} THEN {ends('t')} WHEN u > {1 - rng.ACKLAM_LOW} THEN -({ends('t')})
       ELSE {_poly(rng.ACKLAM_A, 'q')} * (u - 0.5) / {_poly(rng.ACKLAM_B, 'q')} END AS z
     FROM (SELECT scenario, u, (u - 0.5) * (u - 0.5) AS q, sqrt(-2.0::DOUBLE * ln(least(u, 1 - u))) AS t
       FROM (SELECT scenario, CASE WHEN raw = 0 THEN pow(2.0::DOUBLE, -54) ELSE raw::DOUBLE * pow(2.0::DOUBLE, -53) END AS u
-        FROM (SELECT scenario, w0 * 2097152 + (w1 >> 11) AS raw FROM ({_philox_sql(n, seed)}))))"""
+        FROM (SELECT scenario, w0 * 2097152 + (w1 >> 11) AS raw FROM ({_philox_sql(n, seed, step, dimension)}))))"""
 
 
 def _payoff_sql(s: RunSpec) -> str:
     return f"SELECT scenario, scenario // {s.block_size} AS block_id, {s.discount!r}::DOUBLE * greatest({s.spot!r}::DOUBLE * exp({s.drift!r}::DOUBLE + {s.diffusion!r}::DOUBLE * z) - {s.strike!r}::DOUBLE, 0.0::DOUBLE) AS payoff FROM ({_normal_sql(s.scenarios, s.seed)})"
 
 
+def _path_sql(s: RunSpec) -> str:
+    """Step after step: price, variance and the sum of prices, by joins of the draws."""
+    dt = s.maturity / s.steps
+    d = lambda x: f"{x!r}::DOUBLE"
+    sql = f"SELECT i AS scenario, {d(s.spot)} AS s, {d(s.initial_variance)} AS v, 0::DOUBLE AS total FROM range({s.scenarios}) t(i)"
+    for step in range(s.steps):
+        z0, z1 = (_normal_sql(s.scenarios, s.seed, step, k) for k in (0, 1))
+        up, v = f"s * exp({d(s.drift)} + {d(s.diffusion)} * a.z)", "v"
+        if s.model == "heston":
+            root = f"sqrt(greatest(v, 0)) * {d(math.sqrt(dt))}"
+            up = f"s * exp(({d(s.rate)} - 0.5::DOUBLE * greatest(v, 0)) * {d(dt)} + {root} * a.z)"
+            shock = f"({d(s.correlation)} * a.z + {d(math.sqrt(1 - s.correlation**2))} * b.z)"
+            v = f"v + {d(s.reversion)} * ({d(s.long_variance)} - greatest(v, 0)) * {d(dt)} + {d(s.variance_volatility)} * {root} * {shock}"
+        sql = f"SELECT scenario, s, v, total + s AS total FROM (SELECT p.scenario, {up} AS s, {v} AS v, total FROM ({sql}) p JOIN ({z0}) a ON p.scenario = a.scenario JOIN ({z1}) b ON p.scenario = b.scenario)"
+    settled = "s" if s.payoff == "european_call" else f"total / {s.steps}"
+    return f"SELECT scenario, round({d(s.discount)} * greatest({settled} - {d(s.strike)}, 0), {DIGITS}) AS payoff FROM ({sql})"
+
+
+def _pair_sql(s: RunSpec) -> str:
+    leg = lambda sign: f"greatest({s.spot!r}::DOUBLE * exp({s.drift!r}::DOUBLE {sign} {s.diffusion!r}::DOUBLE * z) - {s.strike!r}::DOUBLE, 0)"
+    return f"SELECT scenario, round({s.discount!r}::DOUBLE * 0.5 * ({leg('+')} + {leg('-')}), {DIGITS}) AS payoff FROM ({_normal_sql(s.scenarios, s.seed)}) WHERE scenario % 2 = 0"
+
+
 def _cdf(x: str) -> str:
     a = f"abs({x})"
     below = f"exp(-({a}) * ({a}) / 2) * {_poly(pricing.HART_P, a)} / {_poly(pricing.HART_Q, a)}"
@@ -101,7 +146,10 @@ def _cdf(x: str) -> str:
 def oracle_sql() -> dict[str, str]:
     s, paid, r = SPEC, _payoff_sql(SPEC), lambda x, d=DIGITS: f"round({x}, {d})"
     half = f"{pricing.CI_Z}::DOUBLE * stddev_samp(payoff) / sqrt(count(*))"
-    return {
+    return tables.ORACLES | {
+        "m5_heston_paths": _path_sql(HESTON),
+        "m3_antithetic_pairs": _pair_sql(PAIRED),
+        "m9_asian_paths": _path_sql(WALKED),
         "s1_blocks": f"SELECT i AS block_id, i * {s.block_size} AS start_scenario, least((i + 1) * {s.block_size}, {s.scenarios}) AS end_scenario FROM range({-(-s.scenarios // s.block_size)}) t(i)",
         "r1_philox_words": _philox_sql(s.scenarios, s.seed),
         "r8_standard_normal": f"SELECT scenario, u, {r('z')} AS z FROM ({_normal_sql(s.scenarios, s.seed)})",

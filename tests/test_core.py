@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from martingrid.functions import pricing, rng
-from martingrid.operators.simulate import RunSpec, block_stats, blocks, one_step_payoffs, price, reduce_blocks
+from martingrid.operators import gate, validation
+from martingrid.operators.simulate import RunSpec, block_stats, blocks, one_step_payoffs, path_payoffs, price, reduce_blocks
 
 
 def test_raw_words(spark):
@@ -54,3 +55,36 @@ def test_bad_specifications():
     for bad in ({"scenarios": 0}, {"volatility": 0.0}, {"rate": math.inf}, {"payoff": "put"}):
         with pytest.raises(ValueError):
             RunSpec(**bad)
+
+
+def test_constant_variance_equals_plain_paths(spark):
+    """Without volatility of variance both models walk the same paths, for either payoff."""
+    same = {"seed": 0xC01157A7, "scenarios": 256, "steps": 16, "volatility": 0.25, "block_size": 64}
+    flat = {"model": "heston", "initial_variance": 0.0625, "long_variance": 0.0625, "reversion": 1.0, "variance_volatility": 0.0, "correlation": -0.8}
+    for payoff in ("european_call", "asian_call"):
+        a, b = ({r.scenario: r.payoff for r in path_payoffs(spark, RunSpec(payoff=payoff, **same, **more)).collect()} for more in ({}, flat))
+        assert len(a) == 256 and all(abs(a[k] - b[k]) < 2e-12 for k in a)
+
+
+def test_pairs_lower_the_error(spark):
+    plain, paired = (price(spark, RunSpec(seed=91, scenarios=20_000, antithetic=x)).first() for x in (False, True))
+    assert paired.n == 10_000 and paired.standard_error < plain.standard_error
+    for bad in ({"antithetic": True, "scenarios": 101}, {"model": "heston", "correlation": 2.0}, {"model": "none"}):
+        with pytest.raises(ValueError):
+            RunSpec(**bad)
+
+
+def test_invariants_and_gaps(spark):
+    nan, inf = math.nan, math.inf
+    cases = [(0, 0.0, 0.0, 0.0, 0.0, 0, None), (2, 1.0, 0.0, 1.0, 1.0, 3, "count"), (0, 1.0, 0.0, 0.0, 0.0, 0, "empty"), (2, nan, 0.0, 1.0, 1.0, 2, "finite"), (2, 1.0, inf, 1.0, 1.0, 2, "finite"), (2, 1.0, -1.0, 1.0, 1.0, 2, "m2"), (2, 1.0, 0.0, 2.0, 1.0, 2, "range"), (2, 3.0, 0.0, 1.0, 2.0, 2, "mean"), (1, 1.0, 1.0, 1.0, 1.0, 1, "single")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n long, mean double, m2 double, low double, high double, e long, why string")
+    for r in rows.withColumn("got", validation.invariant_error(*[F.col(c) for c in ("e", "n", "mean", "m2", "low", "high")])).collect():
+        assert r.got == r.why
+    blocks_ = spark.createDataFrame([(0, 0, 10), (1, 10, 20), (2, 25, 30), (3, 29, 40)], "block_id long, start_scenario long, end_scenario long")
+    assert [(r.block_id, r.problem) for r in validation.universe_gaps(blocks_).orderBy("block_id").collect()] == [(1, "gap"), (2, "overlap")]
+
+
+def test_gate_drift(spark):
+    rising = spark.createDataFrame([(i, 1000.0 + 10 * i) for i in range(20)], "i long, rate double")
+    got = gate.theil_sen(rising, "i", "rate").first()
+    assert got.pairs == 190 and got.slope == 10 and abs(got.drift_pct - 190 / 1095 * 100) < 1e-9
