@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Vocabulary files up to this size are broadcast to the tasks.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens whose ids a task remembers; the memory is emptied when full.
+#: Pre-tokens whose ids a task remembers, in each of two generations.
 REMEMBERED = 300_000
+#: Tokens decoded at a time.
+DECODED_AT_ONCE = 1 << 18
 _WORD = (1 << 64) - 1
 
 
@@ -68,88 +72,155 @@ class PerfectHash:
         return -d - 1 if d < 0 else self._slot(h, d)
 
 
+@lru_cache(maxsize=4)
+def builtin_pattern(pattern: str) -> str | None:
+    r"""The same pattern for the faster standard ``re``, good for texts without code points above U+FFFF.
+
+    \p{L}, \p{N}, \s and \S become ranges that the ``regex`` module itself gives;
+    a pattern with other escapes, flags or groups has no such form (None).
+    """
+    plane = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+
+    def ranges(cls: str) -> str:
+        hits = np.array([ord(c) for c in regex.findall(cls, "".join(plane))])
+        runs = np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)
+        return "".join(f"\\u{r[0]:04x}-\\u{r[-1]:04x}" for r in runs)
+
+    known = {c: ranges(c) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside = [], False
+    for m in re.finditer(r"\\p\{[LN]\}|\\.|\(\?.|.", pattern, re.S):
+        t = m.group()
+        if t in known:
+            t = known[t] if inside else f"[{known[t]}]"
+        elif t == r"\S" and not inside:
+            t = f"[^{known[chr(92) + 's']}]"
+        elif t[0] == "\\" or t[:2] == "(?" and t not in ("(?!", "(?=", "(?:"):
+            return None
+        elif t in "[]":
+            inside = t == "["
+        out.append(t)
+    return "".join(out)
+
+
 class Codec:
-    """Ids of a text as tiktoken's encode_ordinary gives them, by two tiers."""
+    """Ids of a text as tiktoken's encode_ordinary gives them, by two tiers.
+
+    Built once on the driver and broadcast; what a task remembers is not sent.
+    """
 
     def __init__(self, vocabulary: bytes, pattern: str):
         pairs = [line.split() for line in vocabulary.splitlines() if line.strip()]
-        self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.bytes_of = {b: a for a, b in self.ranks.items()}
-        self.find = regex.compile(pattern).findall
-        keys = list(self.ranks)
-        self.hash = PerfectHash(keys)
-        self.keys, self.ids = [b""] * self.hash.n, [0] * self.hash.n
-        for k, s in zip(keys, self.hash.slot_of, strict=True):
-            self.keys[s], self.ids[s] = k, self.ranks[k]
-        self.memo: dict[str, bytes] = _Memo(self)
-
-    def token_ids(self, piece: bytes) -> list[int]:
+        ranks = {base64.b64decode(a): int(b) for a, b in pairs}
+        self.hash = PerfectHash(list(ranks))
+        keys, ids = [b""] * self.hash.n, [0] * self.hash.n
+        for (k, r), s in zip(ranks.items(), self.hash.slot_of, strict=True):
+            keys[s], ids[s] = k, r
+        self.hash.slot_of = []
+        self.__setstate__((keys, ids, self.hash, pattern, builtin_pattern(pattern)))
+
+    def __getstate__(self):
+        return self.keys, self.ids, self.hash, self.pattern, self.plain
+
+    def __setstate__(self, state):
+        self.keys, self.ids, self.hash, self.pattern, self.plain = state
+        self.ranks = dict(zip(self.keys, self.ids, strict=True))
+        self.id_bytes = {k: i.to_bytes(4, "little") for k, i in self.ranks.items()}
+        self.find = regex.compile(self.pattern).findall
+        self.find_plain = re.compile(self.plain).findall if self.plain else self.find
+        bytes_of = dict(zip(self.ids, self.keys, strict=True))
+        tokens = [bytes_of.get(i, b"") for i in range(max(self.ids, default=-1) + 1)]
+        self.length = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.start = np.array([0, *accumulate(map(len, tokens))], dtype=np.int64)[:-1]
+        self.blob = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.memo = _Memo(self)
+
+    def piece_ids(self, piece: bytes) -> bytes:
         slot = self.hash.lookup(piece)
-        return [self.ids[slot]] if self.keys[slot] == piece else self.merge(piece)
+        return self.id_bytes[piece] if self.keys[slot] == piece else self.merge(piece)
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> bytes:
         """Lowest rank first, leftmost among equals; n log n for a piece of n bytes."""
         n, rank = len(piece), self.ranks.get
-        end = list(range(1, n + 1))  # a live part starts at i and ends before end[i]
-        before = list(range(-1, n - 1))
-        alive = bytearray(b"\1" * n)
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        end = list(range(1, n + 1))  # the part at i ends before end[i]
+        before = list(range(-1, n))
+        pair = [rank(piece[i : i + 2]) for i in range(n - 1)]  # rank of the part at i with the next; None: no token
+        pair.append(None)
+        heap = [r * n + i for i, r in enumerate(pair) if r is not None]
         heapify(heap)
         while heap:
-            _, i, stop = heappop(heap)
-            j = end[i]
-            if not alive[i] or j >= n or end[j] != stop:
+            r, i = divmod(heappop(heap), n)
+            if pair[i] != r:  # merged since: the bytes from i on have grown, so the rank is another
                 continue
-            end[i], alive[j] = stop, 0
+            j = end[i]
+            stop = end[i] = end[j]
+            pair[j] = pair[i] = None
             if stop < n:
                 before[stop] = i
                 if (r := rank(piece[i : end[stop]])) is not None:
-                    heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
-                heappush(heap, (r, p, stop))
+                    pair[i] = r
+                    heappush(heap, r * n + i)
+            if (p := before[i]) >= 0:
+                pair[p] = r = rank(piece[p:stop])
+                if r is not None:
+                    heappush(heap, r * n + p)
         ids, i = [], 0
         while i < n:
-            ids.append(self.ranks[piece[i : end[i]]])
+            ids.append(self.id_bytes[piece[i : end[i]]])
             i = end[i]
-        return ids
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, self.find(text)))
+        pieces = (self.find if _HIGH(text) else self.find_plain)(text)
+        ids = b"".join(map(self.memo.__getitem__, pieces))
+        self.memo.age()
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """Gathers the bytes of all tokens at once, some DECODED_AT_ONCE tokens at a time."""
+        tokens, out = np.frombuffer(ids, "<u4"), []
+        for a in range(0, len(tokens), DECODED_AT_ONCE):
+            t = tokens[a : a + DECODED_AT_ONCE]
+            n = self.length[t]
+            stop = np.cumsum(n)
+            out.append(self.blob[np.repeat(self.start[t] - stop + n, n) + np.arange(stop[-1])].tobytes())
+        return b"".join(out)
+
+
+_HIGH = re.compile("[\U00010000-\U0010ffff]").search
 
 
 class _Memo(dict):
-    """Answers of both tiers for pre-tokens seen before."""
+    """Answers of both tiers for pre-tokens seen lately; the older generation goes when the newer is full."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.token_ids(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.codec.piece_ids(piece.encode("utf-8", "surrogatepass"))
         self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
 
 @lru_cache(maxsize=4)
 def codec(vocabulary: bytes, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
-def _task_codec(shared, pattern: str) -> Codec:
-    return codec(shared.value, pattern)
-
-
-def _broadcast(df: DataFrame, path: str):
+def _broadcast(df: DataFrame, path: str, pattern: str):
+    """The codec, whose size is that of the vocabulary."""
     with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"the vocabulary is over {MAX_VOCABULARY_BYTES} bytes")
-    return df.sparkSession.sparkContext.broadcast(data)
+    return df.sparkSession.sparkContext.broadcast(codec(data, pattern))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
@@ -158,10 +229,10 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     Null and empty texts have no ids.  One row per row; other columns are ignored;
     an empty table gives an empty result.  Very long pre-tokens take n log n time.
     """
-    shared = _broadcast(docs, vocabulary_path)
+    shared = _broadcast(docs, vocabulary_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _task_codec(shared, pattern)
+        c = shared.value
         for b in batches:
             ids = [c.encode(t or "") for t in map(pa.StringScalar.as_py, b.column("text"))]
             digests = [hashlib.sha256(x).hexdigest() for x in ids]
@@ -175,11 +246,11 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """``encoded`` with the column decoded (binary); null ids decode to nothing; a column of that name is replaced."""
-    shared = _broadcast(encoded, vocabulary_path)
+    shared = _broadcast(encoded, vocabulary_path, pattern)
     rest = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _task_codec(shared, pattern)
+        c = shared.value
         for b in batches:
             out = [c.decode(x or b"") for x in map(pa.BinaryScalar.as_py, b.column("ids"))]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), pa.array(out, pa.binary())], [*rest, "decoded"])
