@@ -9,17 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 BUCKETS, DIM = 1 << 14, 16
-#: Character n-grams of a word padded by < and >; a word counts as one more feature.
+#: Character n-grams of a word, whose ends count as characters; a whole word is one more feature.
 GRAMS = (1, 2, 3, 4)
 #: At most so many labelled rows, and so many words of each, train the model.
 MAX_ROWS, MAX_TRAIN_WORDS = 4_000, 400
@@ -28,15 +27,66 @@ PIECE_WORDS = (2, 40)
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: A tenth of the pieces calibrates; predictions below this confidence are rejected if ``reject`` is set.
 CALIBRATION, MIN_CONFIDENCE = 0.1, 0.4
-#: Words whose features a task remembers; emptied when full.
-REMEMBERED = 200_000
-_LETTERS = regex.compile(r"\p{L}+")
+#: Long texts are read in blocks of so many code points, cut between words.
+BLOCK = 1 << 20
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _features(word: str) -> np.ndarray:
-    w = f"<{word}>"
-    grams = [w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]
-    return np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], dtype=np.int32)
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _SPREAD
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every feature of a lower-case text: hashes over its code points, no loop over words.
+
+    An n-gram may begin or end with one of a word's two ends but never spans words.
+    """
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    letter = _letters()[codes]
+    first = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    if not len(first):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    last = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1  # one past the word
+    word = np.cumsum(np.concatenate(([False], letter[1:] & ~letter[:-1]))) - 1
+    c = (np.where(letter, codes, 0) + 1).astype(np.uint64)
+    buckets, words = [], []
+    h, inner = np.zeros(len(c), dtype=np.uint64), np.ones(len(c), dtype=bool)
+    for n in GRAMS:
+        m = len(c) - n + 1
+        if m <= 0:
+            break
+        h = h[:m] * _STEP + c[n - 1 :]
+        if n > 2:  # all but the two ends of a window are letters
+            inner = inner[:m] & letter[n - 2 : n - 2 + m]
+        ok = np.flatnonzero(inner if n > 2 else letter[:m] | letter[n - 1 :])
+        buckets.append(_bucket(h[ok] + np.uint64(n)))
+        words.append(word[ok + (~letter[ok]).astype(np.int64)])
+    powers = np.cumprod(np.full(int((last - first).max()) + 1, _STEP))
+    place = np.arange(len(c)) - first[np.maximum(word, 0)]
+    terms = np.where(letter, c * powers[np.where(letter, place, 0)], np.uint64(0))
+    buckets.append(_bucket(np.add.reduceat(terms, first)))
+    words.append(np.arange(len(first)))
+    return np.concatenate(buckets), np.concatenate(words)
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """The text in blocks of at most BLOCK code points, cut before a character that is no letter where there is one."""
+    a = 0
+    while len(text) - a > BLOCK:
+        b = a + BLOCK
+        while b > a and text[b].isalpha():
+            b -= 1
+        b = b if b > a else a + BLOCK
+        yield text[a:b]
+        a = b
+    yield text[a:]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -53,28 +103,16 @@ class Model:
     #: Below this no prediction is made.
     least: float = 0.0
 
-    def __post_init__(self):
-        self.memo: dict[str, tuple[np.ndarray, int]] = {}
-
-    def _word(self, w: str) -> tuple[np.ndarray, int]:
-        got = self.memo.get(w)
-        if got is None:
-            if len(self.memo) >= REMEMBERED:
-                self.memo.clear()
-            f = _features(w[:64])
-            got = self.memo[w] = (self.embed[f].sum(0), len(f))
-        return got
-
-    def mean(self, words) -> np.ndarray | None:
-        total, n = np.zeros(DIM), 0
-        for w in words:
-            v, k = self._word(w)
-            total += v
-            n += k
-        return total / n if n else None
+    def mean(self, text: str) -> np.ndarray | None:
+        """Mean embedding of all features of a text."""
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        for part in _blocks(text.lower()):
+            counts += np.bincount(_features(part)[0], minlength=BUCKETS)
+        n = counts.sum()
+        return counts.astype(self.embed.dtype) @ self.embed / n if n else None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        h = self.mean(m.group() for m in _LETTERS.finditer((text or "").lower()))
+        h = self.mean(text or "")
         if h is None or not self.languages:
             return UNKNOWN, 0.0
         p = _softmax(h @ self.weight.T / self.temperature)
@@ -86,49 +124,61 @@ def fit(rows: list[tuple[str, str]], reject: float = 0.0) -> Model:
     """A model from (text, language) rows; an empty list gives one that knows no language."""
     languages = sorted({y for _, y in rows})
     rng = np.random.default_rng(SEED)
-    pieces: list[tuple[np.ndarray, int]] = []
+    pieces: list[tuple[np.ndarray, np.ndarray, int]] = []  # buckets, their shares, language
     for text, y in rows:
-        words = _LETTERS.findall(text.lower())[:MAX_TRAIN_WORDS]
-        at = 0
-        while at < len(words):
+        buckets, words = _features(text.lower())
+        order = np.argsort(words, kind="stable")
+        buckets, words, at = buckets[order], words[order], 0
+        total = min(MAX_TRAIN_WORDS, int(words[-1]) + 1) if len(words) else 0
+        while at < total:
             n = int(rng.integers(*PIECE_WORDS))
-            pieces.append((np.concatenate([_features(w[:64]) for w in words[at : at + n]]), languages.index(y)))
+            lo, hi = np.searchsorted(words, (at, min(at + n, total)))
+            ids, times = np.unique(buckets[lo:hi], return_counts=True)
+            pieces.append((ids, times / (hi - lo), languages.index(y)))
             at += n
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     weight = np.zeros((len(languages), DIM))
     order = rng.permutation(len(pieces))
     held, train = order[: int(len(order) * CALIBRATION)], order[int(len(order) * CALIBRATION) :]
     # rare languages weigh as much as frequent ones
-    counts = np.bincount([pieces[i][1] for i in train], minlength=max(1, len(languages)))
+    counts = np.bincount([pieces[i][2] for i in train], minlength=max(1, len(languages)))
     balance = np.sqrt(counts.max(initial=1) / np.maximum(counts, 1))
     steps = max(1, EPOCHS * len(train))
     for t, i in enumerate(np.concatenate([rng.permutation(train) for _ in range(EPOCHS)]) if len(train) else []):
-        f, y = pieces[i]
-        h = embed[f].mean(0)
-        g = _softmax(weight @ h)
+        f, part, y = pieces[i]
+        own = embed[f]
+        h = part @ own
+        z = weight @ h
+        g = np.exp(z - z.max())
+        g /= g.sum()
         g[y] -= 1
         g *= RATE * (1 - t / steps) * balance[y]
         back = g @ weight
         weight -= np.outer(g, h)
-        np.subtract.at(embed, f, back / len(f))
+        embed[f] = own - part[:, None] * back
     model = Model(languages, embed, weight, least=reject)
     if len(held):
-        z = np.array([weight @ embed[pieces[i][0]].mean(0) for i in held])
-        y = np.array([pieces[i][1] for i in held])
+        z = np.array([weight @ (pieces[i][1] @ embed[pieces[i][0]]) for i in held])
+        y = np.array([pieces[i][2] for i in held])
         loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
     return model
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS, reject: float = 0.0) -> Model:
-    """A model from rows (text, lang) with both set: the ``max_rows`` of least text hash.
+    """A model from rows (text, lang) with both set: the ``max_rows`` different texts of least hash.
 
-    The order by hash makes the sample the same whatever the partitioning.
+    Copies count once, so that a large group of them leaves room for others.  The order
+    by hash makes the sample the same whatever the partitioning.  Hashes alone are
+    sorted; then the rows up to the last hash are fetched.
     """
     words = F.substring(F.col("text"), 1, MAX_TRAIN_WORDS * 20).alias("text")
-    good = labelled.where("text is not null and lang is not null")
-    picked = good.select(words, "lang", F.xxhash64("text", "lang").alias("h")).orderBy("h", "lang", "text").limit(max_rows)
-    return fit([(r["text"], r["lang"]) for r in picked.collect()], reject)
+    good = labelled.where("text is not null and lang is not null").select(words, "lang").withColumn("h", F.xxhash64("text", "lang"))
+    last = good.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([], reject)
+    picked = good.where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r"))
+    return fit([(r["text"], r["lang"]) for r in sorted(picked.select("h", "r.*").collect(), key=lambda r: r["h"])], reject)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
