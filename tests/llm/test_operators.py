@@ -1,4 +1,7 @@
 import hashlib
+import pickle
+import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -74,6 +77,20 @@ def test_language(spark, docs):
     assert langid.predict(docs, m).count() == docs.count()
 
 
+def test_language_features():
+    for text in ("ab c", "", "123", "a", " żółć, d'été x1y  zz"):
+        words = re.findall(r"[^\W\d_]+", text)
+        own = [len(w) + 1 + sum(max(0, len(w) + 3 - n) for n in (2, 3, 4)) for w in words]
+        assert np.bincount(langid._features(text)[1], minlength=len(own)).tolist() == own
+    assert sorted(langid._features("un deux")[0]) == sorted(langid._features("deux  un")[0])
+    m = langid.fit([("un deux", "fr"), ("one two", "en")])
+    assert np.allclose(m.mean("un deux " * 300_000), m.mean("un deux"))
+
+
+def test_bpe_without_builtin_form():
+    assert bpe.builtin_pattern(r"(?i:a)|\p{Lu}") is None and re.compile(bpe.builtin_pattern(public_tokenizers.PATTERN))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", catalog.TRAP), (1, 1, "assistant", "a<\\|b"), (1, 100, "assistant", None), (1, 101, "assistant", "c\n<|im_sep|>"), (2, None, None, "x"), (2, 1, "us\ner", "")]
     made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -87,7 +104,11 @@ def test_bpe_equals_tiktoken(docs):
     path = public_tokenizers.path(catalog.VOCABULARY)
     c = bpe.codec(open(path, "rb").read(), public_tokenizers.PATTERN)
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
-    for t in [*(r.text or "" for r in docs.collect()), "z" * 3000, "日本 🎉", "<|endoftext|>", " \n\n x"]:
+    c = pickle.loads(pickle.dumps(c))
+    draw = random.Random(1)
+    letters = [*map(chr, range(1, 0x250)), *map(chr, (0x2028, 0x3000, 0x1F600, 0x10400, 0x660, 0x200D)), *" " * 200, *"'strevmld" * 20]
+    strange = ["".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(2_000)]
+    for t in [*strange, *(r.text or "" for r in docs.collect()), "z" * 3000, "日本 🎉", "<|endoftext|>", " \n\n x"]:
         assert c.encode(t) == np.array(e.encode_ordinary(t), "<u4").tobytes() and c.decode(c.encode(t)) == t.encode()
 
 
