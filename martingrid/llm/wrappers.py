@@ -1,18 +1,22 @@
 """Main text of web pages by wrapper inference: union-free regular expressions per host.
 
-A page becomes a stream of tags and text slots.  Streams of one host are aligned one
-after another: what matches stays, neighbouring repeats become a repeated group, what
-only some pages have becomes optional, and text becomes a slot.  The expression says
-which slots lie in the article; pages are read through their host's slots.
-
-Wrappers are merged in two steps, first those of each partition, then those of a host,
-so that a host with very many pages costs a task one wrapper per partition and never
-all of its pages.  A wrapper is bounded by ``MAX_NODES``; beyond it, the slots' own
-places decide, by the same rule that labels them.
+A page becomes a stream of blocks, each a place (open elements) and a text.  Neighbouring
+repeats become one repeated node.  The streams of a host are aligned one after another:
+what matches stays, what only some pages have becomes optional, and the text of a node is
+a constant while all its pages agree and a field (``VARIES``) once two differ.  A page is
+read by aligning it with its host's whole expression: a constant of ``MIN_PAGES`` different
+articles is template and goes, fields stay.  Markup that names its purpose (``OUTSIDE``,
+``INSIDE``) bounds the part that is read so; the page's own article element counts only
+for that page.
+
+Pages of one shape are folded by a commutative sum.  Shapes are aligned in sorted order,
+first within ``BUCKETS`` by hash, then over the buckets, so the expression does not depend
+on how rows are dealt out.  Nothing is cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -35,7 +39,14 @@ OUTSIDE = frozenset("head nav header footer aside form button dialog menu".split
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer header menu nav navbar newsletter notice popup promo related share sharing sidebar social sponsored subscribe".split())
 #: Elements that hold an article.
 INSIDE = frozenset(("article", "main"))
-MAX_NODES = 2_000
+#: The text of a node whose pages differ.
+VARIES = "*"
+#: A text is template if so many different articles of the host have no other there.
+MIN_PAGES = 3
+#: Parts that the shapes of one host are aligned in first.
+BUCKETS = 64
+#: Shapes that a task holds before it hands them on.
+HELD = 20_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
 _CLASSES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -98,44 +109,62 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def squeeze(nodes: list[str], longest: int = 4) -> list[str]:
-    """Neighbouring repeats of up to ``longest`` nodes become one repeated group, marked +."""
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def squeeze(found: list[tuple[str, str]], longest: int = 4) -> list[list]:
+    """[place, marks, text digest, block numbers] by node; neighbouring repeats of up to ``longest`` nodes are one group, marked +."""
+    nodes = [[p, "", digest(t), [i]] for i, (p, t) in enumerate(found)]
     for width in range(1, longest + 1):
-        out: list[str] = []
+        out: list[list] = []
         for n in nodes:
             out.append(n)
-            a, b = out[-2 * width : -width], out[-width:]
-            if len(a) == width and [x.rstrip("+") for x in a] == [x.rstrip("+") for x in b]:
+            if len(out) >= 2 * width and all(out[-k][0] == out[-k - width][0] for k in range(1, width + 1)):
+                for x, y in zip(out[-2 * width : -width], out[-width:], strict=True):
+                    x[1], x[2] = "+", x[2] if x[2] == y[2] else VARIES
+                    x[3] += y[3]
                 del out[-width:]
-                out[-width:] = [x if x.endswith("+") else x + "+" for x in a]
         nodes = out
     return nodes
 
 
-def skeleton(page: str) -> list[str]:
-    """The places of a page's slots in order, repeats squeezed."""
-    return squeeze([p for p, _ in blocks(page)])
+def least(a: list[str], b: list[str]) -> list[str]:
+    """The least ``MIN_PAGES`` of both sets of page digests, which is enough to count up to that."""
+    return a if a == b else sorted({*a, *b})[:MIN_PAGES]
+
+
+def joined(x: list, y: list) -> list:
+    """The node of both pages or wrappers: [place, marks, text, page digests]."""
+    return [x[0], "".join(c for c in "+?" if c in x[1] + y[1]), x[2] if x[2] == y[2] else VARIES, least(x[3], y[3])]
+
 
+def opcodes(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """Alignment of two lists of places; the common head and tail need no search."""
+    n, m = len(a), len(b)
+    head = next((i for i in range(min(n, m)) if a[i] != b[i]), min(n, m))
+    tail = next((i for i in range(min(n, m) - head) if a[n - 1 - i] != b[m - 1 - i]), min(n, m) - head)
+    yield "equal", 0, head, 0, head
+    for op, i, j, k, q in SequenceMatcher(None, a[head : n - tail], b[head : m - tail], autojunk=False).get_opcodes():
+        yield op, i + head, j + head, k + head, q + head
+    yield "equal", n - tail, n, m - tail, m
 
-def align(a: list[str], b: list[str]) -> list[str]:
-    """The wrapper of both: shared nodes stay, nodes of one side become optional, marked ?; a mark of either side is kept."""
-    if not a or a == b:
-        return a or b
-    bare = lambda x: x.rstrip("+?")
-    out: list[str] = []
-    left, right = [bare(x) for x in a], [bare(x) for x in b]
-    for op, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
+
+def align(a: list[list], b: list[list]) -> list[list]:
+    """The wrapper of both: shared nodes are joined, nodes of one side become optional, marked ?."""
+    if not a:
+        return b
+    out: list[list] = []
+    for op, i, j, k, m in opcodes([x[0] for x in a], [x[0] for x in b]):
         if op == "equal":
-            for x, y in zip(a[i:j], b[k:m], strict=True):
-                marks = (x + y)[0:0] + "".join(c for c in "+?" if x.endswith((c, c + "?")) or y.endswith((c, c + "?")))
-                out.append(bare(x) + marks)
+            out += [joined(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
-            out += [x if x.endswith("?") else x + "?" for x in (*a[i:j], *b[k:m])]
-    return squeeze(out)[:MAX_NODES] if len(out) > MAX_NODES else out
+            out += [[x[0], x[1] if "?" in x[1] else x[1] + "?", *x[2:]] for x in (*a[i:j], *b[k:m])]
+    return out
 
 
 def is_article(place: str, has_article: bool) -> bool:
-    """Whether a slot is of the article: under an article element if the wrapper has one, and under nothing that is not of it."""
+    """Whether a block can be of the article: under an article element if the page has one, and under nothing that is not of it."""
     parts = [x.split(".") for x in place.split("/") if x]
     if any(p[0] in OUTSIDE or OUTSIDE_WORDS.intersection(p[1:]) for p in parts):
         return False
@@ -143,43 +172,97 @@ def is_article(place: str, has_article: bool) -> bool:
     return inside or not has_article and all(p[0] != "title" for p in parts)
 
 
-def slots(wrapper: list[str]) -> dict[str, bool]:
-    places = [n.rstrip("+?") for n in wrapper]
-    has = any(x.split(".")[0] in INSIDE for p in places for x in p.split("/"))
-    return {p: is_article(p, has) for p in places}
+def candidates(found: list[tuple[str, str]]) -> list[bool]:
+    """``is_article`` of each block of a page."""
+    has = any(x.split(".")[0] in INSIDE for p, _ in found for x in p.split("/"))
+    known = {p: is_article(p, has) for p, _ in found}
+    return [known[p] for p, _ in found]
+
+
+def match(places: list[str], wrapper: list[list]) -> list[list | None]:
+    """The wrapper's node for each place of a page, or none."""
+    out: list[list | None] = [None] * len(places)
+    for op, i, j, k, m in opcodes(places, [x[0] for x in wrapper]):
+        if op == "equal":
+            out[i:j] = wrapper[k:m]
+    return out
 
 
-def main_text(page: str | None, wrapper: list[str]) -> str:
-    """The article's blocks, joined by spaces, as the wrapper's slots say; slots it does not know are judged by their place."""
-    known = slots(wrapper)
+def main_text(page: str | None, wrapper: list[list], memo: dict[str, list[list | None]] | None = None) -> str:
+    """The article's blocks, joined by spaces: the page's fields, without the constants of the wrapper.  ``memo`` keeps matches by shape."""
     found = blocks(page or "")
-    has = any(x.split(".")[0] in INSIDE for p, _ in found for x in p.split("/"))
-    # an article element of the page itself outweighs a host whose other pages have none
-    return " ".join(t for p, t in found if (known[p] if p in known and not has else is_article(p, has)))
+    nodes = squeeze(found)
+    shape = "\n".join(n[0] for n in nodes)
+    memo = {} if memo is None else memo
+    if shape not in memo:
+        memo[shape] = match([n[0] for n in nodes], wrapper)
+    keep = candidates(found)
+    for n, w in zip(nodes, memo[shape], strict=True):
+        if w and w[2] == n[2] != VARIES and len(w[3]) >= MIN_PAGES:
+            for i in n[3]:
+                keep[i] = False
+    return " ".join(t for (_, t), k in zip(found, keep, strict=True) if k)
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
 
 
+def page_state(page: str) -> tuple[str, list]:
+    """Shape of a page, and [marks, texts, page digests] of it; pages with one article count as one."""
+    found = blocks(page)
+    nodes = squeeze(found)
+    own = digest("\n".join(f"{p} {t}" for (p, t), k in zip(found, candidates(found), strict=True) if k))
+    return "\n".join(n[0] for n in nodes), [[n[1] for n in nodes], [n[2] for n in nodes], [own]]
+
+
+def folded(x: list, y: list) -> list:
+    """The state of both; order does not matter."""
+    return [[a or b for a, b in zip(x[0], y[0], strict=True)], [a if a == b else VARIES for a, b in zip(x[1], y[1], strict=True)], least(x[2], y[2])]
+
+
 def infer(pages: DataFrame) -> DataFrame:
     """(host, wrapper): the union-free expression of each host over all its pages, as a JSON list of nodes."""
+    names = ("host", "shape", "state")
+    schema = pa.schema([(n, pa.string()) for n in names])
 
     def partial(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[str, list[str]] = {}
+        have: dict[tuple[str, str], list] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(host, shape, json.dumps(s)) for (host, shape), s in have.items()]
+            have.clear()
+            return pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=schema)
+
         for b in frames:
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                have[host] = align(have.get(host, []), skeleton(page or "")[:MAX_NODES])
-        yield pa.RecordBatch.from_pydict({"host": list(have), "wrapper": [json.dumps(w) for w in have.values()]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
-
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        whole: list[str] = []
-        for w in sorted(parts["wrapper"]):
+                shape, state = page_state(page or "")
+                if shape:
+                    have[host, shape] = folded(have[host, shape], state) if (host, shape) in have else state
+            if len(have) > HELD:
+                yield out()
+        yield out()
+
+    def of_bucket(parts: pd.DataFrame) -> pd.DataFrame:
+        have: dict[str, list] = {}
+        for shape, s in zip(parts["shape"], map(json.loads, parts["state"]), strict=True):
+            have[shape] = folded(have[shape], s) if shape in have else s
+        whole: list[list] = []
+        for shape in sorted(have):
+            marks, texts, prints = have[shape]
+            whole = align(whole, [[p, m, t, prints] for p, m, t in zip(shape.split("\n"), marks, texts, strict=True)])
+        return pd.DataFrame({"host": parts["host"].iloc[:1], "bucket": parts["bucket"].iloc[:1], "wrapper": [json.dumps(whole)]})
+
+    def of_host(parts: pd.DataFrame) -> pd.DataFrame:
+        whole: list[list] = []
+        for w in parts.sort_values("bucket")["wrapper"]:
             whole = align(whole, json.loads(w))
         return pd.DataFrame({"host": parts["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
 
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string"))
-    return rows.mapInArrow(partial, "host string, wrapper string").distinct().groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    shapes = rows.mapInArrow(partial, "host string, shape string, state string").withColumn("bucket", F.pmod(F.xxhash64("shape"), F.lit(BUCKETS)))
+    buckets = shapes.groupBy("host", "bucket").applyInPandas(of_bucket, "host string, bucket long, wrapper string")
+    return buckets.groupBy("host").applyInPandas(of_host, "host string, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -191,13 +274,18 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
+        memo: dict[str | None, tuple[list, dict]] = {}
         for b in frames:
             texts = []
             for page, w in zip(map(pa.StringScalar.as_py, b.column("html")), b.column("wrapper").to_pylist(), strict=True):
-                if len(memo) > 1_000:
+                if len(memo) > 200:
                     memo.clear()
-                texts.append(main_text(page, memo.setdefault(w, json.loads(w)) if w else []))
+                if w not in memo:
+                    memo[w] = json.loads(w) if w else [], {}
+                wrapper, shapes = memo[w]
+                if len(shapes) > 1_000:
+                    shapes.clear()
+                texts.append(main_text(page, wrapper, shapes))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

@@ -125,6 +125,22 @@ def test_pages(spark):
     assert got == {1: "Head A&B bold two three", 2: "Head A&B bold other three", 3: "", 4: ""}
 
 
+def test_pages_are_read_through_their_wrapper(spark):
+    wide = "".join(f'<section id="s{i}"><p>part {{0}} of {i}</p></section>' for i in range(2_100))
+    body = '<div class="top">Our paper</div><div class="story"><p>first of {0}</p><p>second of {0}</p></div><div class="end">All rights {1}</div>'
+    page = lambda x, n: f"<html><body>{x.format(n, 'reserved')}</body></html>"
+    rows = [(i, "http://a.example/", page(body, i)) for i in range(4)]
+    rows += [(4, "http://a.example/", page("<article><p>own {0}</p></article>", 4))]  # another page's article takes nothing away
+    rows += [(i, "http://b.example/", page(wide + "<p>always</p>", i)) for i in range(5, 9)]  # over 2,000 slots
+    rows += [(i, "http://c.example/", page(body, 0)) for i in range(9, 13)]  # copies of one page say nothing
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(table).collect()}
+    assert all(got[i] == f"first of {i} second of {i}" for i in range(4)) and got[4] == "own 4"
+    assert all(got[i] == " ".join(f"part {i} of {k}" for k in range(2_100)) for i in range(5, 9))
+    assert all(got[i] == "Our paper first of 0 second of 0 All rights reserved" for i in range(9, 13))
+    assert got == {r.page_id: r.text for r in wrappers.extract(table.repartition(7)).collect()}
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(0 <= r.taken <= 3 * r["size"] for r in rows)
