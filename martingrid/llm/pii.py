@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data, in Spark expressions only.
 
-Candidates are found by one pattern; numbers are validated (card check digit, phone
-and social-security ranges, IP octets, calendar dates) and those that fail are left
-alone.  The value becomes a short array of numbers, each below its own modulus, and a
+Candidates are found by one pattern; numbers are validated (card check digit, digits of
+a phone number, social-security ranges, IP octets, calendar dates) and those that fail
+are left alone.  In a run of digit groups each part that is laid out as a card is tried.  The value becomes a short array of numbers, each below its own modulus, and a
 keyed Feistel network over them (each number in turn shifted by a digest of the
 others) permutes exactly the values of that format.  Equal values get equal
 pseudonyms in all documents, different values different ones.  The permutation of a
@@ -11,6 +11,8 @@ row needs nothing but that row, so there is no shuffle and no shared state.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,27 @@ ROUNDS = 4
 #: 400 Gregorian years, from this day, have so many days; the two factors below multiply to it.
 FIRST_DAY, DAY_FACTORS = "1700-01-01", (189, 773)
 
+#: So many days of 400 years come after the twelfth of their month; moduli that multiply to it.
+LATE_FACTORS = (9, 9833)
+#: Layouts of card numbers, each from the first digit on.
+LAYOUTS = (r"^[0-9]{13,19}(?![0-9])", r"^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}(?![0-9])", r"^[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])", r"^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])")
+#: Times that the parts of a run are permuted until it has the same parts as before; one time is enough for nearly all runs.
+WALKS = 64
+
+#: What a run of digit groups ends before, as it is of another kind.
+_OTHER = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9-])|[0-9]+[./]"
 #: Patterns by kind; no two kinds match at the same place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
-    "phone": r"\+1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?:(?:\+1(?:[ .-]|(?=\())|(?<![\w.+-])(?:1[ .-])?)(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.)[0-9]{4}"
+    r"|\+1 [0-9]{3} [0-9]{3} [0-9]{4}|\+[0-9](?:[ .()-]{0,2}[0-9]){7,14})(?![0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
-    "date": r"(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])",
+    "date": r"(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![\w-])|(?=[Tt][0-9]))",
+    "slashed": r"(?<![\w/-])(?:[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])",
+    "dotted": r"(?<![\w.-])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![\w-]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-    "secret": r"(?<!\w)[0-9a-f]{32,64}(?!\w)",
+    "card": rf"(?<![\w.-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:(?: (?!{_OTHER})|-)[0-9]++(?![A-Za-z_]|-(?![0-9])))*+(?![\w-])",
+    "secret": r"(?:(?<!\w)|(?<=\b0[xX]))(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|[0-9a-fA-F]{32,}+)(?!\w)",
 }
 PATTERN = "|".join(PATTERNS.values())
 
@@ -90,32 +104,69 @@ def _fill(template: Column, digits: Column) -> Column:
     )
 
 
-def _card(m: Column, key: str, forward: bool) -> Column:
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def _halves(digits: Column, key: str, forward: bool, back) -> Column:
+    """``back`` applied to the digit string, permuted among those of its length (2 to 36)."""
+    left, right = F.floor(F.length(digits) / 2).cast("int"), F.length(digits) - F.floor(F.length(digits) / 2).cast("int")
+    size = lambda k: F.pow(F.lit(10.0), k).cast("long")
+    parts = F.array(F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"))
+    return _shift(parts, F.array(size(left), size(right)), key, forward, lambda p: back(F.concat(_pad(F.get(p, F.lit(0)), left), _pad(F.get(p, F.lit(1)), right))))
+
+
+def _valid_card(m: Column) -> Column:
+    return let(_digits(m), lambda d: luhn_sum(d) % 10 == 0)
+
+
+def _one_card(m: Column, key: str, forward: bool) -> Column:
     """All digits but the last are permuted; the last is set so that the checksum holds."""
+    close = lambda b: _fill(m, F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+    return let(_digits(m), lambda d: _halves(F.substring(d, F.lit(1), F.length(d) - 1), f"{key}/card", forward, lambda p: let(p, close)))
 
-    def made(digits: Column) -> Column:
-        n = F.length(digits) - 1
-        left, right = F.floor(n / 2).cast("int"), n - F.floor(n / 2).cast("int")
-        size = lambda k: F.pow(F.lit(10.0), k).cast("long")
-        parts = F.array(F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"))
-        body = lambda p: F.concat(_pad(F.get(p, F.lit(0)), left), _pad(F.get(p, F.lit(1)), right))
-        close = lambda b: _fill(m, F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-        new = _shift(parts, F.array(size(left), size(right)), f"{key}/card", forward, lambda p: let(body(p), close))
-        return F.when(luhn_sum(digits) % 10 == 0, new).otherwise(m)
 
-    return let(F.regexp_replace(m, "[^0-9]", ""), made)
+def _cards_of(m: Column) -> Column:
+    """[(start, length)] of the cards of a run: the run itself, or its valid parts of a card's layout, leftmost and longest first."""
+    no = F.array().cast("array<struct<i:int,n:int>>")
+    part = lambda i, n: F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"))
+
+    def at(i: Column) -> Column:
+        rest = F.substring(m, i, F.lit(24))
+        found = F.filter(F.array(*[F.regexp_extract(rest, x, 0) for x in LAYOUTS]), lambda x: (x != "") & _valid_card(x))
+        return F.transform(F.slice(found, 1, 1), lambda x: part(i, F.length(x)))
+
+    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: F.substring(F.concat(F.lit(" "), m), i, F.lit(2)).rlike("^[^0-9][0-9]"))
+    free = lambda a, x: F.coalesce(F.get(a, F.size(a) - 1)["i"] + F.get(a, F.size(a) - 1)["n"] <= x["i"], F.lit(True))
+    parts = F.aggregate(F.flatten(F.transform(starts, at)), no, lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
+    whole = m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & _valid_card(m)
+    return F.when(whole, F.array(part(F.lit(1), F.length(m)))).otherwise(parts)
+
+
+def _card(m: Column, key: str, forward: bool) -> Column:
+    """The cards of a run are permuted until the run has the same cards as before, so that they are found again."""
+
+    def made(cards: Column) -> Column:
+        def step(text: Column) -> Column:
+            new = lambda t, c: F.overlay(t, _one_card(F.substring(t, c["i"], c["n"]), key, forward), c["i"], c["n"])
+            return F.aggregate(cards, text, new)
+
+        state = lambda t: let(t, lambda x: F.struct(x.alias("t"), (_cards_of(x) == cards).alias("same")))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.struct(m.alias("t"), F.lit(False).alias("same")), lambda s, _: F.when(s["same"], s).otherwise(state(step(s["t"]))))
+        return F.when(F.size(cards) > 0, walked["t"]).otherwise(m)
+
+    return let(_cards_of(m), made)
 
 
 def _phone(m: Column, key: str, forward: bool) -> Column:
-    """Area code and exchange stay within 200 to 999."""
+    """The digits behind the country code, which is what stands parted from them by a mark, are permuted."""
 
     def made(d: Column) -> Column:
-        area, exchange, line = (F.substring(d, a, n).cast("long") for a, n in ((2, 3), (5, 3), (8, 4)))
-        number = lambda p: F.concat(F.lit("1"), (F.get(p, F.lit(0)) + 200).cast("string"), _pad(F.get(p, F.lit(1)) + 2_000_000, 7))
-        new = _shift(F.array(area - 200, (exchange - 200) * 10_000 + line), F.array(F.lit(800), F.lit(8_000_000)), f"{key}/phone", forward, lambda p: _fill(m, number(p)))
-        return F.when((area >= 200) & (exchange >= 200), new).otherwise(m)
+        code = F.length(F.regexp_extract(m, r"^(?:\+([0-9]{1,3})|(1)(?=[ .-]))(?=[ .(-])", 0)) - F.when(m.startswith("+"), 1).otherwise(0)
+        code = F.greatest(code, F.lit(0))
+        return _halves(F.substring(d, code + 1, F.length(d) - code), f"{key}/phone", forward, lambda p: _fill(m, F.concat(F.substring(d, F.lit(1), code), p)))
 
-    return let(F.regexp_replace(m, "[^0-9]", ""), made)
+    return let(_digits(m), made)
 
 
 def _ip(m: Column, key: str, forward: bool) -> Column:
@@ -129,18 +180,49 @@ def _ip(m: Column, key: str, forward: bool) -> Column:
     return let(F.split(m, r"\.").cast("array<bigint>"), made)
 
 
-def _date(m: Column, key: str, forward: bool) -> Column:
+def _date(m: Column, key: str, forward: bool, form: str = "yyyy-MM-dd") -> Column:
+    """Days of the years 100 to 9699 are permuted within their 400 years."""
     a, b = DAY_FACTORS
     first = F.lit(FIRST_DAY).cast("date")
 
     def made(day: Column) -> Column:
         number = F.datediff(day, first)
-        parts = F.array(F.floor(number / b), number % b)
-        text = lambda p: F.date_format(F.date_add(first, (F.get(p, F.lit(0)) * b + F.get(p, F.lit(1))).cast("int")), "yyyy-MM-dd")
+        start, inside = F.floor(number / (a * b)) * (a * b), F.pmod(number, F.lit(a * b))
+        parts = F.array(F.floor(inside / b), inside % b)
+        text = lambda p: F.date_format(F.date_add(first, (start + F.get(p, F.lit(0)) * b + F.get(p, F.lit(1))).cast("int")), form)
         new = _shift(parts, F.array(F.lit(a), F.lit(b)), f"{key}/date", forward, text)
-        return F.when(number.between(0, a * b - 1), new).otherwise(m)
+        return F.when(F.year(day).between(100, 9699), new).otherwise(m)
+
+    return let(F.try_to_date(m, form), made)
 
-    return let(F.try_to_date(m, "yyyy-MM-dd"), made)
+
+def _late_date(m: Column, key: str, forward: bool, form: str) -> Column:
+    """The same among days after the twelfth, which cannot be read with the month first."""
+    a, b = LATE_FACTORS
+    first = F.lit(FIRST_DAY).cast("date")
+    before = lambda month: F.datediff(F.add_months(first, month), first) - month * 12
+
+    def text(k: Column) -> Column:
+        near = F.floor(k * 4800 / (a * b)).cast("int")
+        month = F.array_max(F.filter(F.sequence(near - 2, near + 2), lambda x: before(x) <= k))
+        return let(month, lambda x: F.date_format(F.date_add(F.add_months(first, x), (k - before(x) + 12).cast("int")), form))
+
+    def made(day: Column) -> Column:
+        months = (F.year(day) - 1700) * 12 + F.month(day) - 1
+        start = F.floor(months / 4800) * (a * b)
+        inside = F.pmod(before(months) + F.dayofmonth(day) - 13, F.lit(a * b))
+        new = _shift(F.array(F.floor(inside / b), inside % b), F.array(F.lit(a), F.lit(b)), f"{key}/late", forward, lambda p: let(start + F.get(p, F.lit(0)) * b + F.get(p, F.lit(1)), text))
+        return F.when(F.year(day).between(100, 9699) & (F.dayofmonth(day) > 12), new).otherwise(m)
+
+    return let(F.try_to_date(m, form), made)
+
+
+def _marked_date(m: Column, key: str, forward: bool, mark: str) -> Column:
+    """Year first, else month first if that is a date, else day first."""
+    forms = [mark.join(x) for x in (("yyyy", "MM", "dd"), ("MM", "dd", "yyyy"), ("dd", "MM", "yyyy"))]
+    day_first = _late_date(m, key, forward, forms[2])
+    month_first = F.when(F.try_to_date(m, forms[1]).isNotNull(), _date(m, key, forward, forms[1])).otherwise(day_first)
+    return F.when(m.rlike("^[0-9]{4}"), _date(m, key, forward, forms[0])).otherwise(month_first)
 
 
 def _ssn(m: Column, key: str, forward: bool) -> Column:
@@ -156,9 +238,8 @@ def _ssn(m: Column, key: str, forward: bool) -> Column:
     return F.when(valid, _shift(parts, F.array(F.lit(898), F.lit(99 * 9999)), f"{key}/ssn", forward, text)).otherwise(m)
 
 
-def _email(m: Column, key: str, forward: bool) -> Column:
-    """Letters and digits of the local part are permuted as such; marks and the domain stay."""
-    zero = {"[a-z]": (97, 26), "[A-Z]": (65, 26), "[0-9]": (48, 10)}
+def _by_class(text: Column, key: str, forward: bool, zero: dict[str, tuple[int, int]]) -> Column:
+    """Characters of each class (pattern: first code, size) are permuted as such; others stay."""
 
     def of_class(c: Column, f, other: Column) -> Column:
         out = None
@@ -170,12 +251,18 @@ def _email(m: Column, key: str, forward: bool) -> Column:
         parts = F.transform(cs, lambda c: of_class(c, lambda base, _: F.ascii(c) - base, F.lit(0)))
         moduli = F.transform(cs, lambda c: of_class(c, lambda _, n: F.lit(n), F.lit(1)))
         text = lambda p: F.array_join(F.transform(cs, lambda c, i: of_class(c, lambda base, _: F.char(F.get(p, i) + base), c)), "")
-        return F.concat(_shift(parts, moduli, f"{key}/email", forward, text), F.lit("@"), F.substring_index(m, "@", -1))
+        return _shift(parts, moduli, key, forward, text)
 
-    return let(_chars(F.substring_index(m, "@", 1)), made)
+    return let(_chars(text), made)
 
 
-def _secret(m: Column, key: str, forward: bool) -> Column:
+def _email(m: Column, key: str, forward: bool) -> Column:
+    """Letters and digits of the local part are permuted as such; marks and the domain stay."""
+    local = _by_class(F.substring_index(m, "@", 1), f"{key}/email", forward, {"[a-z]": (97, 26), "[A-Z]": (65, 26), "[0-9]": (48, 10)})
+    return F.concat(local, F.lit("@"), F.substring_index(m, "@", -1))
+
+
+def _hex(m: Column, key: str, forward: bool) -> Column:
     """Lower-case hexadecimal strings, twelve digits to a number."""
 
     def made(pieces: Column) -> Column:
@@ -187,9 +274,17 @@ def _secret(m: Column, key: str, forward: bool) -> Column:
     return let(F.regexp_extract_all(m, F.lit("[0-9a-f]{1,12}"), F.lit(0)), made)
 
 
+def _secret(m: Column, key: str, forward: bool) -> Column:
+    """Hexadecimal strings, 64 digits at a time; upper case is lower case in capitals, of both cases each class is permuted as such."""
+    pieces = lambda x, f: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("[0-9a-fA-F]{1,64}"), F.lit(0)), f), "")
+    lower = lambda x: pieces(x, lambda y: _hex(y, key, forward))
+    mixed = pieces(m, lambda y: _by_class(y, f"{key}/hex", forward, {"[a-f]": (97, 6), "[A-F]": (65, 6), "[0-9]": (48, 10)}))
+    return F.when(~m.rlike("[A-F]"), lower(m)).when(~m.rlike("[a-f]"), F.upper(lower(F.lower(m)))).otherwise(mixed)
+
+
 def pseudonym(match: Column, key: str = KEY, forward: bool = True) -> Column:
     """The pseudonym of one candidate; unchanged if it is not valid."""
-    kinds = {"email": _email, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "secret": _secret}
+    kinds = {"email": _email, "phone": _phone, "ip": _ip, "date": _date, "slashed": partial(_marked_date, mark="/"), "dotted": partial(_marked_date, mark="."), "ssn": _ssn, "card": _card, "secret": _secret}
     out = None
     for k, p in PATTERNS.items():
         out = (F if out is None else out).when(match.rlike(f"^(?:{p})$"), kinds[k](match, key, forward))

@@ -45,6 +45,32 @@ def test_ip_permutation_is_one_to_one(spark):
     assert ips.select(pii.pseudonymise(F.col("t")).alias("p")).distinct().count() == 2_000
 
 
+PERSONAL = [
+    "+1 (017) 555-7713", "+1 (132) 555-1352", "555-123-4567", "(212) 555-0100", "212.555.0100", "1-800-555-0100", "+1 212 555 0100", "+44 20 7946 0958", "+442079460958",
+    "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "0x" + "ab12" * 10, "aB3" * 20, "0f" * 50, "1066-10-14", "2024-02-29", "31/12/2024", "12/31/2024", "2024/02/29", "29.02.2024",
+    "4465758382889437", "4111 1111 1111 1111", "3782 822463 10005", "4111-1111-1111-1111",
+]
+
+
+def test_personal_data_of_every_format_goes_and_comes_back(spark):
+    texts = [f"x {p} y" for p in PERSONAL] + ["seen 2024-02-29T10:00:00Z", "a 42 4465758382889437 b", "a 2024 4111 1111 1111 1111 b", "a 4111 1111 1111 1111 123 b", "a 4111 1111 1111 1111 2024-02-29 b"]
+    kept = ["a 99/99/2024 b", "v 1.2.3 of 30.02.2024", "n 4111 1111 1111 1112 m", "deadbeef", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + kept)], "i int, text string")
+    got = [r.text for r in pii.pseudonymise_documents(table).orderBy("i").collect()]
+    gone = PERSONAL + ["2024-02-29", "4465758382889437", "4111 1111 1111 1111", "4111 1111 1111 1111", "4111 1111 1111 1111"]
+    assert [t for t, p, g in zip(texts, gone, got) if p in g] == [] and got[len(texts) :] == kept
+    assert "2024-02-29" not in got[len(texts) - 1]
+    assert [re.sub("[0-9A-Fa-f]", "0", g) for g in got] == [re.sub("[0-9A-Fa-f]", "0", t) for t in texts + kept], "the format stays"
+    back = spark.createDataFrame(list(enumerate(got)), "i int, text string").select("i", pii.pseudonymise(F.col("text"), forward=False).alias("text"))
+    assert [r.text for r in back.orderBy("i").collect()] == texts + kept
+
+
+def test_late_dates_are_one_to_one(spark):
+    days = spark.range(146_097).select(F.date_add(F.lit("1700-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy").alias("t"))
+    made = days.select(pii._late_date(F.col("t"), "k", True, "dd/MM/yyyy").alias("p")).persist()
+    assert made.distinct().count() == days.count() == 88_497 and made.join(days, made.p == days.t).count() == 88_497
+
+
 def brute_repeats(words):
     win = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     return len({i + k for i, w in enumerate(win) if win.count(w) > 1 for k in range(5)})
