@@ -1,12 +1,15 @@
 """Whole-text licence lookup by canonical digest.
 
-A text is normalised (case, spelling, copyright lines, punctuation, white space) and
-hashed; digests of whole texts and of their single lines meet those of known licences
-in a hash join.  The known side is a table of a checked size.
+A text is normalised (case, spelling, copyright clauses, punctuation, white space) and
+hashed; digests of whole texts, of their paragraphs and of their single lines meet those
+of known licences and of their paragraphs in a hash join.  The known side is a table of a checked size.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,28 +33,57 @@ KNOWN = (
 )
 
 
+#: Full texts, a file by licence; read by the driver.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: A paragraph of a known text stands for it from so many words on.
+MIN_PARAGRAPH_WORDS = 15
+#: A copyright clause: the mark at the start of a line, then (c) or a year, or at the start of a paragraph, then an owner, up to the line's end or the licence's own words.
+_NOT_OWNER = "notices?|holders?|owners?|laws?|licen[sc]es?|licen[sc]ed|statements?|disclaimers?|interests?|protection|and|or|in|is|are|to|on|as|of|for|treaty|control|permission|the"
+_CLAUSE = rf"(?m)(?:^[^\p{{L}}\p{{N}}\n(©]*(?:copyright[ \t]+(?=[0-9]{{4}})|copyright[ \t]*(?=\(c\)|©)|\(c\)[ \t]*(?=(?:copyright[ \t]*)?(?:[0-9]{{4}}|by\b))|©)|(?<=\A|\n\n)[^\p{{L}}\p{{N}}\n(©]*copyright[ \t]+(?!(?:{_NOT_OWNER})\b)(?=\S))[^\n]*?(?=$|[.;,]\s+(?:released|licensed|permission|this|distributed|redistribution)\b)"
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, words parted by single spaces."""
-    t = F.regexp_replace(F.lower(text), r"(?m)^\W*(?:copyright|\(c\)|©|all rights reserved).*$", "")
+    """Lower case, no copyright clauses, one spelling, words parted by single spaces."""
+    t = F.regexp_replace(F.lower(text), _CLAUSE, "")
+    t = F.regexp_replace(t, r"(?m)^\W*all rights reserved\b", "")
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, licence), one row per digest."""
+def paragraphs(text: Column) -> Column:
+    """Blocks between blank lines that have a letter or digit."""
+    return F.filter(F.split(text, r"\r?\n[ \t\r]*\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files; the Apache licence also without its appendix."""
+    out = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    ends = "END OF TERMS AND CONDITIONS"
+    return out + [(n, x[: x.index(ends) + (len(ends) if k else 0)]) for n, x in out if n.startswith("Apache") for k in (0, 1)]
+
+
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """(digest, licence, part), one row per digest; a part is a paragraph, and names all licences that have it."""
+    known = [*KNOWN, *full_texts()] if known is None else known
     if len(known) > MAX_KNOWN:
         raise ValueError(f"over {MAX_KNOWN} known licences; join in parts")
     rows = spark.createDataFrame(list(known), "licence string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    digest = lambda x: F.sha2(canonical(x), 256)
+    whole = {r.digest: r.licence for r in rows.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence")).collect()}
+    found = defaultdict(set)
+    for r in rows.select("licence", F.explode(paragraphs(F.col("text"))).alias("p")).where(F.size(F.split(canonical(F.col("p")), " ")) >= MIN_PARAGRAPH_WORDS).select("licence", digest(F.col("p")).alias("digest")).collect():
+        found[r.digest].add(r.licence)
+    out = [(d, n, False) for d, n in whole.items()] + [(d, " or ".join(sorted(n)), True) for d, n in found.items() if d not in whole]
+    return spark.createDataFrame(out, "digest string, licence string, part boolean")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, canonical_sha256, whole_licence, notices) for each row.
 
     whole_licence: licence whose canonical text is the document's, or null; notices:
-    sorted distinct licences of the text and its single lines, comma-joined, empty if none.  Null and empty texts
+    sorted distinct licences of the text, its paragraphs and its single lines, comma-joined, empty if none.  Null and empty texts
     match nothing.  One row per row; other columns are ignored; an empty table gives an
     empty result.  Rows of one id and one canonical text share what they match, which is
     the same for each of them.
@@ -59,12 +91,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known_digests(docs.sparkSession) if known is None else known
     if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
         raise ValueError(f"over {MAX_KNOWN} known licences; join in parts")
+    known = known if "part" in known.columns else known.withColumn("part", F.lit(False))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.sha2(canonical(text), 256).alias("whole"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.sha2(canonical(text), 256).alias("whole"), F.transform(F.array_distinct(F.concat(lines, paragraphs(text))), lambda x: F.sha2(canonical(x), 256)).alias("lines"))
     units = rows.select("id", "whole", F.explode(F.array_distinct(F.concat(F.array("whole"), "lines"))).alias("digest"))
     hits = units.join(F.broadcast(known), "digest").groupBy("id", "whole").agg(
-        F.min(F.when(F.col("digest") == F.col("whole"), F.col("licence"))).alias("whole_licence"), F.sort_array(F.collect_set("licence")).alias("notices")
+        F.min(F.when((F.col("digest") == F.col("whole")) & ~F.col("part"), F.col("licence"))).alias("whole_licence"), F.sort_array(F.collect_set("licence")).alias("notices")
     )
     mine = rows.select(F.col("id").alias("doc_id"), F.col("whole").alias("canonical_sha256"))
     found = mine.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("canonical_sha256") == F.col("whole")), "left")

@@ -144,6 +144,21 @@ def test_licences(spark):
     assert got == {1: ("MIT", "MIT"), 2: ("MIT", "MIT"), 3: (None, "CC-BY-4.0"), 4: (None, ""), None: (None, "")}
 
 
+def test_full_licences_at_any_width(spark):
+    import textwrap
+
+    texts = dict([(n, x) for n, x in licences.KNOWN if n == "ISC"] + licences.full_texts()[::-1])
+    # paragraphs with a copyright clause keep their lines, for the clause ends with its line
+    wrap = lambda x, w: "\n\n".join(p if re.search(r"copyright \(c\)|copyright \d", p, re.I) else textwrap.fill(" ".join(p.split()), w, break_on_hyphens=False) for p in x.split("\n\n"))
+    want = {(n, w): wrap(texts[n], w) for n in sorted(texts) for w in (50, 72, 80)}
+    rows = [(f"{n} {w}", "Copyright (c) 2020 Foo Inc. and others\n\n" + x) for (n, w), x in want.items()]
+    rows += [("in", "Some words.\n\n" + wrap(texts["MIT"], 70) + "\n\nMore words."), ("line", "Copyright 2024 X. Released under the MIT License."), ("part", texts["MIT"].split("\n\n")[0])]
+    got = {r.doc_id: (r.whole_licence, r.notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause"} <= set(texts)
+    assert [k for k in want if got[f"{k[0]} {k[1]}"][0] != k[0]] == []
+    assert got["line"] == ("MIT", "MIT") and got["in"][0] is None and "MIT" in got["in"][1] and got["part"][0] is None and got["part"][1] == "MIT"
+
+
 def test_pages(spark):
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav><div class=\"ad\">Buy</div><article><h1>Head</h1><p>A&amp;B <b>bold<br><p>two\n three</p><aside>side</aside></article><footer>F</footer></body></html>"
     rows = [(1, "http://h.example/1", page), (2, "http://h.example/2", page.replace("two", "other")), (3, None, None), (4, "x", "")]
