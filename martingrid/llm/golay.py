@@ -84,3 +84,36 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(np.repeat(at, count))
         keys.append(key[use])
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
+
+
+def unread(family: int) -> list[int]:
+    """The 25 bits of a fingerprint that a key of this family does not depend on."""
+    if family < 8:
+        i, k = divmod(family, 2)
+        rest = [b for b in range(64) if b // 16 != i]
+        return rest[: 23 * k] + rest[23 * k + 23 :]
+    left, right = divmod(family - 8, 2)
+    return [b for b in range(16) if b // 8 != left] + [16 + b for b in range(16) if b // 8 != right] + list(range(55, 64))
+
+
+def split_keys(fp: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """(5, n) finer keys for members of a key: two that share it and lie within 4 bits share one of them.
+
+    The 25 bits that the key does not depend on are read as five pieces of five, of
+    which four errors leave one exact.
+    """
+    fp, key = fp.astype(np.uint64), key.astype(np.uint64)
+    out = np.zeros((5, len(fp)), dtype=np.uint64)
+    for family in range(12):
+        own = np.flatnonzero(key >> np.uint64(28) == family)
+        for piece in range(5):
+            for at, bit in enumerate(unread(family)[5 * piece : 5 * piece + 5]):
+                out[piece, own] |= (fp[own] >> np.uint64(bit) & np.uint64(1)) << np.uint64(at)
+    return ((np.arange(5, dtype=np.uint64)[:, None] << np.uint64(5) | out) << np.uint64(32) | key).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def within_two() -> np.ndarray:
+    """The 2,081 error patterns of at most two bits."""
+    one = [1 << i for i in range(64)]
+    return np.array([0, *one, *(a | b for a, b in combinations(one, 2))], dtype=np.uint64)

@@ -1,30 +1,35 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-Plan: fingerprints (one Python pass over the texts) → distinct fingerprints →
-fuzzy keys → keys held by two or more fingerprints → stars (each member against
-the least of its key, verified) → components → verified links between different
-components that share a key → components of those.  Members of one component
-are never compared again, so a large group of near copies costs a star per key
-and not all its pairs, yet no link is lost.
+Plan: fingerprints (one Python pass over the texts) → distinct fingerprints → fuzzy
+keys, about 64 a fingerprint → rows of shared keys, next to each other after one
+shuffle.  A key of at most ``CROWD`` fingerprints is compared in full, in blocks, and
+gives one link a member: to the least one it reaches inside the key.  Members of a
+fuller key are dealt out again by finer keys over the bits that the first did not
+read.  Members of finer keys that are still fuller meet in midpoints: two fingerprints
+differ in at most 4 bits exactly if some word lies within 2 bits of both.  So the work
+grows with the number of distinct fingerprints, whatever the groups, and no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martingrid.llm.common import cut
 from martingrid.llm.components import components
-from martingrid.llm.golay import fuzzy_keys
+from martingrid.llm.golay import fuzzy_keys, split_keys, within_two
 
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
+#: Keys of up to so many fingerprints are compared in full.
+CROWD = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -49,9 +54,11 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column text becomes fp; the others stay."""
     for b in batches:
         found = np.fromiter((text_fingerprint(t) for t in map(pa.StringScalar.as_py, b.column("text"))), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        at = b.schema.get_field_index("text")
+        yield b.set_column(at, "fp", pa.array(found.view(np.int64)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -59,80 +66,147 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp, rep = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "rep"))
-        for a in range(0, len(fp), 4096):
-            part = fp[a : a + 4096]
-            rows, keys = fuzzy_keys(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows]), pa.array(rep[a : a + 4096][rows])], ["key", "fp", "rep"])
+def _keyed(rows: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """(key, fp, rep) of each row and each key that ``make`` gives, as (rows, keys), for 4,096 rows."""
+    for b in rows:
+        held = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        for a in range(0, b.num_rows, 4096):
+            part = [x[a : a + 4096] for x in held]
+            at, keys = make(*part)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[0][at]), pa.array(part[1][at])], ["key", "fp", "rep"])
+
+
+def _first_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _keyed(rows, lambda fp, rep: fuzzy_keys(fp.view(np.uint64)))
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def _finer_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _keyed(rows, lambda fp, rep, key: (np.tile(np.arange(len(fp)), 5), split_keys(fp.view(np.uint64), key).ravel()))
+
+
+def _midpoints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    masks = within_two()
+    for b in rows:
+        fp, rep = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "rep"))
+        for a in range(0, len(fp), 64):
+            near = fp[a : a + 64].view(np.uint64)[:, None] ^ masks
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().view(np.int64)), pa.array(np.repeat(rep[a : a + 64], len(masks)))], ["mid", "rep"])
+
+
+def least_reached(fp: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """For (groups, members): the least rep that each member reaches over close members of its group."""
+    close = np.bitwise_count(fp[:, :, None] ^ fp[:, None, :]) <= DISTANCE
+    while True:
+        low = np.where(close, rep[:, None, :], np.iinfo(np.int64).max).min(2)
+        if (low == rep).all():
+            return low
+        rep = low
+
+
+_PARTS = pa.schema([(c, pa.int64()) for c in ("u", "v", "fp", "key")])
+
+
+def _compare(crowd: int):
+    """Rows (key, fp, rep, n), those of a key together, to links (u, v) inside keys; of fuller keys the rows themselves, v null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] | None = None  # the start of a key that goes on in the next batch
+        for b in batches:
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rep", "n")]
+            full = new[3] > crowd
+            if full.any():
+                key, fp, rep, _ = (pa.array(x[full]) for x in new)
+                yield pa.RecordBatch.from_arrays([rep, pa.nulls(len(rep), pa.int64()), fp, key], schema=_PARTS)
+            new = [x[~full] for x in new]
+            key, fp, rep, n = new if left is None else [np.concatenate(x) for x in zip(left, new, strict=True)]
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            if size[-1] < n[-1]:
+                left = [x[first[-1] :] for x in (key, fp, rep, n)]
+                first, size = first[:-1], size[:-1]
+            else:
+                left = None
+            for s in np.unique(size):
+                starts, step = first[size == s], max(1, (1 << 20) // int(s * s))
+                for a in range(0, len(starts), step):
+                    at = starts[a : a + step, None] + np.arange(s)
+                    low = least_reached(fp[at].view(np.uint64), rep[at])
+                    u, v = rep[at][low < rep[at]], low[low < rep[at]]
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64())], schema=_PARTS)
+
+    return run
+
+
+def _inside_keys(keyed: DataFrame, crowd: int) -> DataFrame:
+    """Links inside the keys that two or more fingerprints share, and the rows of keys with over ``crowd`` of them."""
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").sortWithinPartitions("key")
+    return cut(shared.mapInArrow(_compare(crowd), "u long, v long, fp long, key long"))
+
+
+def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(rep, component) of distinct fingerprints that link to another one.
 
-    ``prints`` has one row (fp, rep) per distinct fingerprint, rep a unique long.
-    ``distance`` may be at most 4, which the keys cover.
+    ``prints`` has one row (fp, rep) per distinct fingerprint; fingerprints of one rep
+    count as linked.
     """
-    if not 0 <= distance <= DISTANCE:
-        raise ValueError("the fuzzy keys cover distances 0 to 4")
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    keyed = prints.mapInArrow(_keys, "key long, fp long, rep long")
-    shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("low"), F.max("rep").alias("high")).where("low.rep < high")
-    members = cut(
-        keyed.join(shared.select("key", F.col("low.rep").alias("low"), F.col("low.fp").alias("low_fp")), "key")
-    )
-    stars = members.where((F.col("rep") > F.col("low")) & close("fp", "low_fp"))
-    first = cut(components(stars.select(F.col("rep").alias("u"), F.col("low").alias("v"))))
-    named = (
-        members.join(first, members["rep"] == first["node"], "left")
-        .select("key", "fp", F.coalesce("component", "rep").alias("group"))
-    )
-    # keys whose members are all in one component have nothing left to compare
-    mixed = named.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key")
-    left = cut(named.join(mixed, "key"))
-    a, b = left.alias("a"), left.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.group") < F.col("b.group")) & close("a.fp", "b.fp"))
-    joined = components(across.select(F.col("a.group").alias("u"), F.col("b.group").alias("v")))
-    second = joined.select(F.col("node").alias("group"), F.col("component").alias("top"))
-    alone = second.select(F.col("group").alias("node"), F.col("group").alias("component"))
-    all_first = first.union(alone.join(first.select("node"), "node", "left_anti"))
-    return all_first.join(second, all_first["component"] == second["group"], "left").select(
-        F.col("node").alias("rep"), F.coalesce("top", "component").alias("component")
-    )
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    found = _inside_keys(prints.select("fp", "rep").mapInArrow(_first_keys, _KEYED), crowd)
+    edges = [found]
+    full = found.where("v is null").select("fp", F.col("u").alias("rep"), "key")
+    if full.limit(1).count():
+        finer = _inside_keys(full.mapInArrow(_finer_keys, _KEYED), crowd)
+        edges.append(finer)
+        rest = finer.where("v is null").select("fp", F.col("u").alias("rep")).distinct()
+        low = F.min("rep").over(Window.partitionBy("mid"))
+        edges.append(rest.mapInArrow(_midpoints, "mid long, rep long").select(F.col("rep").alias("u"), low.alias("v")).where("u > v"))
+    every = reduce(DataFrame.union, [e.where("v is not null").select("u", "v") for e in edges])
+    return components(every).select(F.col("node").alias("rep"), "component")
+
+
+_KEYED = "key long, fp long, rep long"
+
+
+def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row (doc_id, fp, component_id) per document row.
 
     component_id is the smallest doc_id reachable over links of at most 4 differing
     bits, the document itself included.  Null texts count as empty; all texts without
     words have fingerprint 0 and link like any other.  Repeated rows are returned as
-    often as they occur.  Rows with a null doc_id name no component of their own: they
+    often as they occur; two texts that both have one id as the least of their copies
+    count as linked.  Rows with a null doc_id name no component of their own: they
     get that of their fingerprint, or null.  An empty table gives an empty result;
     columns besides doc_id and text are ignored.
     """
-    each = cut(fingerprints(docs))
+    return _joined(cut(fingerprints(docs)), crowd)
+
+
+def _joined(each: DataFrame, crowd: int) -> DataFrame:
+    """The columns of ``each`` (doc_id, fp, ...) and component_id."""
     prints = each.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    linked = links(prints.where("rep is not null"))
+    linked = links(prints.where("rep is not null"), crowd)
     named = prints.join(linked, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return each.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return each.join(named, "fp", "left").select(*each.columns, "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id.
+def drop_near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept.
 
-    All columns are kept.  Rows that repeat a doc_id are one document; rows with a
-    null doc_id can't be named and stay.
+    It is that of the smallest doc_id; of several rows with this id, that whose row
+    hash over all columns is least, and of equal rows one.  Rows with a null doc_id
+    can't be named and stay.  An empty table stays empty.
     """
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    tagged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("tag"))
+    each = cut(tagged.mapInArrow(_fingerprints, "doc_id long, fp long, tag long"))
+    least = _joined(each, crowd).where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "tag")).alias("r"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names that can't clash
+    marked = docs.toDF(*names).withColumn("id", F.col(names[docs.columns.index("doc_id")]).cast("long")).withColumn("tag", F.xxhash64(*names))
+    kept = marked.join(least.select(F.col("r.doc_id").alias("id"), F.col("r.tag").alias("tag")), ["id", "tag"], "left_semi")
+    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "tag").orderBy("id"))).where("nth = 1")
+    return one.select(*names).union(marked.where("id is null").select(*names)).toDF(*docs.columns)
