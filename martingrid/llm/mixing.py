@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martingrid.llm.common import SPACES, cut, word_array
+from martingrid.llm.common import SPACES, cut, let, word_array
 
 #: A source may be repeated so often at most.
 MAX_REPEATS = 3.0
@@ -185,13 +185,13 @@ def lay_out(sized: DataFrame, p: Plan, seed: int = SEED) -> DataFrame:
 KEY = ("doc_id", "source_id", "size", "copy")
 
 
-def _size(text: str = "text"):
-    return F.size(word_array(F.col(text).cast("string"))).cast("long")
+def _size(text):
+    return F.size(word_array(text.cast("string"))).cast("long")
 
 
 def _pieces(docs: DataFrame, block_words: int, weights, seed: int) -> tuple[Plan, DataFrame, DataFrame]:
     """The plan, the laid-out documents, and (KEY, a, b, times): words a to b of a document are read so often."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), _size().alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), _size(F.col("text")).alias("size"))
     sized = cut(
         rows.groupBy("doc_id", "source", "size").count().withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("count")
     )
@@ -235,30 +235,34 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: dict
     the mix takes nothing from them.
     """
     p, _, pieces = _pieces(docs, block_words, weights, seed)
-    runs = pieces.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b", "times"))).alias("_runs"))
-    name = F.broadcast(p.frame(docs.sparkSession).select("source_id", F.col("source").alias("_source")))
-    runs = runs.join(name, "source_id").select(F.col("doc_id").alias("_doc"), "_source", F.col("size").alias("_n"), F.col("copy").alias("_copy"), "_runs")
-    texts = docs.withColumn("_size", _size()).where("_size > 0")
-    again = runs.where("_copy > 1").limit(1).count()
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    texts = texts.withColumn("_row", F.row_number().over(same) if again else F.lit(1))
+    runs = pieces.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b", "times"))).alias("runs"))
+    name = F.broadcast(p.frame(docs.sparkSession).select("source_id", F.col("source").alias("name")))
+    runs = runs.join(name, "source_id").select(F.col("doc_id").alias("doc"), "name", F.col("size").alias("n"), "copy", "runs")
+    again = runs.where("copy > 1").limit(1).count()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names that can't clash
+    of = lambda c: F.col(names[docs.columns.index(c)])
+    texts = docs.toDF(*names).withColumn("words", _size(of("text"))).where("words > 0")
+    same = Window.partitionBy(of("doc_id"), of("source"), "words").orderBy(of("text"))
+    texts = texts.withColumn("nth", F.row_number().over(same) if again else F.lit(1))
     both = texts.join(
         runs,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n")) & (F.col("_row") == F.col("_copy")),
+        of("doc_id").cast("long").eqNullSafe(F.col("doc")) & of("source").cast("string").eqNullSafe(F.col("name")) & (F.col("words") == F.col("n")) & (F.col("nth") == F.col("copy")),
     )
     # per pass: blocks read so often, joined to runs of neighbouring blocks
     merged = F.expr(
-        """transform(sequence(1, cast(array_max(transform(_runs, r -> r.times)) as int)), t ->
-             aggregate(filter(_runs, r -> r.times >= t), cast(array() as array<struct<a:bigint,b:bigint>>),
+        """flatten(transform(sequence(1, cast(array_max(transform(runs, r -> r.times)) as int)), t ->
+             aggregate(filter(runs, r -> r.times >= t), cast(array() as array<struct<a:bigint,b:bigint>>),
                (acc, r) -> if(size(acc) > 0 and element_at(acc, -1).b = r.a,
                  concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', r.b))),
-                 concat(acc, array(named_struct('a', r.a, 'b', r.b))))))"""
+                 concat(acc, array(named_struct('a', r.a, 'b', r.b)))))))"""
     )
-    cuts = both.withColumn("_cut", F.explode(F.flatten(merged)))
-    whole = (F.col("_cut.a") == 0) & (F.col("_cut.b") == F.col("_size"))
-    tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    part = F.btrim(F.array_join(F.slice(tokens, (F.col("_cut.a") + 1).cast("int"), (F.col("_cut.b") - F.col("_cut.a")).cast("int")), ""), F.lit(SPACES))
-    out = cuts.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    text = of("text").cast("string")
+    whole = lambda c: (c["a"] == 0) & (c["b"] == F.col("words"))
+    tokens = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = lambda ts, c: F.btrim(F.array_join(F.slice(ts, (c["a"] + 1).cast("int"), (c["b"] - c["a"]).cast("int")), ""), F.lit(SPACES))
+    # a text is split once, for all its parts; one that is only read whole is not split
+    split = let(tokens, lambda ts: F.transform("cuts", lambda c: F.when(whole(c), text).otherwise(part(ts, c))))
+    parts = F.when(F.forall("cuts", whole), F.transform("cuts", lambda c: text)).otherwise(split)
+    out = both.withColumn("cuts", merged).withColumn("part", F.explode(parts))
+    new = {"text": F.col("part")} | ({"n_chars": F.length("part").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, of(c)).alias(c) for c in docs.columns])
