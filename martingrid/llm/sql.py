@@ -13,15 +13,16 @@ win AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o |
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win WHERE s IS NOT NULL) WHERE c > 1),
 rep AS (SELECT r, sum(least({quality.WINDOW}, coalesce(nxt - i, {quality.WINDOW})))::BIGINT AS n
         FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM dup) GROUP BY r),
-c AS (SELECT r, doc_id, len(w)::BIGINT AS n_words,
+c AS (SELECT r, doc_id, text, len(w)::BIGINT AS n_words,
         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 n AS (SELECT c.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 10 > n_words * {quality.MAX_SYMBOLS_PER_TEN} OR n_dup_lines * 10 > len(lines) * {quality.MAX_DUP_LINES_PER_TEN}
-       OR word_chars NOT BETWEEN n_words * {quality.MIN_WORD_CHARS} AND n_words * {quality.MAX_WORD_CHARS}) AS kept
+  NOT (base_failed OR n_symbols * 10 > n_words * {quality.MAX_SYMBOLS_PER_TEN}
+       OR (n_dup_lines >= {quality.MIN_DUP_LINES} AND n_dup_lines * 10 > len(lines) * {quality.MAX_DUP_LINES_PER_TEN})
+       OR word_chars < n_words * {quality.MIN_WORD_CHARS} OR (strlen(text) * 2 < length(text) * 3 AND word_chars > n_words * {quality.MAX_WORD_CHARS})) AS kept
 FROM b"""
 
 _ESC = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"

@@ -86,6 +86,36 @@ def test_quality(docs):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_cascade_order(spark):
+    """Costly rules with few rejections come last; a rule whose rejections an earlier one has already made comes behind."""
+    rules = [quality.Rule(n, lambda c: c["n_words"] < 0) for n in "abc"]
+    verdicts = {(True, True, False): 50, (False, False, True): 10, (False, False, False): 40}
+    assert [m.rule.name for m in quality.order(rules, [2.0, 1.0, 1.0], verdicts)] == ["b", "c", "a"]
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 40 + 5)) + " word" * 3) for i in range(800)], "doc_id long, text string")
+    slow = quality.Rule("slow", lambda c: (c["n_repeat_words"] + c["n_dup_lines"]) > 10_000)
+    quick = quality.Rule("quick", lambda c: c["n_words"] < 30)
+    assert [m.rule.name for m in quality.measure(docs, [slow, quick])] == ["quick", "slow"]
+    assert [m.rule.name for m in quality.measure(docs.limit(0), [slow, quick])] == ["slow", "quick"]
+
+
+def test_quality_equals_duckdb(spark, tmp_path):
+    import duckdb
+
+    from martingrid.llm import sql
+
+    draw = random.Random(4)
+    texts = [None, "", " \n ", "x\n" * 30, "汉字" * 200 + " 汉" * 12, "#a " * 30, "a" * 900 + " b" * 11]
+    texts += ["\n".join(" ".join(draw.choices("ab cd efg hi $ é".split(), k=draw.randint(0, 8))) for _ in range(draw.randint(1, 12))) for _ in range(60)]
+    docs = spark.createDataFrame([(i % 60, t, i) for i, t in enumerate(texts)], "doc_id long, text string, w int")
+    docs.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    got = quality.judge(docs)
+    want = con.execute(sql.QUALITY)
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, [tuple(r[n] for n in names) for r in got.collect()])) == sorted(map(str, want.fetchall()))
+
+
 def test_transport_round_trip(docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in transport.digests(docs).collect():
@@ -129,7 +159,7 @@ def test_chat(spark):
 def test_bpe_equals_tiktoken(docs):
     path = public_tokenizers.path(catalog.VOCABULARY)
     c = bpe.codec(open(path, "rb").read(), public_tokenizers.PATTERN)
-    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(zip(c.keys, c.ids)), special_tokens={})
     c = pickle.loads(pickle.dumps(c))
     draw = random.Random(1)
     letters = [*map(chr, range(1, 0x250)), *map(chr, (0x2028, 0x3000, 0x1F600, 0x10400, 0x660, 0x200D)), *" " * 200, *"'strevmld" * 20]
@@ -138,6 +168,29 @@ def test_bpe_equals_tiktoken(docs):
         assert c.encode(t) == np.array(e.encode_ordinary(t), "<u4").tobytes() and c.decode(c.encode(t)) == t.encode()
 
 
+def test_bpe_query_equals_tiktoken(spark, monkeypatch):
+    """The query's rows, long texts and a memo that overflows within a text included."""
+    path = public_tokenizers.path(catalog.VOCABULARY)
+    keys = bpe.codec(open(path, "rb").read(), public_tokenizers.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(zip(keys.keys, keys.ids)), special_tokens={})
+    draw = random.Random(2)
+    long = " ".join("".join(draw.choices("abcdeé ", k=6)) for _ in range(30_000))
+    rows = [(1, "one two"), (1, "one two"), (2, None), (3, ""), (None, "x"), (4, long), (5, " " * 5_000 + "\n" + "ab" * 4_000)]
+    docs = spark.createDataFrame([(i, t, b"own", 7) for i, t in rows], "doc_id long, text string, decoded binary, ids int")
+    got = sorted(map(tuple, bpe.round_trip(docs, path, public_tokenizers.PATTERN).drop("ids").collect()), key=str)
+    ids = [np.array(e.encode_ordinary(t or ""), "<u4").tobytes() for _, t in rows]
+    want = [(i, len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (i, t), x in zip(rows, ids)]
+    assert got == sorted(want, key=str)
+    back = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    assert sorted(bytes(r.decoded) for r in back.collect()) == sorted((t or "").encode() for _, t in rows)
+    assert bpe.round_trip(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+    monkeypatch.setattr(bpe, "REMEMBERED", 5_000)
+    monkeypatch.setattr(bpe, "SPLIT_AT_ONCE", 100)
+    monkeypatch.setattr(bpe, "MATCHES", 7)
+    small = pickle.loads(pickle.dumps(keys))
+    assert small.encode(long) == ids[5] and sum(map(len, small.memo.values())) < 5_000
+
+
 def test_licences(spark):
     rows = [(1, "RELEASED under the mit licence"), (2, "Copyright 2020 Me\nReleased under the MIT License."), (3, "text\nLicensed under CC BY 4.0."), (4, None), (None, "plain")]
     got = {r.doc_id: (r.whole_licence, r.notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -189,14 +242,47 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_near_duplicates(docs):
-    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
-    prints = {r.doc_id: simhash.text_fingerprint(r.text) for r in docs.collect()}
+def brute_components(prints):
+    """Component of each id by comparing all pairs."""
     comp = {i: i for i in prints}
-    for _ in prints:
+    changed = True
+    while changed:
+        changed = False
         for a in prints:
             for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 4:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+                if comp[b] < comp[a] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                    comp[a], changed = comp[b], True
+    return comp
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 4, 1])
+def test_links_equal_brute_force(spark, crowd):
+    """Chains of 4-bit steps, a dense cluster and one key with many fingerprints apart, by every way that crowded keys go."""
+    draw = random.Random(5)
+    flip = lambda x, n, bits=range(64): x ^ sum(1 << b for b in draw.sample(list(bits), n))
+    found = [draw.getrandbits(64) for _ in range(60)]
+    for _ in range(4):
+        found.append(draw.getrandbits(64))
+        for _ in range(8):
+            found.append(flip(found[-1], draw.choice([3, 4, 4, 5])))
+    centre = draw.getrandbits(64)
+    found += [flip(centre, draw.randint(1, 3)) for _ in range(40)] + [flip(centre, draw.randint(4, 9), range(39, 64)) for _ in range(60)]
+    prints = dict(enumerate(dict.fromkeys(found)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(x), i) for i, x in prints.items()], "fp long, rep long").repartition(3)
+    got = {r.rep: r.component for r in simhash.links(table, crowd).collect()}
+    assert {i: got.get(i, i) for i in prints} == brute_components(prints)
+
+
+def test_near_duplicates(spark, docs):
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
+    prints = {r.doc_id: simhash.text_fingerprint(r.text) for r in docs.collect()}
+    comp = brute_components(prints)
     assert sorted(got) == sorted((r.doc_id, comp[r.doc_id]) for r in docs.select("doc_id").collect())
-    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(comp.values()))
+    odd = spark.createDataFrame([(None, "lonely words of no id", 1), (9, "text one of two", 1), (9, "another text with this id", 2), (9, "text one of two", 1)], "doc_id long, text string, tag int")
+    assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
+    runs = [sorted(map(str, simhash.drop_near_duplicates(odd.repartition(n)).collect())) for n in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 2
