@@ -36,7 +36,7 @@ WALKS = 64
 _OTHER = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9-])|[0-9]+[./]"
 #: Patterns by kind; no two kinds match at the same place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}+\.)++[A-Za-z]{2,24}",
     "phone": r"(?:(?:\+1(?:[ .-]|(?=\())|(?<![\w.+-])(?:1[ .-])?)(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.)[0-9]{4}"
     r"|\+1 [0-9]{3} [0-9]{3} [0-9]{4}|\+[0-9](?:[ .()-]{0,2}[0-9]){7,14})(?![0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
