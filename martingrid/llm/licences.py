@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 
 #: The known side is broadcast and may have so many rows at most.
 MAX_KNOWN = 100_000
-#: Spellings that count as the same.
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("authorisation", "authorization"), ("organisation", "organization"), ("whilst", "while"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("https", "http"))
+#: Spellings of one word that count as the same.
+SPELLINGS = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense", "sublicences": "sublicenses",
+    "authorisation": "authorization", "authorisations": "authorizations", "authorised": "authorized", "organisation": "organization", "organisations": "organizations",
+    "whilst": "while", "https": "http",
+}
+#: What any of them begins with, so that most texts need no look at each word.
+_SPELLED = r"\b(?:sub)?licenc|\bauthoris|\borganis|\bwhilst\b|\bhttps\b"
+#: Words that are also written apart.
+APART = {"non commercial": "noncommercial", "sub license": "sublicense", "sub licenses": "sublicenses"}
 #: Short licence notices and texts as their publishers word them.
 KNOWN = (
     ("MIT", "Released under the MIT License."),
@@ -45,11 +53,14 @@ _CLAUSE = rf"(?m)(?:^[^\p{{L}}\p{{N}}\n(©]*(?:copyright[ \t]+(?=[0-9]{{4}})|cop
 def canonical(text: Column) -> Column:
     """Lower case, no copyright clauses, one spelling, words parted by single spaces."""
     t = F.regexp_replace(F.lower(text), _CLAUSE, "")
-    t = F.regexp_replace(t, r"(?m)^\W*all rights reserved\b", "")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*+all rights reserved\b", "")
+    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+    known = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
+    t = F.when(t.rlike(_SPELLED), spelled).otherwise(t)
+    for a, b in APART.items():
+        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}]){a}(?![\p{{L}}\p{{N}}])", b)
+    return t
 
 
 def paragraphs(text: Column) -> Column:
@@ -94,6 +105,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known if "part" in known.columns else known.withColumn("part", F.lit(False))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    known = known.select(F.col("digest").alias("digest"), "licence", "part")
     rows = docs.select(F.col("doc_id").alias("id"), F.sha2(canonical(text), 256).alias("whole"), F.transform(F.array_distinct(F.concat(lines, paragraphs(text))), lambda x: F.sha2(canonical(x), 256)).alias("lines"))
     units = rows.select("id", "whole", F.explode(F.array_distinct(F.concat(F.array("whole"), "lines"))).alias("digest"))
     hits = units.join(F.broadcast(known), "digest").groupBy("id", "whole").agg(
