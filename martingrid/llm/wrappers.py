@@ -7,7 +7,7 @@ a constant while all its pages agree and a field (``VARIES``) once two differ.
 read by aligning it with its host's whole expression: a constant of ``MIN_PAGES`` different
 articles is template and goes, fields stay.  Markup that names its purpose (``OUTSIDE``,
 ``INSIDE``) bounds the part that is read so; the page's own article element counts only
-for that page.
+for that page.  A header inside an article goes too, with its heading.
 
 Pages of one shape are folded by a commutative sum.  Shapes are aligned in sorted order,
 first within ``BUCKETS`` by hash, then over the buckets, so the expression does not depend
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martingrid.llm.common import cut
+
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea select".split())
@@ -47,8 +49,10 @@ MIN_PAGES = 3
 BUCKETS = 64
 #: Shapes that a task holds before it hands them on.
 HELD = 20_000
+#: Expressions of all hosts that are sent to the tasks, at most.
+SENT_BYTES = 16 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|[^<]+|<", re.S)
 _CLASSES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: A paragraph ends where one of these opens.
 _ENDS_P = BLOCKS - {"br", "body", "html", "title"}
@@ -75,17 +79,19 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "open", name, words
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(place, text) of each block: place is the path of open elements with their class words."""
-    stack: list[tuple[str, str]] = []
+def blocks(page: str) -> tuple[list[tuple[str, str]], list[tuple[int, ...]]]:
+    """(place, text) of each block, and the numbers of its open elements: place is their path with their class words."""
+    stack: list[tuple[str, str, int]] = []
     out: list[tuple[str, str]] = []
+    paths: list[tuple[int, ...]] = []
     held: list[str] = []
-    place = ""
+    place, opened = "", 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             out.append((place, text))
+            paths.append(tuple(n for _, _, n in stack))
         held.clear()
 
     for kind, name, value in tokens(page):
@@ -99,14 +105,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if name in _ENDS_P and stack and stack[-1][0] == "p":
                 stack.pop()
             if name not in VOID:
-                stack.append((name, ".".join(sorted(set(re.split(r"[^a-z0-9]+", value)) - {""}))))
+                opened += 1
+                stack.append((name, ".".join(sorted(set(re.split(r"[^a-z0-9]+", value)) - {""})), opened))
         else:
             deep = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if deep is not None:
                 del stack[deep:]
-        place = "/".join(f"{n}.{w}" if w else n for n, w in stack)
+        place = "/".join(f"{n}.{w}" if w else n for n, w, _ in stack)
     flush()
-    return out
+    return out, paths
 
 
 def digest(text: str) -> str:
@@ -163,20 +170,26 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def is_article(place: str, has_article: bool) -> bool:
-    """Whether a block can be of the article: under an article element if the page has one, and under nothing that is not of it."""
-    parts = [x.split(".") for x in place.split("/") if x]
-    if any(p[0] in OUTSIDE or OUTSIDE_WORDS.intersection(p[1:]) for p in parts):
-        return False
-    inside = any(p[0] in INSIDE for p in parts)
-    return inside or not has_article and all(p[0] != "title" for p in parts)
-
+def candidates(found: list[tuple[str, str]], paths: list[tuple[int, ...]]) -> list[bool]:
+    """Whether each block can be of the article: inside an article element if the page has one, and in nothing that is not of it.
 
-def candidates(found: list[tuple[str, str]]) -> list[bool]:
-    """``is_article`` of each block of a page."""
-    has = any(x.split(".")[0] in INSIDE for p, _ in found for x in p.split("/"))
-    known = {p: is_article(p, has) for p, _ in found}
-    return [known[p] for p, _ in found]
+    The article element with most text and what holds it stand for the page, whatever
+    their names say: a page's body may be of class no-sidebar, or all of it one form.
+    """
+    named = {p: [x.split(".") for x in p.split("/") if x] for p, _ in found}
+    size: dict[int, int] = {}  # text under each outermost article element
+    for (p, t), path in zip(found, paths, strict=True):
+        first = next((n for x, n in zip(named[p], path, strict=True) if x[0] in INSIDE), None)
+        if first is not None:
+            size[first] = size.get(first, 0) + len(t)
+    main = max(size, key=lambda n: (size[n], -n), default=None)
+    whole = next((set(path[: path.index(main) + 1]) for path in paths if main in path), set()) if size else set()
+    outside = lambda x: x[0] in OUTSIDE or x[0] not in ("html", "body") and not OUTSIDE_WORDS.isdisjoint(x[1:])
+    out = []
+    for (p, _), path in zip(found, paths, strict=True):
+        inside = not size or any(n in size for n in path)
+        out.append(inside and (bool(size) or all(x[0] != "title" for x in named[p])) and not any(outside(x) and n not in whole for x, n in zip(named[p], path, strict=True)))
+    return out
 
 
 def match(places: list[str], wrapper: list[list]) -> list[list | None]:
@@ -190,13 +203,13 @@ def match(places: list[str], wrapper: list[list]) -> list[list | None]:
 
 def main_text(page: str | None, wrapper: list[list], memo: dict[str, list[list | None]] | None = None) -> str:
     """The article's blocks, joined by spaces: the page's fields, without the constants of the wrapper.  ``memo`` keeps matches by shape."""
-    found = blocks(page or "")
+    found, paths = blocks(page or "")
     nodes = squeeze(found)
     shape = "\n".join(n[0] for n in nodes)
     memo = {} if memo is None else memo
     if shape not in memo:
         memo[shape] = match([n[0] for n in nodes], wrapper)
-    keep = candidates(found)
+    keep = candidates(found, paths)
     for n, w in zip(nodes, memo[shape], strict=True):
         if w and w[2] == n[2] != VARIES and len(w[3]) >= MIN_PAGES:
             for i in n[3]:
@@ -210,9 +223,9 @@ def host_of(url):
 
 def page_state(page: str) -> tuple[str, list]:
     """Shape of a page, and [marks, texts, page digests] of it; pages with one article count as one."""
-    found = blocks(page)
+    found, paths = blocks(page)
     nodes = squeeze(found)
-    own = digest("\n".join(f"{p} {t}" for (p, t), k in zip(found, candidates(found), strict=True) if k))
+    own = digest("\n".join(f"{p} {t}" for (p, t), k in zip(found, candidates(found, paths), strict=True) if k))
     return "\n".join(n[0] for n in nodes), [[n[1] for n in nodes], [n[2] for n in nodes], [own]]
 
 
@@ -270,7 +283,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages give an empty text; null urls and urls without a host are one
     host; repeated rows repeat; an empty table gives an empty result; other columns
-    are ignored.  Whole pages are read.  Pages and wrappers meet in an equi-join.
+    are ignored.  Whole pages are read.  Wrappers of up to ``SENT_BYTES`` in all are sent
+    to the tasks; more of them meet their pages in a join by host.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,4 +304,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     hosted = rows.withColumn("host", host_of(F.col("url")))
-    return hosted.join(infer(rows), "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")
+    wrappers = cut(infer(rows))
+    total = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
+    known = F.broadcast(wrappers) if total <= SENT_BYTES else wrappers
+    return hosted.join(known, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")
