@@ -132,12 +132,21 @@ class Stream:
     streams: dict[int, int] = field(default_factory=dict)
     table_errors: int = 0
     continuity_errors: int = 0
+    #: Bytes that are not of a packet with a sync byte, packets before the first start of a unit, and damaged units.
+    lost_bytes: int = 0
+    headless: int = 0
+    damaged: int = 0
     #: (pid, pts or None, random access, byte offset in its stream's payload, payload)
     units: list[tuple[int, int | None, bool, int, bytes]] = field(default_factory=list)
 
     def payload(self, pid: int | None = None) -> bytes:
         return b"".join(u[4] for u in self.units if pid is None or u[0] == pid)
 
+    def error(self) -> str | None:
+        """What is wrong with the stream, or none."""
+        found = {k: getattr(self, k) for k in ("lost_bytes", "table_errors", "continuity_errors", "headless", "damaged")}
+        return ";".join(f"{k}={n}" for k, n in found.items() if n) or None
+
     def feature(self) -> str:
         stamps = [u[1] for u in self.units if u[1] is not None]
         return (
@@ -148,7 +157,7 @@ class Stream:
 
 def _sections(payload: bytes) -> tuple[int, bytes] | None:
     """(table id, body) of the section that a table packet starts; None if its checksum is wrong."""
-    start = 1 + payload[0]
+    start = 1 + payload[0] if payload else 0
     length = int.from_bytes(payload[start + 1 : start + 3], "big") & 0xFFF
     section = payload[start : start + 3 + length]
     if len(section) < 12 or len(section) < 3 + length or crc32_mpeg(section):
@@ -160,17 +169,18 @@ def demux(media: bytes) -> Stream:
     """Parse tables, check continuity counters and put elementary packets together again.
 
     Packets that repeat a counter are dropped as duplicates; a gap counts as an error
-    unless the packet signals a discontinuity.  Raises on lost synchronisation.
+    unless the packet signals a discontinuity.  Packets without a sync byte, a tail
+    shorter than a packet and units without a readable head are counted and left out;
+    sections longer than one packet count as table errors.
     """
-    if len(media) % PACKET:
-        raise ValueError("a transport stream is a whole number of packets")
-    s = Stream(packets=len(media) // PACKET)
-    a = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (a[:, 0] != SYNC).any():
-        raise ValueError("lost synchronisation")
+    n = len(media) // PACKET
+    a = np.frombuffer(media, np.uint8, n * PACKET).reshape(-1, PACKET)
+    good = a[:, 0] == SYNC
+    s = Stream(packets=int(good.sum()), lost_bytes=len(media) - int(good.sum()) * PACKET)
+    a = a[good]
     pid = (a[:, 1].astype(np.int32) & 0x1F) << 8 | a[:, 2]
     has_field, has_payload = (a[:, 3] & 0x20) > 0, (a[:, 3] & 0x10) > 0
-    offset = np.where(has_field, 5 + a[:, 4].astype(np.int32), 4)
+    offset = np.minimum(np.where(has_field, 5 + a[:, 4].astype(np.int32), 4), PACKET)
     flags = np.where(has_field & (a[:, 4] > 0), a[:, 5], 0)
 
     def table(i: int) -> tuple[int, bytes] | None:
@@ -200,18 +210,20 @@ def demux(media: bytes) -> Stream:
         s.continuity_errors += int(((step > 1) & ((flags[own[1:]] & 0x80) == 0)).sum())
         own = own[~same]
         heads = np.flatnonzero(start[own])
+        s.headless += int(heads[0] if len(heads) else len(own))
         at = 0
         for x, y in zip(heads, [*heads[1:], len(own)], strict=True):
             rows = own[x:y]
             pes = a[rows][columns >= offset[rows][:, None]].tobytes()
-            if pes[:3] != b"\0\0\1":
-                s.continuity_errors += 1
+            if len(pes) < 9 or pes[:3] != b"\0\0\1" or len(pes) < 9 + pes[8] or pes[7] & 0x80 and pes[8] < 5:
+                s.damaged += 1
                 continue
             length = int.from_bytes(pes[4:6], "big")
             body = 9 + pes[8]
             t = pes[9:14]
             pts = (t[0] & 0xE) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1 if pes[7] & 0x80 else None
             data = pes[body : 6 + length if length else None]
+            s.damaged += length > 0 and len(pes) < 6 + length
             s.units.append((p, pts, bool(flags[rows[0]] & 0x40), at, data))
             at += len(data)
     return s
@@ -233,7 +245,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-_PARSED = "payload binary, feature string, continuity_errors long, table_errors long, access_points array<struct<pid:int,pts:long,offset:long>>"
+_PARSED = "payload binary, feature string, error string, continuity_errors long, table_errors long, access_points array<struct<pid:int,pts:long,offset:long>>"
 
 
 def parse(stored: DataFrame) -> DataFrame:
@@ -241,9 +253,9 @@ def parse(stored: DataFrame) -> DataFrame:
 
     payload: the elementary streams' bytes, feature: a summary, access_points: time
     stamp and byte offset of each random-access point.  Columns of these names are
-    replaced.  Null media give nulls; damaged media raise.
+    replaced.  Null media give nulls; of damaged media what can be read, and error says what is wrong.
     """
-    new = ["payload", "feature", "continuity_errors", "table_errors", "access_points"]
+    new = ["payload", "feature", "error", "continuity_errors", "table_errors", "access_points"]
     rest = [c for c in stored.columns if c not in new]
     points = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("offset", pa.int64())]))
 
@@ -256,6 +268,7 @@ def parse(stored: DataFrame) -> DataFrame:
                     *(b.column(c) for c in rest),
                     pa.array(get(Stream.payload), pa.binary()),
                     pa.array(get(Stream.feature), pa.string()),
+                    pa.array(get(Stream.error), pa.string()),
                     pa.array(get(lambda s: s.continuity_errors), pa.int64()),
                     pa.array(get(lambda s: s.table_errors), pa.int64()),
                     pa.array(get(lambda s: [{"pid": p, "pts": t, "offset": o} for p, t, r, o, _ in s.units if r]), points),
@@ -280,4 +293,8 @@ def digests(docs: DataFrame) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "error",
+        F.size("access_points").cast("long").alias("n_access_points"),
+        F.element_at("access_points", -1)["pts"].alias("last_access_pts"),
+        F.element_at("access_points", -1)["offset"].alias("last_access_offset"),
     )
