@@ -32,16 +32,14 @@ def unescape(text: Column) -> Column:
 
 def _runs(turns: Column) -> Column:
     """Sorted turn structs merged to array<struct<role, texts>>: adjacent turns of a role become one."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
 
-    def add(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = lambda role, texts: F.array(F.struct(role.alias("role"), texts.alias("texts")))
-        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), one(last["role"], F.concat(last["texts"], F.array(t["text"]))))
-        fresh = F.concat(acc, one(t["role"], F.array(t["text"])))
-        return F.when(F.size(acc) == 0, fresh).when(last["role"] == t["role"], merged).otherwise(fresh)
+    def merge(starts: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(turns))
+        texts = lambda i, k: F.transform(F.slice(turns, i + 1, stop(k) - i), lambda t: t["text"])
+        return F.transform(starts, lambda i, k: F.struct(F.get(turns, i)["role"].alias("role"), texts(i, k).alias("texts")))
 
-    return F.aggregate(turns, empty, add)
+    first = F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i))
+    return let(F.filter(first, lambda i: i.isNotNull()), merge)
 
 
 def _segments(runs: Column) -> Column:
@@ -66,13 +64,25 @@ def _segments(runs: Column) -> Column:
     return F.concat(F.flatten(F.transform(runs, one)), end)
 
 
+def _spans(segments: Column) -> Column:
+    """array<struct<start, length>>: code points of the formatted text under the loss mask, from 0."""
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+
+    def add(a: Column, s: Column) -> Column:
+        n = F.length(s["piece"]).cast("long")
+        span = F.array(F.struct(a["at"].alias("start"), n.alias("length")))
+        return F.struct((a["at"] + n).alias("at"), F.when(s["loss"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+    return F.aggregate(segments, empty, add, lambda a: a["spans"])
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, segments) per conversation of ``turns`` (conv_id, turn, role, text).
+    """(conv_id, formatted, loss_spans) per conversation of ``turns`` (conv_id, turn, role, text).
 
-    segments has the formatted text in order, as pieces with the loss mask.  Turns go
-    by number, nulls first, ties by role and text; repeated rows are repeated turns.
-    Null roles and texts are empty; a null conv_id is one conversation; an empty table
-    gives an empty result; other columns are ignored.
+    loss_spans is the loss mask: (start, length) of the parts of formatted that count,
+    in code points.  Turns go by number, nulls first, ties by role and text; repeated
+    rows are repeated turns.  Null roles and texts are empty; a null conv_id is one
+    conversation; an empty table gives an empty result; other columns are ignored.
     """
     number = F.col("turn").cast("long")
     rows = turns.select(
@@ -88,7 +98,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     whole = chunks.groupBy("conv_id").agg(F.collect_list(F.struct("chunk", "runs")).alias("cs"))
     merged = F.flatten(F.transform(F.sort_array("cs"), lambda c: c["runs"]))
     made = whole.select("conv_id", let(merged, _segments).alias("segments"))
-    return made.select("conv_id", F.array_join(F.transform("segments", lambda s: s["piece"]), "").alias("formatted"), "segments")
+    return made.select("conv_id", F.array_join(F.transform("segments", lambda s: s["piece"]), "").alias("formatted"), _spans(F.col("segments")).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -105,8 +115,9 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of formatted conversations, read back from their texts and loss masks."""
-    said = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["piece"])), "")
+    """Counts and digests of formatted conversations, read back from their texts through their loss masks."""
+    span = lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))
+    said = F.array_join(F.transform("loss_spans", span), "")
     read = formatted.select("conv_id", read_turns(F.col("formatted")).alias("turns"), said.alias("loss"), F.length("formatted").alias("n"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
