@@ -1,32 +1,33 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 The model is trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows and broadcast (BUCKETS * DIM + languages * DIM floats).  A calibrated
-confidence decides whether the prediction stands; ``score`` is that confidence.
+labelled rows and broadcast (BUCKETS * DIM + languages * DIM floats).  ``score`` is a
+calibrated confidence; predictions below a threshold learnt with it are ``rejected``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 BUCKETS, DIM = 1 << 14, 16
 #: Character n-grams of a word, whose ends count as characters; a whole word is one more feature.
 GRAMS = (1, 2, 3, 4)
-#: At most so many labelled rows, and so many words of each, train the model.
-MAX_ROWS, MAX_TRAIN_WORDS = 4_000, 400
+#: At most so many labelled rows train the model, each by so many pieces spread over its whole text.
+MAX_ROWS, MAX_PIECES = 4_000, 20
 #: Short training pieces make the model good at short texts.
 PIECE_WORDS = (2, 40)
 EPOCHS, RATE, SEED = 6, 0.5, 7
-#: A tenth of the pieces calibrates; predictions below this confidence are rejected if ``reject`` is set.
-CALIBRATION, MIN_CONFIDENCE = 0.1, 0.4
+#: A tenth of the pieces calibrates: the confidence, and the least one at which this share of the predictions above it is right.
+CALIBRATION, PRECISION = 0.1, 0.99
 #: Long texts are read in blocks of so many code points, cut between words.
 BLOCK = 1 << 20
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -100,7 +101,7 @@ class Model:
     embed: np.ndarray
     weight: np.ndarray
     temperature: float = 1.0
-    #: Below this no prediction is made.
+    #: Predictions of a lower confidence are rejected.
     least: float = 0.0
 
     def mean(self, text: str) -> np.ndarray | None:
@@ -111,31 +112,46 @@ class Model:
         n = counts.sum()
         return counts.astype(self.embed.dtype) @ self.embed / n if n else None
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, confidence, rejected); of equally likely languages the first by code point."""
         h = self.mean(text or "")
         if h is None or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, True
         p = _softmax(h @ self.weight.T / self.temperature)
         k = int(p.argmax())
-        return (self.languages[k], float(p[k])) if p[k] >= self.least else (UNKNOWN, float(p[k]))
+        return self.languages[k], float(p[k]), bool(p[k] < self.least)
 
 
-def fit(rows: list[tuple[str, str]], reject: float = 0.0) -> Model:
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def pieces_of(text: str, rng: np.random.Generator) -> Iterator[str]:
+    """Up to MAX_PIECES pieces of PIECE_WORDS words, evenly spread over the whole text."""
+    reach = 20 * PIECE_WORDS[1]
+    n = min(MAX_PIECES, max(1, len(text) // (reach // 4)))
+    for k in range(n):
+        a = k * len(text) // n
+        part = text[a : a + reach].lower()
+        words = _WORDS.findall(part)
+        if a and words and part[0].isalpha() and text[a - 1].isalpha():
+            words = words[1:]  # begins within a word
+        if a + reach < len(text) and len(words) > 1 and part[-1].isalpha():
+            words = words[:-1]
+        if words:
+            yield " ".join(words[: int(rng.integers(*PIECE_WORDS))])
+
+
+def fit(rows: list[tuple[str, str]]) -> Model:
     """A model from (text, language) rows; an empty list gives one that knows no language."""
     languages = sorted({y for _, y in rows})
     rng = np.random.default_rng(SEED)
     pieces: list[tuple[np.ndarray, np.ndarray, int]] = []  # buckets, their shares, language
     for text, y in rows:
-        buckets, words = _features(text.lower())
-        order = np.argsort(words, kind="stable")
-        buckets, words, at = buckets[order], words[order], 0
-        total = min(MAX_TRAIN_WORDS, int(words[-1]) + 1) if len(words) else 0
-        while at < total:
-            n = int(rng.integers(*PIECE_WORDS))
-            lo, hi = np.searchsorted(words, (at, min(at + n, total)))
-            ids, times = np.unique(buckets[lo:hi], return_counts=True)
-            pieces.append((ids, times / (hi - lo), languages.index(y)))
-            at += n
+        for piece in pieces_of(text, rng):
+            buckets, _ = _features(piece)
+            if len(buckets):
+                ids, times = np.unique(buckets, return_counts=True)
+                pieces.append((ids, times / len(buckets), languages.index(y)))
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     weight = np.zeros((len(languages), DIM))
     order = rng.permutation(len(pieces))
@@ -156,33 +172,37 @@ def fit(rows: list[tuple[str, str]], reject: float = 0.0) -> Model:
         back = g @ weight
         weight -= np.outer(g, h)
         embed[f] = own - part[:, None] * back
-    model = Model(languages, embed, weight, least=reject)
+    model = Model(languages, embed, weight)
     if len(held):
         z = np.array([weight @ (pieces[i][1] @ embed[pieces[i][0]]) for i in held])
         y = np.array([pieces[i][2] for i in held])
         loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
+        p = _softmax(z / model.temperature)
+        sure, right = p.max(1), p.argmax(1) == y
+        grid = np.linspace(0, 0.99, 100)
+        model.least = float(next((t for t in grid if right[sure >= t].mean() >= PRECISION), grid[-1]) if (sure >= grid[-1]).any() else 0.0)
     return model
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS, reject: float = 0.0) -> Model:
-    """A model from rows (text, lang) with both set: the ``max_rows`` different texts of least hash.
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """A model from ``max_rows`` rows (text, lang) with both set, as many of each language as there are.
 
-    Copies count once, so that a large group of them leaves room for others.  The order
-    by hash makes the sample the same whatever the partitioning.  Hashes alone are
-    sorted; then the rows up to the last hash are fetched.
+    Of a language the different texts of least hash are taken; copies count once, so
+    that a large group of them leaves room for others, and the sample is the same
+    whatever the partitioning.  Hashes alone are ranked, each task keeping the first
+    ``max_rows`` of a language; then the whole texts of those taken are fetched.
     """
-    words = F.substring(F.col("text"), 1, MAX_TRAIN_WORDS * 20).alias("text")
-    good = labelled.where("text is not null and lang is not null").select(words, "lang").withColumn("h", F.xxhash64("text", "lang"))
-    last = good.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return fit([], reject)
-    picked = good.where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r"))
-    return fit([(r["text"], r["lang"]) for r in sorted(picked.select("h", "r.*").collect(), key=lambda r: r["h"])], reject)
+    good = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    each = Window.partitionBy("lang").orderBy("h")
+    ranked = good.select("lang", "h").distinct().withColumn("n", F.row_number().over(each)).where(F.col("n") <= max_rows)
+    taken = ranked.orderBy("n", "h", "lang").limit(max_rows).select("lang", "h")
+    picked = good.join(F.broadcast(taken), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return fit([(r["text"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["h"], r["lang"]))])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) per row; null texts and texts without letters give ``und`` and 0.
+    """(doc_id, lang_pred, score, rejected) per row; null texts and texts without letters give ``und``, 0 and true.
 
     Whole texts are read; other columns are ignored; an empty table gives an empty result.
     """
@@ -192,9 +212,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = Model(*shared.value)
         for b in batches:
             found = [m.predict(t) for t in map(pa.StringScalar.as_py, b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out():
