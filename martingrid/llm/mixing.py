@@ -178,7 +178,7 @@ def lay_out(sized: DataFrame, p: Plan, seed: int = SEED) -> DataFrame:
     totals = s.groupBy("source_id", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     base = totals.withColumn("base", F.sum("words").over(upto) - F.col("words")).drop("words")
-    return placed.join(base, ["source_id", "bucket"]).select(*KEY, (F.col("base") + F.col("low")).alias("start"))
+    return placed.join(base.hint("merge"), ["source_id", "bucket"]).select(*KEY, (F.col("base") + F.col("low")).alias("start"))
 
 
 #: What names a document row; copy numbers rows that repeat the others.
@@ -201,7 +201,7 @@ def _pieces(docs: DataFrame, block_words: int, weights, seed: int) -> tuple[Plan
         "block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")))
     )
     times = draw_slots(docs.sparkSession, p, seed=seed).groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    pieces = spans.join(times, ["source_id", "block"]).select(
+    pieces = spans.join(times.hint("merge"), ["source_id", "block"]).select(
         *KEY,
         (F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start")).alias("a"),
         (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.col("start")).alias("b"),
