@@ -65,6 +65,14 @@ def test_personal_data_of_every_format_goes_and_comes_back(spark):
     assert [r.text for r in back.orderBy("i").collect()] == texts + kept
 
 
+def test_long_runs_and_odd_tables(spark):
+    texts = ["x@" + "a." * 40_000 + "com y", "x@" + "a." * 40_000, "1 2 " * 300, "+" * 20_000, "a" * 100_000 + "@b.example.com", None, ""]
+    table = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, m string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise_documents(table).collect()}
+    assert got[0] != texts[0] and got[0].endswith("a.com y") and [got[i] for i in (1, 2, 3, 5, 6)] == [texts[i] for i in (1, 2, 3, 5, 6)]
+    assert pii.pseudonymise_documents(table.limit(0)).count() == 0
+
+
 def test_late_dates_are_one_to_one(spark):
     days = spark.range(146_097).select(F.date_add(F.lit("1700-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy").alias("t"))
     made = days.select(pii._late_date(F.col("t"), "k", True, "dd/MM/yyyy").alias("p")).persist()
@@ -120,17 +128,51 @@ def test_transport_round_trip(docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in transport.digests(docs).collect():
         assert r.payload_sha256 == hashlib.sha256(transport.pad(texts[r.doc_id])).hexdigest() and "continuity_errors=0" in r.feature
+    assert {r.error for r in transport.digests(docs).collect()} == {None} and transport.digests(docs.limit(0)).count() == 0
     media = transport.mux(bytes(range(256)) * 90)
     assert transport.demux(media[: 5 * 188] + media[6 * 188 :]).continuity_errors == 1
 
 
+def test_damaged_streams_say_so(spark):
+    media = transport.mux(bytes(range(256)) * 90)
+    packet = bytearray(media[4 * 188 : 5 * 188])
+    packet[3], packet[4] = packet[3] | 0x20, 250  # an adaptation field longer than the packet
+    odd = [media, media[:-7], b"x" + media[1:], media[: 4 * 188] + bytes(packet) + media[5 * 188 :], media[3 * 188 :], b"", b"no stream at all", media[: 2 * 188] + b"\x47\x41\0\x30\xb7" + bytes(183) + media[2 * 188 :], None]
+    table = spark.createDataFrame([(i, None if m is None else bytearray(m), "x") for i, m in enumerate(odd)], "doc_id long, media binary, error string")
+    got = {r.doc_id: r for r in transport.parse(table).collect()}
+    assert got[0].error is None and bytes(got[0].payload) == bytes(range(256)) * 90 and all(got[i].error for i in (1, 2, 3, 6, 7)) and got[8].payload is None
+    assert got[5].error is None and bytes(got[5].payload) == b""
+
+
 def test_language(spark, docs):
     words = {"en": "the and of with this that", "de": "und der die nicht ein auch"}
     rows = [(" ".join(np.random.default_rng(i).permutation(words[y].split() * 3)), y) for i in range(40) for y in words]
     m = langid.fit(rows)
     assert m.predict("und die der ein")[0] == "de" and m.predict("this of the")[0] == "en"
-    assert m.predict(None) == (langid.UNKNOWN, 0.0) and m.predict("123 !")[0] == langid.UNKNOWN
-    assert langid.predict(docs, m).count() == docs.count()
+    assert m.predict(None) == (langid.UNKNOWN, 0.0, True) and m.predict("123 !")[0] == langid.UNKNOWN
+    assert langid.predict(docs, m).count() == docs.count() and langid.predict(docs.limit(0), m).count() == 0
+    none = langid.fit([])
+    assert none.predict("und die") == (langid.UNKNOWN, 0.0, True)
+    table = spark.createDataFrame([*rows, (None, "en"), ("x y", None), *rows[:2] * 30], "text string, lang string")
+    a, b = langid.train(table), langid.train(table.repartition(5))
+    assert a.languages == ["de", "en"] and np.array_equal(a.embed, b.embed) and a.least == b.least
+    few = langid.train(table.where("lang = 'de'").union(table.where("lang = 'en'").limit(3)), max_rows=8)
+    assert few.languages == ["de", "en"], "a rare language has its share"
+
+
+def test_language_pieces_cover_the_whole_text():
+    text = " ".join(f"wort{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(676)) * 3
+    rng = np.random.default_rng(1)
+    found = list(langid.pieces_of(text, rng))
+    at = [text.index(" ".join(re.findall(r"[a-z]+", p))[:6]) for p in found]
+    assert len(found) == langid.MAX_PIECES and all(p for p in found) and " ".join(found[-1].split()[:3]) in text[len(text) * 18 // 20 :] and at
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = catalog.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    r = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.avg(F.col("rejected").cast("double"))).first()
+    assert r[0] > 0.95 and r[1] < 0.3
 
 
 def test_language_features():
@@ -152,6 +194,12 @@ def test_chat(spark):
     made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     for r in made.withColumn("turns", chat.read_turns(F.col("formatted"))).collect():
         assert [tuple(t) for t in r.turns] == [(x[2] or "", x[3] or "") for x in rows if x[0] == r.conv_id]
+    for r in made.collect():
+        said = "".join(r.formatted[s.start : s.start + s.length] for s in r.loss_spans)
+        assert re.sub(r"<\\(\\*)\|", r"<\1|", said) == "".join(x[3] or "" for x in rows if x[0] == r.conv_id and x[2] == "assistant")
+    assert chat.digests(made.limit(0)).count() == 0
+    same = chat.format_chats(spark.createDataFrame([(None, 3, "user", f"t{i}") for i in (2, 1, 1)], "conv_id long, turn long, role string, text string")).first()
+    assert same.formatted == "<|im_start|>user\nt1<|im_sep|>t1<|im_sep|>t2<|im_end|>\n"
     d = {r.conv_id: r for r in chat.digests(made).collect()}
     assert d[1].loss_sha256 == hashlib.sha256("a<\\|bc\n<|im_sep|>".encode()).hexdigest() and d[1].n_turns == 4
 
@@ -197,6 +245,20 @@ def test_licences(spark):
     assert got == {1: ("MIT", "MIT"), 2: ("MIT", "MIT"), 3: (None, "CC-BY-4.0"), 4: (None, ""), None: (None, "")}
 
 
+def test_licences_of_odd_texts(spark):
+    rows = [
+        (1, "Кириллический документ.\nCopyright 2020 Me\nReleased under the MIT License."), (2, "licence licence x"), (3, "non-commercial sub licences https"),
+        (4, "-\n" * 20_000), (5, "---- All rights reserved\nИ слово"), (6, "(" * 50_000),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    canon = {r.doc_id: r.c for r in table.select("doc_id", licences.canonical(F.col("text")).alias("c")).collect()}
+    assert canon == {1: "кириллический документ released under the mit license", 2: "license license x", 3: "noncommercial sublicenses http", 4: "", 5: "и слово", 6: ""}
+    own = spark.createDataFrame([(hashlib.sha256(b"license license x").hexdigest(), "own", 1, 2)], "digest string, licence string, id int, whole int")
+    got = {r.doc_id: (r.whole_licence, r.notices) for r in licences.scan(table, own).collect()}
+    assert got[2] == ("own", "own") and got[1] == (None, "") and licences.scan(table.limit(0)).count() == 0
+    assert {r.doc_id: r.notices for r in licences.scan(table).collect()}[1] == "MIT"
+
+
 def test_full_licences_at_any_width(spark):
     import textwrap
 
@@ -219,6 +281,23 @@ def test_pages(spark):
     assert got == {1: "Head A&B bold two three", 2: "Head A&B bold other three", 3: "", 4: ""}
 
 
+def test_pages_of_telling_wrappers_and_odd_markup(spark):
+    import time
+
+    pages = [
+        '<body class="no-sidebar"><p>one</p></body>', '<article class="post share-enabled"><p>two</p><div class="share">x</div></article>',
+        '<form><div class="has-sidebar"><main><p>three</p></main></div></form>', '<main><p>four</p></main><div class="comments"><article class="comment"><p>x</p></article></div>',
+    ]
+    rows = [(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)] + [(9, None, None), (9, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in wrappers.extract(table).collect())
+    assert got == [(0, "one"), (1, "two"), (2, "three"), (3, "four"), (9, ""), (9, "")] and wrappers.extract(table.limit(0)).count() == 0
+    for odd in ("<a", "<!", '<a "', "<a '\""):
+        start = time.perf_counter()
+        wrappers.main_text(odd * 60_000, [])
+        assert time.perf_counter() - start < 5
+
+
 def test_pages_are_read_through_their_wrapper(spark):
     wide = "".join(f'<section id="s{i}"><p>part {{0}} of {i}</p></section>' for i in range(2_100))
     body = '<div class="top">Our paper</div><div class="story"><p>first of {0}</p><p>second of {0}</p></div><div class="end">All rights {1}</div>'
