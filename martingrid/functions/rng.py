@@ -6,7 +6,7 @@ each round is one projection, which stays within whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the Philox4x32-10 generator.
@@ -75,3 +75,25 @@ def inverse_normal(p: Column) -> Column:
     ends = lambda x: _horner(ACKLAM_C, tail(x)) / _horner(ACKLAM_D, tail(x))
     middle = _horner(ACKLAM_A, q * q) * q / _horner(ACKLAM_B, q * q)
     return F.when((p > 0) & (p < ACKLAM_LOW), ends(p)).when((p >= ACKLAM_LOW) & (p <= 1 - ACKLAM_LOW), middle).when((p > 1 - ACKLAM_LOW) & (p < 1), -ends(1 - p))
+
+
+def raw_hex(w0: Column, w1: Column) -> Column:
+    """The 64-bit value of the first two words, as 16 lowercase hex digits."""
+    return F.lower(F.lpad(F.hex(F.shiftleft(w0, 32).bitwiseOR(w1)), 16, "0"))
+
+
+def raw_stream(spark: SparkSession, seed: int, words: int, dimensions: int = 1) -> DataFrame:
+    """(position, scenario, dimension, raw): the stream scenario by scenario, dimensions within.
+
+    Write it with ``stream_lines`` where a program wants it in order.
+    """
+    if not (0 < words and 1 <= dimensions <= MAX_DIMENSIONS and (words - 1) // dimensions < MAX_SCENARIOS):
+        raise ValueError("words or dimensions out of range")
+    rows = spark.range(words).select(F.col("id").alias("position"), F.expr(f"id div {dimensions}").alias("scenario"), (F.col("id") % dimensions).cast("int").alias("dimension"))
+    drawn = with_words(rows, seed, F.col("scenario"), F.lit(0), F.col("dimension"), F.lit(0))
+    return drawn.select("position", "scenario", "dimension", raw_hex(F.col("w0"), F.col("w1")).alias("raw"))
+
+
+def stream_lines(stream: DataFrame, path: str) -> None:
+    """The stream as text, a hex word a line; the files' names are in the order of positions."""
+    stream.orderBy("position").select("raw").write.mode("errorifexists").text(path)

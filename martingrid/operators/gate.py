@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +52,104 @@ def speedup(runs: DataFrame, group: str, workers: str, rate: str) -> DataFrame:
     base = runs.groupBy(group).agg(F.min_by(rate, workers).alias("_rate"), F.min(workers).alias("_workers"))
     gain = F.col(rate) / F.col("_rate")
     return runs.join(base, group).withColumn("speedup", gain).withColumn("efficiency", gain * F.col("_workers") / F.col(workers)).drop("_rate", "_workers")
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What a gate asks of its pairs of runs."""
+
+    minimum_pairs: int = 20
+    samples: int = 10_000
+    #: Fixed value: the seed of the resampling.
+    seed: int = 0x523443484B5054
+    maximum_loss: float = 10.0
+    maximum_drift: float = 5.0
+    maximum_order_effect: float = 5.0
+
+    def __post_init__(self):
+        limits = (self.maximum_loss, self.maximum_drift, self.maximum_order_effect)
+        if self.minimum_pairs < 2 or not 1_000 <= self.samples <= 1_000_000 or not all(np.isfinite(x) and x >= 0 for x in limits):
+            raise ValueError("the gate's policy is not valid")
+
+
+#: Pairs that a gate may have.
+PAIRS = (2, 100)
+
+
+def throughput_loss(control: Column, treatment: Column) -> Column:
+    """Percent of the control's rate that the treatment loses; null unless both rates are finite and above zero."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (x > 0) & (x < float("inf"))
+    return F.when(good(control) & good(treatment), (1 - treatment / control) * 100)
+
+
+def split_mix(states: np.ndarray) -> np.ndarray:
+    """Outputs of the SplitMix64 generator at the given states."""
+    with np.errstate(over="ignore"):
+        x = (states ^ states >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def sample_indices(seed: int, bound: int, count: int) -> np.ndarray:
+    """``count`` unbiased draws from 0 to bound - 1, in the generator's order; outputs below 2^64 mod bound are passed over."""
+    out, at = [], 0
+    while sum(map(len, out)) < count:
+        with np.errstate(over="ignore"):
+            states = np.uint64(seed % 2**64) + np.arange(at + 1, at + count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        drawn = split_mix(states)
+        out.append(drawn[drawn >= np.uint64(2**64 % bound)] % np.uint64(bound))
+        at += count
+    return np.concatenate(out)[:count].astype(np.int64)
+
+
+def bootstrap_interval(losses: np.ndarray, samples: int, seed: int) -> tuple[float, float]:
+    """The 95 % percentile interval of the median over resamples of all losses."""
+    drawn = losses[sample_indices(seed, len(losses), samples * len(losses))].reshape(samples, -1)
+    low, high = np.quantile(np.median(drawn, axis=1), (0.025, 0.975))
+    return float(low), float(high)
+
+
+_SUMMARY = "pairs long, median_loss double, q25 double, q75 double, iqr double, mad double, ci_low double, ci_high double, drift_pct double, order_effect double, problem string"
+
+
+def decide(pairs: DataFrame, gate: str, policy: Policy = Policy()) -> DataFrame:
+    """One row per gate: robust statistics of its pairs' losses, the checks, and whether it passes.
+
+    ``pairs`` has the gate, pair, control, treatment and control_first.  A gate has 2 to
+    100 pairs, so one task can hold it; one with other numbers, with rates that are not
+    finite and above zero, or whose two orders differ by more than one pair has a
+    problem, no statistics, and does not pass.
+    """
+    kind = pairs.schema[gate].dataType.simpleString()
+    counted = pairs.groupBy(gate).agg(F.count("*").alias("_pairs"))
+    few = pairs.join(F.broadcast(counted.where(F.col("_pairs") > PAIRS[1]).select(gate)), gate, "left_anti")
+
+    def summary(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pair")
+        row: list = [len(f), *[None] * 9, None]
+        first = f["control_first"].to_numpy(bool)
+        if len(f) < PAIRS[0]:
+            row[-1] = "pairs"
+        elif f["loss"].isna().any() or not np.isfinite(f["loss"]).all():
+            row[-1] = "rates"
+        elif not first.any() or first.all() or abs(2 * int(first.sum()) - len(f)) > 1:
+            row[-1] = "balance"
+        else:
+            loss, rate = f["loss"].to_numpy(float), f["control"].to_numpy(float)
+            q25, q50, q75 = np.quantile(loss, (0.25, 0.5, 0.75))
+            i, j = np.triu_indices(len(rate), 1)
+            drift = 100 * np.median((rate[j] - rate[i]) / (j - i)) * (len(rate) - 1) / np.median(rate)
+            row[1:10] = [np.median(loss), q25, q75, q75 - q25, np.median(np.abs(loss - q50)), *bootstrap_interval(loss, policy.samples, policy.seed), drift, np.median(loss[first]) - np.median(loss[~first])]
+        return pd.DataFrame([[f[gate].iloc[0], *row]], columns=[gate, *[x.split()[0] for x in _SUMMARY.split(", ")]])
+
+    rows = few.select(gate, "pair", F.col("control").cast("double"), throughput_loss(F.col("control"), F.col("treatment")).alias("loss"), "control_first")
+    made = rows.groupBy(gate).applyInPandas(summary, f"{gate} {kind}, {_SUMMARY}")
+    many = counted.where(F.col("_pairs") > PAIRS[1]).select(gate, F.col("_pairs").alias("pairs"), F.lit("pairs").alias("problem"))
+    c = F.col
+    return made.unionByName(many, allowMissingColumns=True).select(
+        "*",
+        (c("pairs") >= policy.minimum_pairs).alias("enough"),
+        F.coalesce(c("ci_high") < policy.maximum_loss, F.lit(False)).alias("loss_ok"),
+        F.coalesce(F.abs("drift_pct") <= policy.maximum_drift, F.lit(False)).alias("drift_ok"),
+        F.coalesce(F.abs("order_effect") <= policy.maximum_order_effect, F.lit(False)).alias("order_ok"),
+    ).withColumn("passed", c("enough") & c("loss_ok") & c("drift_ok") & c("order_ok") & c("problem").isNull())

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martingrid.functions.codec import with_checksum
+
 #: Rejections that do no harm.
 BENIGN = ("Duplicate", "StaleIncarnation", "StaleLease")
+#: Numbers of the statuses.
+STATUS_CODES = {
+    "Accepted": 0, "Duplicate": 1, "InvalidRun": 2, "ExecutionLayoutMismatch": 3, "BuildMismatch": 4, "StaleIncarnation": 5, "RngVersionMismatch": 6, "StatsSchemaMismatch": 7,
+    "InvalidAggregate": 8, "CorruptPayload": 9, "InvalidBlock": 10, "StaleLease": 11, "DeterminismError": 12,
+}
 #: Slack of the mean against minimum and maximum, in units of their scale.
 MEAN_SLACK = 64 * 2.0**-52
 
@@ -19,7 +26,7 @@ def invariant_error(expected: Column, n: Column, mean: Column, m2: Column, low:
     """Why the statistics of a block can't be right, or null."""
     slack = F.greatest(F.abs(low), F.abs(high), F.lit(1.0)) * MEAN_SLACK
     return (
-        F.when(n != expected, "count")
+        F.when(~n.eqNullSafe(expected), "count")
         .when((n == 0) & ((mean != 0) | (m2 != 0) | (low != 0) | (high != 0)), "empty")
         .when(~(_finite(mean) & _finite(m2) & _finite(low) & _finite(high)), "finite")
         .when(m2 < 0, "m2")
@@ -29,36 +36,43 @@ def invariant_error(expected: Column, n: Column, mean: Column, m2: Column, low:
     )
 
 
-def validate_results(results: DataFrame, blocks: DataFrame, committed: DataFrame, run: dict) -> DataFrame:
-    """``results`` with the columns status and benign: the first check that fails, or Accepted.
+def validate_results(results: DataFrame, blocks: DataFrame, committed: DataFrame, run: dict, antithetic: bool = False) -> DataFrame:
+    """``results`` with the columns status, code and benign: the first check that fails, or Accepted.
 
     ``blocks`` has block_id, start_scenario, end_scenario and lease_epoch, ``committed``
     block_id and checksum; both have a row per block at most.  ``run`` names the current
-    run_hash, layout_hash, build, incarnation, rng_version and stats_schema.  Both joins
-    are equi-joins on the block; a block that gets very many results is left to Spark's
-    skew join.
+    run_hash, layout_hash, build, incarnation, rng_version and stats_schema.  A null fails
+    its check.  Pairs count once.  The checksum is compared with computed_checksum, which
+    is formed from the statistics unless the results have it.  Both joins are equi-joins
+    on the block; a block that gets very many results is left to Spark's skew join.
     """
+    names = results.columns
+    if "computed_checksum" not in names:
+        results = with_checksum(results, "computed_checksum")
     known = blocks.select("block_id", F.col("start_scenario").alias("_start"), F.col("end_scenario").alias("_end"), F.col("lease_epoch").alias("_lease"))
     done = committed.select("block_id", F.col("checksum").alias("_done"))
     joined = results.join(known, "block_id", "left").join(done, "block_id", "left")
     c = F.col
-    wrong = invariant_error(c("end_scenario") - c("start_scenario"), c("n"), c("mean"), c("m2"), c("min"), c("max"))
+    differs = lambda a, b: ~c(a).eqNullSafe(b)
+    observed = F.expr("(_end - _start) div 2") if antithetic else c("_end") - c("_start")
+    wrong = invariant_error(observed, c("n"), c("mean"), c("m2"), c("min"), c("max"))
     status = (
-        F.when(c("run_hash") != run["run_hash"], "InvalidRun")
-        .when(c("layout_hash") != run["layout_hash"], "ExecutionLayoutMismatch")
-        .when(c("build") != run["build"], "BuildMismatch")
-        .when(c("incarnation") != run["incarnation"], "StaleIncarnation")
-        .when(c("rng_version") != run["rng_version"], "RngVersionMismatch")
-        .when(c("stats_schema") != run["stats_schema"], "StatsSchemaMismatch")
-        .when(c("_start").isNull() | (c("start_scenario") != c("_start")) | (c("end_scenario") != c("_end")), "InvalidBlock")
+        F.when(differs("run_hash", run["run_hash"]), "InvalidRun")
+        .when(differs("layout_hash", run["layout_hash"]), "ExecutionLayoutMismatch")
+        .when(differs("build", run["build"]), "BuildMismatch")
+        .when(differs("incarnation", run["incarnation"]), "StaleIncarnation")
+        .when(differs("rng_version", run["rng_version"]), "RngVersionMismatch")
+        .when(differs("stats_schema", run["stats_schema"]), "StatsSchemaMismatch")
+        .when(c("_start").isNull() | differs("start_scenario", c("_start")) | differs("end_scenario", c("_end")), "InvalidBlock")
         .when(wrong.isNotNull(), "InvalidAggregate")
-        .when(c("checksum") != c("computed_checksum"), "CorruptPayload")
+        .when(c("checksum").isNull() | differs("checksum", c("computed_checksum")), "CorruptPayload")
         .when(c("_done") == c("checksum"), "Duplicate")
         .when(c("_done").isNotNull(), "DeterminismError")
-        .when(c("lease_epoch") != c("_lease"), "StaleLease")
+        .when(differs("lease_epoch", c("_lease")), "StaleLease")
         .otherwise("Accepted")
     )
-    return joined.withColumn("status", status).withColumn("benign", c("status").isin(*BENIGN)).drop("_start", "_end", "_lease", "_done")
+    code = F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_CODES.items() for x in pair]), c("status"))
+    return joined.withColumn("status", status).select(*names, "status", code.alias("code"), c("status").isin(*BENIGN).alias("benign"))
 
 
 def missing_blocks(blocks: DataFrame, committed: DataFrame) -> DataFrame:
@@ -72,14 +86,63 @@ def orphan_results(results: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def universe_gaps(blocks: DataFrame) -> DataFrame:
-    """(block_id, end_scenario, next_start, problem) of blocks whose successor does not start where they end.
+    """(block_id, end_scenario, next_start, problem) of blocks whose successor does not start where they end, or is not there.
 
     Neighbours meet in an equi-join on the id, so no task sorts the whole universe as a
-    window would.
+    window would.  The last block needs no successor.
     """
     after = blocks.select((F.col("block_id") - 1).alias("block_id"), F.col("start_scenario").alias("next_start"))
-    gap = F.when(F.col("next_start") > F.col("end_scenario"), "gap").when(F.col("next_start") < F.col("end_scenario"), "overlap")
-    return blocks.join(after, "block_id").select("block_id", "end_scenario", "next_start", gap.alias("problem")).where("problem is not null")
+    last = F.broadcast(blocks.agg(F.max("block_id").alias("_last")).where("_last is not null"))
+    gap = F.when(F.col("next_start") > F.col("end_scenario"), "gap").when(F.col("next_start") < F.col("end_scenario"), "overlap").when(F.col("next_start").isNull() & F.col("_last").isNull(), "hole")
+    ends = blocks.join(last, F.col("block_id") == F.col("_last"), "left").select("block_id", "end_scenario", "_last")
+    return ends.join(after, "block_id", "left").select("block_id", "end_scenario", "next_start", gap.alias("problem")).where("problem is not null")
+
+
+def universe_problems(blocks: DataFrame, scenarios: int, block_size: int, antithetic: bool = False) -> DataFrame:
+    """(block_id, problem) of everything that keeps ``blocks`` from being the universe of a run.
+
+    ``blocks`` has block_id, start_scenario, end_scenario, incarnation and lease_epoch.
+    Ranges follow from the id, so each row is checked alone; only repeats and missing
+    ids need a shuffle, of ids.  The incarnation is to be the least one throughout.
+    """
+    c, n = F.col, 1 + (scenarios - 1) // block_size
+    first = blocks.agg(F.min("incarnation")).first()[0]
+    start, end = c("block_id") * block_size, F.least((c("block_id") + 1) * block_size, F.lit(scenarios))
+    odd = (c("start_scenario") % 2 != 0) | (c("end_scenario") % 2 != 0)
+    problem = (
+        F.when(~F.coalesce(c("block_id").between(0, n - 1), F.lit(False)), "outside")
+        .when(~c("start_scenario").eqNullSafe(start) | ~c("end_scenario").eqNullSafe(end), "range")
+        .when(~c("incarnation").eqNullSafe(F.lit(first)), "incarnation")
+        .when(~F.coalesce(c("lease_epoch") >= 1, F.lit(False)), "lease")
+        .when(odd if antithetic else F.lit(False), "pair")
+    )
+    rows = blocks.select("block_id", problem.alias("problem")).where("problem is not null")
+    again = blocks.groupBy("block_id").count().where("count > 1").select("block_id", F.lit("repeated").alias("problem"))
+    absent = blocks.sparkSession.range(n).select(c("id").alias("block_id")).join(blocks.select("block_id"), "block_id", "left_anti").select("block_id", F.lit("missing").alias("problem"))
+    return rows.unionByName(again).unionByName(absent)
+
+
+def spec_problem(rows: DataFrame) -> Column:
+    """Why a row of specifications can't be run, first reason first, or null; columns are named as the fields of RunSpec."""
+    c = F.col
+    good = lambda x: _finite(c(x)) & (c(x) > 0)
+    positive = lambda x: F.coalesce(good(x), F.lit(False))
+    return (
+        F.when(~F.coalesce(c("scenarios").between(1, 1 << 40), F.lit(False)), "scenarios")
+        .when(~F.coalesce(c("steps").between(1, 1 << 24), F.lit(False)), "steps")
+        .when(~positive("maturity"), "maturity").when(~positive("spot"), "spot").when(~positive("strike"), "strike")
+        .when(~F.coalesce(_finite(c("rate")), F.lit(False)), "rate").when(~positive("volatility"), "volatility")
+        .when(~F.coalesce(c("payoff").isin("european_call", "asian_call"), F.lit(False)), "payoff")
+        .when(F.coalesce(c("antithetic"), F.lit(False)) & (c("scenarios") % 2 != 0), "pairs")
+    )
+
+
+def covered_once(recovered: DataFrame, computed: DataFrame, n_blocks: int) -> DataFrame:
+    """One row (blocks, recovered, computed, covered): whether both together have each of the run's blocks once."""
+    both = recovered.select("block_id", F.lit(1).alias("r")).unionByName(computed.select("block_id", F.lit(0).alias("r")))
+    each = both.groupBy("block_id").agg(F.count("*").alias("times"), F.sum("r").alias("r"))
+    good = F.count_if((F.col("times") == 1) & F.col("block_id").between(0, n_blocks - 1))
+    return each.agg(F.sum("times").alias("blocks"), F.sum("r").alias("recovered"), (F.sum("times") - F.sum("r")).alias("computed"), ((good == n_blocks) & (F.count("*") == n_blocks)).alias("covered"))
 
 
 def feller_ratio(kappa: Column, theta: Column, xi: Column) -> Column:

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martingrid.functions import codec, heston, parse
 from martingrid.operators import gate, validation
+from martingrid.sources import documents
 
 RUN = {"run_hash": "run", "layout_hash": "layout", "build": "build", "incarnation": 2, "rng_version": 2, "stats_schema": 1}
-UNIVERSE = 4_900
-#: The same text is read by Spark and by DuckDB: results, with faults of every kind, made from order keys.
-RESULTS = """SELECT o_orderkey AS result_id, o_orderkey % 5000 AS block_id,
-  CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE 'run' END AS run_hash, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE 'layout' END AS layout_hash,
+#: A block for each order key; the last fiftieth of them is outside the universe.
+UNIVERSE = "(max(o_orderkey) + 1) * 49 DIV 50"
+UNIVERSE_SQL = "(SELECT (max(o_orderkey) + 1) * 49 // 50 FROM orders)"
+#: The same text is read by Spark and by DuckDB: results, with faults and nulls of every kind, made from order keys.
+RESULTS = """SELECT o_orderkey AS result_id, o_orderkey AS block_id,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'x' WHEN o_orderkey % 71 = 0 THEN NULL ELSE 'run' END AS run_hash, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE 'layout' END AS layout_hash,
   CASE WHEN o_orderkey % 19 = 0 THEN 'x' ELSE 'build' END AS build, CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 2 END AS incarnation,
   CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 2 END AS rng_version, CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE 1 END AS stats_schema,
-  (o_orderkey % 5000) * 100 + CASE WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END AS start_scenario, (o_orderkey % 5000) * 100 + 100 AS end_scenario,
-  100 - CASE WHEN o_orderkey % 41 = 0 THEN 1 ELSE 0 END AS n, o_totalprice AS mean, CASE WHEN o_orderkey % 59 = 0 THEN -1.0 ELSE 1.0 END AS m2,
+  o_orderkey * 100 + CASE WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END AS start_scenario, o_orderkey * 100 + 100 AS end_scenario,
+  CASE WHEN o_orderkey % 67 = 0 THEN NULL ELSE 100 - CASE WHEN o_orderkey % 41 = 0 THEN 1 ELSE 0 END END AS n, o_totalprice AS mean, CASE WHEN o_orderkey % 59 = 0 THEN -1.0 ELSE 1.0 END AS m2,
   o_totalprice - 1 AS min, o_totalprice + CASE WHEN o_orderkey % 61 = 0 THEN -2 ELSE 1 END AS max,
-  CASE WHEN o_orderkey % 43 = 0 THEN 'bad' WHEN o_orderkey % 53 = 0 THEN 'c' ELSE 'a' END AS checksum, CASE WHEN o_orderkey % 53 = 0 THEN 'c' ELSE 'a' END AS computed_checksum,
-  CASE WHEN o_orderkey % 47 = 0 THEN 0 ELSE 1 END AS lease_epoch FROM orders"""
+  CASE WHEN o_orderkey % 43 = 0 THEN 'bad' WHEN o_orderkey % 73 = 0 THEN NULL WHEN o_orderkey % 53 = 0 THEN 'c' ELSE 'a' END AS checksum, CASE WHEN o_orderkey % 53 = 0 THEN 'c' ELSE 'a' END AS computed_checksum,
+  CASE WHEN o_orderkey % 47 = 0 THEN 0 WHEN o_orderkey % 79 = 0 THEN NULL ELSE 1 END AS lease_epoch FROM orders"""
 
 
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +33,15 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RESULTS.replace("FROM orders", "FROM {orders}"), orders=_rows(spark, sf_dir, "orders"))
 
 
-def _universe(spark: SparkSession) -> DataFrame:
-    return spark.range(UNIVERSE).selectExpr("id AS block_id", "id * 100 AS start_scenario", "id * 100 + 100 AS end_scenario", "1 AS lease_epoch")
+def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _rows(spark, sf_dir, "orders").selectExpr(UNIVERSE).first()[0] or 0
+    return spark.range(n).selectExpr("id AS block_id", "id * 100 AS start_scenario", "id * 100 + 100 AS end_scenario", "1 AS lease_epoch")
 
 
 def f7_validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = spark.range(0, UNIVERSE, 7).selectExpr("id AS block_id", "'a' AS checksum")
-    return validation.validate_results(_results(spark, sf_dir), _universe(spark), done, RUN).select("result_id", "block_id", "status", "benign")
+    universe = _universe(spark, sf_dir)
+    done = universe.where("block_id % 7 = 0").selectExpr("block_id", "'a' AS checksum")
+    return validation.validate_results(_results(spark, sf_dir), universe, done, RUN).select("result_id", "block_id", "status", "code", "benign")
 
 
 def f4_invariant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,21 +51,120 @@ def f4_invariant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j3_missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _rows(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey AS block_id")
-    return validation.missing_blocks(_universe(spark), done).select("block_id")
+    return validation.missing_blocks(_universe(spark, sf_dir), done).select("block_id")
 
 
 def j5_orphan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = spark.range(0, UNIVERSE, 3).selectExpr("id AS block_id", "2 AS incarnation", "1 AS lease_epoch")
+    manifest = _universe(spark, sf_dir).where("block_id % 3 = 0").selectExpr("block_id", "2 AS incarnation", "1 AS lease_epoch")
     return validation.orphan_results(_results(spark, sf_dir), manifest).select("result_id", "block_id")
 
 
 def f6_universe_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _rows(spark, sf_dir, "orders").selectExpr(
+    blocks = _rows(spark, sf_dir, "orders").where("o_orderkey % 89 <> 5").selectExpr(
         "o_orderkey AS block_id", "o_orderkey * 100 + if(o_orderkey % 101 = 1, 5, 0) AS start_scenario", "o_orderkey * 100 + 100 + if(o_orderkey % 97 = 1, 3, 0) AS end_scenario"
     )
     return validation.universe_gaps(blocks)
 
 
+def f6_universe_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are shifted, ranges moved, incarnations and leases wrong for some orders; the last block ends where the scenarios do."""
+    orders = _rows(spark, sf_dir, "orders")
+    blocks = orders.selectExpr(
+        "if(o_orderkey % 83 = 4, o_orderkey + 1, o_orderkey) AS block_id", "o_orderkey * 100 + if(o_orderkey % 101 = 1, 5, 0) AS start_scenario",
+        "o_orderkey * 100 + 100 + if(o_orderkey % 97 = 1, 3, 0) AS end_scenario", "if(o_orderkey % 103 = 2, 9, 2) AS incarnation", "if(o_orderkey % 107 = 3, 0, 1) AS lease_epoch",
+    )
+    n = orders.agg(F.max("o_orderkey")).first()[0] + 1
+    return validation.universe_problems(blocks, n * 100, 100)
+
+
+def f1_spec_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "if(p_size % 17 = 0, 0, p_size) AS scenarios", "if(p_size % 13 = 0, 0, 1) AS steps", "if(p_size = 50, double('NaN'), 1D) AS maturity", "if(p_partkey % 19 = 0, -1D, 100D) AS spot", "100D AS strike",
+        "if(p_partkey % 23 = 0, double('Infinity'), 0.05D) AS rate", "if(p_partkey % 29 = 0, null, 0.2D) AS volatility", "if(p_partkey % 31 = 0, 'put', 'asian_call') AS payoff", "p_partkey % 2 = 0 AS antithetic",
+    )
+    return rows.select("p_partkey", validation.spec_problem(rows).alias("problem"))
+
+
+def x7_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    return _rows(spark, sf_dir, "orders").select("o_orderkey", codec.crc32c(key).alias("crc"))
+
+
+#: Texts that are numbers, and texts that nearly are, by order key.
+TEXTS = """CASE o_orderkey % 9 WHEN 0 THEN concat(' ', o_orderkey) WHEN 1 THEN concat('+', o_orderkey) WHEN 2 THEN concat(o_orderkey, 'x') WHEN 3 THEN concat('1844674407370955', o_orderkey % 10000)
+  WHEN 4 THEN concat(o_orderkey, '.25e2') WHEN 5 THEN concat('-', o_orderkey, '.5') WHEN 6 THEN '1e999' WHEN 7 THEN '' ELSE concat('', o_orderkey) END"""
+
+
+def x11_strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir, "orders").select("o_orderkey", F.expr(TEXTS).alias("t"))
+    return rows.select("o_orderkey", parse.parse_u64(F.col("t")).alias("whole"), F.round(parse.parse_finite(F.col("t")), 6).alias("number"))
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair of runs a day: events of even ids are the control, the others the treatment."""
+    events = _rows(spark, sf_dir, "events").select(F.dayofmonth("ts").alias("day"), (F.col("event_id") % 2).alias("odd"), "value")
+    rates = events.groupBy("day", "odd").agg(F.avg("value").alias("rate"))
+    control, treatment = (rates.where(F.col("odd") == k).select("day", F.col("rate").alias(n)) for k, n in ((0, "control"), (1, "treatment")))
+    return control.join(treatment, "day")
+
+
+def j7_paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir).select("day", F.round("control", 7).alias("control"), F.round("treatment", 7).alias("treatment"))
+
+
+def x15_throughput_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir).select("day", F.round(gate.throughput_loss(F.col("control"), F.col("treatment")), 7).alias("loss"))
+
+
+SAMPLES = 1_000
+
+
+def a18_gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _paired(spark, sf_dir).select(F.lit("all").alias("gate"), F.col("day").alias("pair"), "control", "treatment", (F.col("day") % 2 == 0).alias("control_first"))
+    made = gate.decide(pairs, "gate", gate.Policy(samples=SAMPLES))
+    return made.select(*[F.round(c, 7).alias(c) if t == "double" else c for c, t in made.dtypes])
+
+
+def o2_canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _rows(spark, sf_dir, "events")
+    once = events.groupBy("user_id", "event_id").count()
+    made = once.groupBy("user_id").agg(F.sum("count").alias("n"), F.count("*").alias("ids"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return made.withColumn("canonical", F.col("n") == F.col("ids"))
+
+
+def u1_covered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered and computed blocks together are the universe, each once."""
+    orders = _rows(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), F.when(F.col("o_orderstatus") == "F", "recovered").otherwise("computed").alias("how"))
+    n = orders.agg(F.max("block_id")).first()[0] + 1
+    return validation.covered_once(orders.where("how = 'recovered'"), orders.where("how = 'computed'"), n)
+
+
+def w6_commits_since_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir, "events").selectExpr("event_id", "event_id % 64 + 1 AS since", "event_id div 64 AS checkpoint")
+
+
+def k1_json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand", "if(p_size % 7 = 0, null, p_size / 8D) AS ratio", "p_partkey % 2 = 0 AS even")
+    return documents.json_result(rows).select(F.get_json_object("document", "$.p_partkey").cast("long").alias("p_partkey"), "document")
+
+
+def m15_heston_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of strikes, maturities and correlations by part, against the bounds of a call; price and error as they come."""
+    rows = _rows(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "100D AS spot", "60D + p_partkey % 81 AS strike", "0.03D AS rate", "(1 + p_size % 10) / 4D AS maturity", "0.04D AS initial_variance", "1.5D AS reversion",
+        "0.04D AS long_variance", "(p_partkey % 7) / 10D AS variance_volatility", "(p_partkey % 9 - 4) / 5D AS correlation",
+    )
+    return heston.heston_calls(rows).select("p_partkey", F.round("price", 8).alias("price"), "error")
+
+
+def x8_result_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the lines of each order, and the digest of their 48 bytes."""
+    stats = _rows(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), (F.var_pop("l_quantity") * F.count("*")).alias("m2"), F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max")
+    )
+    return codec.with_checksum(stats.where("m2 = 0")).select("l_orderkey", "n", "checksum")
+
+
 def m17_feller_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = _rows(spark, sf_dir, "part").selectExpr("p_partkey", "p_size / 10.0D AS kappa", "(p_partkey % 20) / 200.0D AS theta", "(p_partkey % 11) / 10.0D AS xi")
     ratio = validation.feller_ratio(*[F.col(c) for c in ("kappa", "theta", "xi")])
@@ -105,24 +210,71 @@ def x6_payload_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     f7_validate_results, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, a11_latency_percentiles, a13_linear_quantiles,
-    a14_median_deviation, a16_theil_sen, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256,
+    a14_median_deviation, a16_theil_sen, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256, f6_universe_problems, f1_spec_check, x7_crc32c, x11_strict_parse,
+    j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums,
 )
 
-_INVARIANT = "CASE WHEN n <> 100 THEN 'count' WHEN m2 < 0 THEN 'm2' WHEN min > max THEN 'range' WHEN mean < min OR mean > max THEN 'mean' END"
-_WRONG = _INVARIANT.replace("n <> 100", "n <> r.end_scenario - r.start_scenario")
+
+
+def _crc_step(n: int) -> str:
+    """A table entry: n halvings, each with the polynomial where the last bit is set."""
+    return f"list_reduce(list_prepend(c0::BIGINT, range({n})), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, {codec.CASTAGNOLI}) ELSE x >> 1 END)"
+
+
+def _gate_sql() -> str:
+    """The bootstrap's generator in 128-bit numbers; no output falls below 2^64 mod the number of pairs in these tables."""
+    p = gate.Policy()
+    big = lambda x: f"{x}::UHUGEINT"
+    mix = lambda x, shift, by: f"((xor({x}, {x} >> {shift}) * {big(by)}) % {big(1 << 64)})"
+    return f"""WITH e AS (SELECT *, dayofmonth(ts) AS day FROM events),
+      r AS (SELECT day, avg(value) FILTER (event_id % 2 = 0) AS control, avg(value) FILTER (event_id % 2 = 1) AS treatment FROM e GROUP BY day HAVING control IS NOT NULL AND treatment IS NOT NULL),
+      l AS (SELECT *, 100 * (1 - treatment / control) AS loss, day % 2 = 0 AS first, row_number() OVER (ORDER BY day) - 1 AS place FROM r),
+      s AS (SELECT count(*) AS pairs, median(loss) AS median_loss, quantile_cont(loss, 0.25) AS q25, quantile_cont(loss, 0.75) AS q75, mad(loss) AS mad, median(loss) FILTER (first) - median(loss) FILTER (NOT first) AS order_effect, median(control) AS middle FROM l),
+      g AS (SELECT k, ({big(p.seed)} + (k + 1)::UHUGEINT * {big(0x9E3779B97F4A7C15)} % {big(1 << 64)}) % {big(1 << 64)} AS x FROM s, range({SAMPLES} * pairs) t(k)),
+      g1 AS (SELECT k, {mix('x', 30, 0xBF58476D1CE4E5B9)} AS x FROM g), g2 AS (SELECT k, {mix('x', 27, 0x94D049BB133111EB)} AS x FROM g1),
+      d AS (SELECT k // pairs AS sample, (xor(x, x >> 31) % pairs::UHUGEINT)::BIGINT AS place FROM g2, s),
+      b AS (SELECT sample, median(loss) AS m FROM d JOIN l USING (place) GROUP BY sample), c AS (SELECT quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM b),
+      t AS (SELECT 100 * median((y.control - x.control) / (y.place - x.place)) AS slope FROM l x JOIN l y ON x.place < y.place),
+      a AS (SELECT *, slope * (pairs - 1) / middle AS drift_pct FROM s, c, t)
+      SELECT 'all' AS gate, pairs, {', '.join(f'round({x}, 7) AS {x}' for x in ('median_loss', 'q25', 'q75', 'mad', 'ci_low', 'ci_high', 'drift_pct', 'order_effect'))}, round(q75 - q25, 7) AS iqr, NULL::VARCHAR AS problem,
+        pairs >= {p.minimum_pairs} AS enough, ci_high < {p.maximum_loss} AS loss_ok, abs(drift_pct) <= {p.maximum_drift} AS drift_ok, abs(order_effect) <= {p.maximum_order_effect} AS order_ok,
+        pairs >= {p.minimum_pairs} AND ci_high < {p.maximum_loss} AND abs(drift_pct) <= {p.maximum_drift} AND abs(order_effect) <= {p.maximum_order_effect} AS passed FROM a"""
+
+
+_INVARIANT = "CASE WHEN n IS DISTINCT FROM 100 THEN 'count' WHEN m2 < 0 THEN 'm2' WHEN min > max THEN 'range' WHEN mean < min OR mean > max THEN 'mean' END"
+_WRONG = _INVARIANT
 ORACLES = {
-    "f7_validate_results": f"""SELECT result_id, block_id, status, status IN ('Duplicate', 'StaleIncarnation', 'StaleLease') AS benign FROM (SELECT *, CASE
-      WHEN run_hash <> 'run' THEN 'InvalidRun' WHEN layout_hash <> 'layout' THEN 'ExecutionLayoutMismatch' WHEN build <> 'build' THEN 'BuildMismatch'
+    "f7_validate_results": f"""SELECT result_id, block_id, status, list_position({list(validation.STATUS_CODES)}, status) - 1 AS code, status IN ('Duplicate', 'StaleIncarnation', 'StaleLease') AS benign FROM (SELECT *, CASE
+      WHEN run_hash IS DISTINCT FROM 'run' THEN 'InvalidRun' WHEN layout_hash <> 'layout' THEN 'ExecutionLayoutMismatch' WHEN build <> 'build' THEN 'BuildMismatch'
       WHEN incarnation <> 2 THEN 'StaleIncarnation' WHEN rng_version <> 2 THEN 'RngVersionMismatch' WHEN stats_schema <> 1 THEN 'StatsSchemaMismatch'
-      WHEN block_id >= {UNIVERSE} OR start_scenario <> block_id * 100 THEN 'InvalidBlock' WHEN ({_WRONG}) IS NOT NULL THEN 'InvalidAggregate'
-      WHEN checksum <> computed_checksum THEN 'CorruptPayload' WHEN block_id % 7 = 0 AND checksum = 'a' THEN 'Duplicate' WHEN block_id % 7 = 0 THEN 'DeterminismError'
-      WHEN lease_epoch <> 1 THEN 'StaleLease' ELSE 'Accepted' END AS status FROM ({RESULTS}) r)""",
+      WHEN block_id >= {UNIVERSE_SQL} OR start_scenario <> block_id * 100 THEN 'InvalidBlock' WHEN ({_WRONG}) IS NOT NULL THEN 'InvalidAggregate'
+      WHEN checksum IS DISTINCT FROM computed_checksum THEN 'CorruptPayload' WHEN block_id % 7 = 0 AND checksum = 'a' THEN 'Duplicate' WHEN block_id % 7 = 0 THEN 'DeterminismError'
+      WHEN lease_epoch IS DISTINCT FROM 1 THEN 'StaleLease' ELSE 'Accepted' END AS status FROM ({RESULTS}) r)""",
     "f4_invariant_check": f"SELECT result_id, {_INVARIANT} AS reason FROM ({RESULTS})",
-    "j3_missing_blocks": f"SELECT i AS block_id FROM range({UNIVERSE}) t(i) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = i AND o_orderstatus = 'F')",
-    "j5_orphan_results": f"SELECT result_id, block_id FROM ({RESULTS}) WHERE NOT (block_id % 3 = 0 AND block_id < {UNIVERSE} AND incarnation = 2 AND lease_epoch = 1)",
-    "f6_universe_gaps": """SELECT *, CASE WHEN next_start > end_scenario THEN 'gap' ELSE 'overlap' END AS problem FROM (SELECT o_orderkey AS block_id,
-      o_orderkey * 100 + 100 + CASE WHEN o_orderkey % 97 = 1 THEN 3 ELSE 0 END AS end_scenario,
-      lead(o_orderkey * 100 + CASE WHEN o_orderkey % 101 = 1 THEN 5 ELSE 0 END) OVER (ORDER BY o_orderkey) AS next_start FROM orders) WHERE next_start <> end_scenario""",
+    "j3_missing_blocks": f"SELECT o_orderkey AS block_id FROM orders WHERE o_orderkey < {UNIVERSE_SQL} AND o_orderstatus <> 'F'",
+    "j5_orphan_results": f"SELECT result_id, block_id FROM ({RESULTS}) WHERE NOT (block_id % 3 = 0 AND block_id < {UNIVERSE_SQL} AND incarnation = 2 AND coalesce(lease_epoch, 0) = 1)",
+    "f6_universe_gaps": """WITH b AS (SELECT o_orderkey AS block_id, o_orderkey * 100 + CASE WHEN o_orderkey % 101 = 1 THEN 5 ELSE 0 END AS start_scenario,
+      o_orderkey * 100 + 100 + CASE WHEN o_orderkey % 97 = 1 THEN 3 ELSE 0 END AS end_scenario FROM orders WHERE o_orderkey % 89 <> 5)
+      SELECT * FROM (SELECT a.block_id, a.end_scenario, n.start_scenario AS next_start, CASE WHEN n.start_scenario > a.end_scenario THEN 'gap' WHEN n.start_scenario < a.end_scenario THEN 'overlap'
+        WHEN n.block_id IS NULL AND a.block_id < (SELECT max(block_id) FROM b) THEN 'hole' END AS problem FROM b a LEFT JOIN b n ON n.block_id = a.block_id + 1) WHERE problem IS NOT NULL""",
+    "f6_universe_problems": """SELECT * FROM (SELECT CASE WHEN o_orderkey % 83 = 4 THEN o_orderkey + 1 ELSE o_orderkey END AS block_id, CASE WHEN o_orderkey % 83 = 4 OR o_orderkey % 101 = 1 OR o_orderkey % 97 = 1 THEN 'range' WHEN o_orderkey % 103 = 2 THEN 'incarnation' WHEN o_orderkey % 107 = 3 THEN 'lease' END AS problem FROM orders) WHERE problem IS NOT NULL
+      UNION ALL SELECT o_orderkey + 1, 'repeated' FROM orders WHERE o_orderkey % 83 = 4 AND o_orderkey < (SELECT max(o_orderkey) FROM orders)
+      UNION ALL SELECT o_orderkey, 'missing' FROM orders WHERE o_orderkey % 83 = 4""",
+    "f1_spec_check": f"""SELECT p_partkey, CASE WHEN p_size % 17 = 0 THEN 'scenarios' WHEN p_size % 13 = 0 THEN 'steps' WHEN p_size = 50 THEN 'maturity' WHEN p_partkey % 19 = 0 THEN 'spot' WHEN p_partkey % 23 = 0 THEN 'rate'
+      WHEN p_partkey % 29 = 0 THEN 'volatility' WHEN p_partkey % 31 = 0 THEN 'payoff' WHEN p_partkey % 2 = 0 AND p_size % 2 = 1 THEN 'pairs' END AS problem FROM part""",
+    "x7_crc32c": f"""WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, {_crc_step(8)} AS c FROM (SELECT i, i AS c0 FROM range(256) r(i))))
+      SELECT o_orderkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda j: ascii(substr(k, j, 1))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+      FROM (SELECT o_orderkey, concat_ws('|', o_orderkey::VARCHAR, o_orderstatus, o_orderpriority) AS k FROM orders), t""",
+    "x11_strict_parse": f"""SELECT o_orderkey, CASE WHEN regexp_matches(t, '^[0-9]{{1,20}}$') THEN CASE WHEN t::UHUGEINT < 18446744073709551616::UHUGEINT THEN t::DECIMAL(20,0) END END AS whole,
+      CASE WHEN regexp_matches(t, '{parse.DOUBLE}') THEN CASE WHEN isfinite(try_cast(t AS DOUBLE)) THEN round(try_cast(t AS DOUBLE), 6) END END AS number
+      FROM (SELECT o_orderkey, {TEXTS} AS t FROM orders)""",
+    "x15_throughput_loss": "SELECT day, round(100 * (1 - treatment / control), 7) AS loss FROM (SELECT day, avg(value) FILTER (event_id % 2 = 0) AS control, avg(value) FILTER (event_id % 2 = 1) AS treatment FROM (SELECT *, dayofmonth(ts) AS day FROM events) GROUP BY day) WHERE control > 0 AND treatment > 0",
+    "a18_gate_decision": _gate_sql(),
+    "j7_paired_runs": "SELECT day, round(avg(value) FILTER (event_id % 2 = 0), 7) AS control, round(avg(value) FILTER (event_id % 2 = 1), 7) AS treatment FROM (SELECT *, dayofmonth(ts) AS day FROM events) GROUP BY day HAVING control IS NOT NULL AND treatment IS NOT NULL",
+    "o2_canonical_ids": "SELECT user_id, count(*) AS n, count(DISTINCT event_id) AS ids, min(event_id) AS first_id, max(event_id) AS last_id, count(*) = count(DISTINCT event_id) AS canonical FROM events GROUP BY user_id",
+    "u1_covered_once": "SELECT count(*) AS blocks, count(*) FILTER (o_orderstatus = 'F') AS recovered, count(*) FILTER (o_orderstatus <> 'F') AS computed, true AS covered FROM orders",
+    "w6_commits_since_checkpoint": "SELECT event_id, event_id % 64 + 1 AS since, event_id // 64 AS checkpoint FROM events",
+    "k1_json_result": """SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","ratio":' || CASE WHEN p_size % 7 = 0 THEN 'null' ELSE printf('%.12f', p_size / 8.0::DOUBLE) END || ',"even":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS document FROM part""",
     "m17_feller_warnings": """SELECT p_partkey, CASE WHEN xi = 0 THEN NULL ELSE round(r, 9) END AS ratio, xi <> 0 AND r < 1 - 1e-12 AS warned FROM (SELECT *, CASE WHEN xi = 0 THEN NULL ELSE kappa / xi * 2 * (theta / xi) END AS r
       FROM (SELECT p_partkey, p_size / 10.0::DOUBLE AS kappa, (p_partkey % 20) / 200.0::DOUBLE AS theta, (p_partkey % 11) / 10.0::DOUBLE AS xi FROM part))""",
     "a11_latency_percentiles": "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events WHERE value <> 0 GROUP BY event_type",
