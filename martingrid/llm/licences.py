@@ -8,11 +8,15 @@ of known licences and of their paragraphs in a hash join.  The known side is a t
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martingrid.llm.common import let
+
 #: The known side is broadcast and may have so many rows at most.
 MAX_KNOWN = 100_000
 #: Spellings of one word that count as the same.
@@ -21,8 +25,8 @@ SPELLINGS = {
     "authorisation": "authorization", "authorisations": "authorizations", "authorised": "authorized", "organisation": "organization", "organisations": "organizations",
     "whilst": "while", "https": "http",
 }
-#: What any of them begins with, so that most texts need no look at each word.
-_SPELLED = r"\b(?:sub)?licenc|\bauthoris|\borganis|\bwhilst\b|\bhttps\b"
+#: Parts of all of them and of the words written apart: most texts have none and need no look at each word.
+_SPELLED = ("licenc", "sub licen", "non commercial", "authoris", "organis", "whilst", "https")
 #: Words that are also written apart.
 APART = {"non commercial": "noncommercial", "sub license": "sublicense", "sub licenses": "sublicenses"}
 #: Short licence notices and texts as their publishers word them.
@@ -55,12 +59,16 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(F.lower(text), _CLAUSE, "")
     t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*+all rights reserved\b", "")
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+    # bound once, as most texts need no second look
+    return let(t, lambda x: F.when(reduce(or_, [x.contains(p) for p in _SPELLED]), _one_spelling(x)).otherwise(x))
+
+
+def _one_spelling(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
-    t = F.when(t.rlike(_SPELLED), spelled).otherwise(t)
+    out = F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
     for a, b in APART.items():
-        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}]){a}(?![\p{{L}}\p{{N}}])", b)
-    return t
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}]){a}(?![\p{{L}}\p{{N}}])", b)
+    return out
 
 
 def paragraphs(text: Column) -> Column:
