@@ -113,8 +113,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known if "part" in known.columns else known.withColumn("part", F.lit(False))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    known = known.select(F.col("digest").alias("digest"), "licence", "part")
-    rows = docs.select(F.col("doc_id").alias("id"), F.sha2(canonical(text), 256).alias("whole"), F.transform(F.array_distinct(F.concat(lines, paragraphs(text))), lambda x: F.sha2(canonical(x), 256)).alias("lines"))
+    known = known.select("digest", "licence", "part")
+    # a part that is the whole text has its digest already
+    parts = F.filter(F.array_distinct(F.concat(lines, paragraphs(text))), lambda x: x != text)
+    rows = docs.select(F.col("doc_id").alias("id"), F.sha2(canonical(text), 256).alias("whole"), F.transform(parts, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
     units = rows.select("id", "whole", F.explode(F.array_distinct(F.concat(F.array("whole"), "lines"))).alias("digest"))
     hits = units.join(F.broadcast(known), "digest").groupBy("id", "whole").agg(
         F.min(F.when((F.col("digest") == F.col("whole")) & ~F.col("part"), F.col("licence"))).alias("whole_licence"), F.sort_array(F.collect_set("licence")).alias("notices")
