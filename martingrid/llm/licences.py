@@ -53,14 +53,23 @@ MIN_PARAGRAPH_WORDS = 15
 _NOT_OWNER = "notices?|holders?|owners?|laws?|licen[sc]es?|licen[sc]ed|statements?|disclaimers?|interests?|protection|and|or|in|is|are|to|on|as|of|for|treaty|control|permission|the"
 _CLAUSE = rf"(?m)(?:^[^\p{{L}}\p{{N}}\n(©]*(?:copyright[ \t]+(?=[0-9]{{4}})|copyright[ \t]*(?=\(c\)|©)|\(c\)[ \t]*(?=(?:copyright[ \t]*)?(?:[0-9]{{4}}|by\b))|©)|(?<=\A|\n\n)[^\p{{L}}\p{{N}}\n(©]*copyright[ \t]+(?!(?:{_NOT_OWNER})\b)(?=\S))[^\n]*?(?=$|[.;,]\s+(?:released|licensed|permission|this|distributed|redistribution)\b)"
 
+#: Every clause has one of the marks, every notice of rights the words.
+_MARKS = ("copyright", "(c)", "©")
+_RESERVED = ("all rights reserved",)
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright clauses, one spelling, words parted by single spaces."""
-    t = F.regexp_replace(F.lower(text), _CLAUSE, "")
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*+all rights reserved\b", "")
+    # each form bound once, as most texts have no clause and no other spelling to look for
+    t = _only_with(F.lower(text), _MARKS, lambda x: F.regexp_replace(x, _CLAUSE, ""))
+    t = _only_with(t, _RESERVED, lambda x: F.regexp_replace(x, r"(?m)^[^\p{L}\p{N}\n]*+all rights reserved\b", ""))
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    # bound once, as most texts need no second look
-    return let(t, lambda x: F.when(reduce(or_, [x.contains(p) for p in _SPELLED]), _one_spelling(x)).otherwise(x))
+    return _only_with(t, _SPELLED, _one_spelling)
+
+
+def _only_with(text: Column, parts: tuple[str, ...], change) -> Column:
+    """``change`` of a text that contains one of the parts, any other text as it is."""
+    return let(text, lambda x: F.when(reduce(or_, [x.contains(p) for p in parts]), change(x)).otherwise(x))
 
 
 def _one_spelling(text: Column) -> Column:
