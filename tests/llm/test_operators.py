@@ -365,3 +365,13 @@ def test_near_duplicates(spark, docs):
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
     runs = [sorted(map(str, simhash.drop_near_duplicates(odd.repartition(n)).collect())) for n in (1, 3)]
     assert runs[0] == runs[1] and len(runs[0]) == 2
+
+
+def test_licence_marks_are_in_every_clause(spark):
+    """Texts passed over for lack of a mark have no clause that the patterns would take."""
+    texts = ["", "words only", "(c) 2020 x", "(C) by A\nb", "© B", "COPYRIGHT 2001 c", "a copyright notice", "copyright\t(c) d", "All  Rights Reserved", "- all rights reserved.\ne", "\n\nCopyright Me", "İ (c) 2019 ſ"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), licences._CLAUSE, ""), r"(?m)^[^\p{L}\p{N}\n]*+all rights reserved\b", "")
+    plain = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    for r in d.select("text", licences.canonical(F.col("text")).alias("a"), plain.alias("b")).collect():
+        assert r.a == r.b, r.text
