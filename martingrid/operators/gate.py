@@ -9,23 +9,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martingrid.operators import ranks
+
 
 def nearest_rank(rows: DataFrame, group: str, value: str, at=(0.5, 0.95, 0.99)) -> DataFrame:
     """Nearest-rank percentiles p50, p95, ...; zeros mean that there is no sample."""
-    ps = [F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"p{round(q * 100)}") for q in at]
-    return rows.where(F.col(value) != 0).groupBy(group).agg(F.count("*").alias("n"), *ps)
+    found = ranks.values_at(rows.where(F.col(value) != 0), [group], value, [ranks.nearest(p) for p in at])
+    return found.select(group, F.col("total").alias("n"), *[F.col(f"v{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(at)])
 
 
 def linear_quantiles(rows: DataFrame, group: str, value: str, at=(0.25, 0.5, 0.75)) -> DataFrame:
     """Quantiles interpolated between neighbours (type 7), and the interquartile range."""
-    q = rows.groupBy(group).agg(*[F.percentile(value, F.lit(p)).alias(f"q{round(p * 100)}") for p in at])
+    found = ranks.quantiles(rows, [group], value, at)
+    q = found.select(group, *[F.col(f"q{i}").alias(f"q{round(p * 100)}") for i, p in enumerate(at)])
     return q.withColumn("iqr", F.col("q75") - F.col("q25")) if {0.25, 0.75} <= set(at) else q
 
 
 def median_deviation(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, median, mad): the median and the unscaled median absolute deviation."""
-    middle = rows.groupBy(group).agg(F.median(value).alias("median"))
-    return rows.join(middle, group).groupBy(group).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    middle = ranks.quantiles(rows, [group], value, [0.5]).select(F.col(group).alias("_group"), F.col("q0").alias("_median"))
+    counted = rows.groupBy(group, value).agg(F.count(value).alias("_times"))
+    away = counted.join(middle, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
+    mad = ranks.quantiles(away, [group, "_median"], "_away", [0.5], times="_times")
+    return mad.select(group, F.col("_median").alias("median"), F.col("q0").alias("mad"))
 
 
 def theil_sen(rates: DataFrame, index: str, rate: str) -> DataFrame:
@@ -43,8 +49,9 @@ def theil_sen(rates: DataFrame, index: str, rate: str) -> DataFrame:
 
 def order_effect(pairs: DataFrame, group: str, first: str, loss: str) -> DataFrame:
     """(group, effect): median loss of pairs whose control ran first less that of the others."""
-    one, other = F.median(F.when(F.col(first), F.col(loss))), F.median(F.when(~F.col(first), F.col(loss)))
-    return pairs.groupBy(group).agg((one - other).alias("effect"))
+    medians = ranks.quantiles(pairs, [group, first], loss, [0.5])
+    one, other = F.max(F.when(F.col(first), F.col("q0"))), F.max(F.when(~F.col(first), F.col("q0")))
+    return medians.groupBy(group).agg((one - other).alias("effect"))
 
 
 def speedup(runs: DataFrame, group: str, workers: str, rate: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martingrid.functions import codec, heston, parse, pricing, rng
-from martingrid.operators import gate, validation
+from martingrid.operators import gate, ranks, validation
 from martingrid.operators.simulate import RunSpec, block_stats, blocks, discounted_payoff, one_step_payoffs, ordered_stats, path_payoffs, price, reduce_blocks
 from martingrid.sources import documents, runs
 
@@ -307,3 +307,42 @@ def test_command_line(spark, tmp_path, capsys):
     for bad in (["--scenarios", "+5"], ["--spot", "1e999"], ["--seed", "1 "]):
         with pytest.raises(SystemExit):
             cli.parser().parse_args(bad)
+
+
+@pytest.mark.parametrize("spread", [3, 50, 100_000])
+def test_order_statistics_equal_plain_ones(spark, spread):
+    rng_ = np.random.default_rng(spread)
+    group = rng_.choice(np.array(["a", "b", "c", None], object), 4_000, p=[0.6, 0.3, 0.05, 0.05])
+    value = np.round(rng_.normal(size=4_000) * spread)
+    rows = [(g, None if v % 7 == 3 else float(v), bool(i % 2)) for i, (g, v) in enumerate(zip(group, value, strict=True))]
+    rows += [("void", None, True), ("one", 5.0, True), ("same", 2.0, False), ("same", 2.0, True), ("high", float("inf"), True)]
+    df = spark.createDataFrame(rows, "g string, v double, first boolean")
+    held = {g: sorted(v for k, v, _ in rows if k == g and v is not None) for g in {r[0] for r in rows}}
+    at = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
+
+    ranked = {r["g"]: r for r in gate.nearest_rank(df, "g", "v").collect()}
+    for g, v in held.items():
+        v = [x for x in v if x]
+        if not v:
+            assert g not in ranked
+            continue
+        want = [next(x for i, x in enumerate(v, 1) if i / len(v) >= p) for p in (0.5, 0.95, 0.99)]
+        assert [ranked[g][c] for c in ("n", "p50", "p95", "p99")] == [len(v), *want]
+
+    smooth = {r["g"]: r for r in ranks.quantiles(df, ["g"], "v", at).collect()}
+    spread_ = {r["g"]: r for r in gate.median_deviation(df, "g", "v").collect()}
+    assert set(smooth) == set(spread_) == set(held)
+    for g, v in held.items():
+        assert smooth[g]["total"] == len(v)
+        if not v:
+            assert smooth[g]["q2"] is None and spread_[g]["median"] is None and spread_[g]["mad"] is None
+        elif g != "high":
+            assert [smooth[g][f"q{i}"] for i in range(len(at))] == pytest.approx(np.quantile(v, at).tolist(), abs=1e-9)
+            assert spread_[g]["mad"] == pytest.approx(np.median(np.abs(np.array(v) - np.median(v))), abs=1e-9)
+    assert smooth["high"]["q2"] == float("inf")
+
+    effect = {r["g"]: r["effect"] for r in gate.order_effect(df, "g", "first", "v").collect()}
+    for g in held:
+        parts = [[v for k, v, f in rows if k == g and f is side and v is not None] for side in (True, False)]
+        assert effect[g] == (pytest.approx(np.median(parts[0]) - np.median(parts[1]), abs=1e-9) if all(parts) else None)
+    assert gate.linear_quantiles(df.limit(0), "g", "v").count() == 0
