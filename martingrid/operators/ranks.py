@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Ranges of about equal numbers of distinct (group, value) rows; a task sorts one group's part of one range.
 RANGES = 256
+#: A value's range is looked up among every so many of the ranges, then among those between.
+STRIDE = 16
 
 Rank = Callable[[Column], Column]
 
@@ -27,8 +29,11 @@ def values_at(rows: DataFrame, groups: Sequence[str], value: str, ranks: Sequenc
     """
     c = F.col
     counts = rows.groupBy(*groups, c(value).alias("_value")).agg(F.count(value).alias("_times") if times is None else F.sum(F.when(c(value).isNull(), 0).otherwise(c(times))).alias("_times"))
-    splits = counts.agg(F.percentile_approx("_value", [i / RANGES for i in range(1, RANGES)], 64 * RANGES).alias("_splits"))  # one row
-    ranged = counts.join(F.broadcast(splits)).withColumn("_range", F.coalesce(F.size(F.filter("_splits", lambda s: s < c("_value"))), F.lit(0))).drop("_splits")
+    splits = counts.agg(F.percentile_approx("_value", [i / RANGES for i in range(1, RANGES)], 64 * RANGES).alias("_splits"))
+    one = splits.withColumn("_coarse", F.filter("_splits", lambda _, i: (i + 1) % STRIDE == 0))  # one row
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < c("_value")))
+    near = counts.join(F.broadcast(one)).withColumn("_near", below(c("_coarse")) * STRIDE)
+    ranged = near.withColumn("_range", F.coalesce(c("_near") + below(F.slice("_splits", c("_near") + 1, F.lit(STRIDE))), F.lit(0))).drop("_splits", "_coarse", "_near")
 
     whole = Window.partitionBy(*groups)
     sizes = ranged.groupBy(*groups, "_range").agg(F.sum("_times").alias("_size"))
