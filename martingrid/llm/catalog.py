@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martingrid.llm import bpe, chat, langid, licences, mixing, pii, quality, simhash, sql, transport, wrappers
+from martingrid.llm import bpe, chat, langid, licences, mixing, pii, quality, simhash, sql, transport, whitening, wrappers
 from martingrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -61,7 +61,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_pii_pseudonyms, op2_quality_rules, op3_transport_streams, op4_language_id, op5_chat_format, op6_byte_bpe, op7_licence_scan, op8_html_wrappers, op9_mix_sources, op10_simhash_near_dedup)
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_pii_pseudonyms, op2_quality_rules, op3_transport_streams, op4_language_id, op5_chat_format, op6_byte_bpe, op7_licence_scan, op8_html_wrappers, op9_mix_sources, op10_simhash_near_dedup, op13_embedding_whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
