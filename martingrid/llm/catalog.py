@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martingrid.llm import bpe, chat, langid, licences, mixing, periodic, pii, quality, simhash, sql, transport, whitening, wrappers
+from martingrid.llm import bpe, chat, jaccard, langid, licences, mixing, periodic, pii, quality, simhash, sql, transport, whitening, wrappers
 from martingrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -61,6 +61,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.find_runs(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = (op1_pii_pseudonyms, op2_quality_rules, op3_transport_streams, op4_language_id, op5_chat_format, op6_byte_bpe, op7_licence_scan, op8_html_wrappers, op9_mix_sources, op10_simhash_near_dedup, op12_periodic_runs, op13_embedding_whitening)
+QUERIES = (op1_pii_pseudonyms, op2_quality_rules, op3_transport_streams, op4_language_id, op5_chat_format, op6_byte_bpe, op7_licence_scan, op8_html_wrappers, op9_mix_sources, op10_simhash_near_dedup, op11_ngram_jaccard, op12_periodic_runs, op13_embedding_whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.QUALITY, "op5_chat_format": sql.CHAT}
+    return {"op2_quality_rules": sql.QUALITY, "op5_chat_format": sql.CHAT, "op11_ngram_jaccard": sql.JACCARD}

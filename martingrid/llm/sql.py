@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from martingrid.llm import chat, quality
+from martingrid.llm import chat, jaccard, quality
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -37,3 +37,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length({_ESC.format('text')}) + CASE WHEN same THEN {len(chat.SEPARATOR)}
       ELSE {len(chat.START) + 1 + len(chat.END)} + length(replace({_ESC.format('role')}, chr(10), '{chat.NEWLINE}')) END)::BIGINT AS formatted_chars
 FROM m GROUP BY conv_id"""
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Different sets are compared once; documents come back by their set.
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("text", _LOW)} AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.WORDS} THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {jaccard.WORDS - 2}), lambda i: array_to_string(w[i:i + {jaccard.WORDS - 1}], ' ')))) END AS s FROM d),
+k AS (SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS k, s FROM g),
+one AS (SELECT k, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS low FROM k WHERE n > 0 GROUP BY k),
+item AS (SELECT k, n, unnest(s) AS x FROM one),
+link AS (SELECT a.k AS a, b.k AS b FROM item a JOIN item b ON a.x = b.x AND a.k < b.k AND 100 * least(a.n, b.n) >= {jaccard.PERCENT} * greatest(a.n, b.n)
+         GROUP BY a.k, b.k HAVING 100 * count(*) >= {jaccard.PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT k AS a, k AS b FROM one UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+comp AS (SELECT a AS k, min(low) AS component_id FROM reach JOIN one ON reach.b = one.k GROUP BY a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM k LEFT JOIN comp USING (k)"""
