@@ -9,7 +9,9 @@ every set falls into the same fragments.  Plan:
 2. Keys that two or more different sets have are candidates.  Every set gets 512 bits,
    one flipped by each n-gram: two sets differ in at least as many n-grams as these
    bits, so most candidates go without a look at their n-grams, and no pair is lost.
-3. Each key's sets are paired with its most typical one only.  Overlaps are counted by
+3. The n-grams of sets with candidates are made anew from the texts; a bit map of fixed
+   size says for which documents (the rest is left to a join by set, so it may be full).
+   Each key's sets are paired with its most typical one only.  Overlaps are counted by
    fragment, each (pair, fragment) on its own, and summed per pair.
 4. Sets that are linked by now need not be paired; only sets of one key in different
    components are, and counted alike.
@@ -39,6 +41,8 @@ SPARE = 2
 SKETCH_LONGS = 8
 #: Fragments in which overlaps are counted.
 COUNTED = 8
+#: Bits that say which documents' n-grams are wanted: 4 MB, whatever the corpus.
+WANTED_BITS = 1 << 25
 _U = np.uint64
 
 
@@ -132,13 +136,28 @@ def _described(words: int, percent: int):
     return run
 
 
-def _parts(words: int):
-    """(sid, fragment, grams): a document's n-grams by the fragments in which they are counted."""
+def _place(doc_id: str | Column = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(WANTED_BITS)).alias("place")
+
+
+def wanted_bits(chosen: DataFrame) -> np.ndarray:
+    """A bit for each doc_id, several ids may share one; gathered as at most 1,024 pieces of 4 KB."""
+    piece = 1 << 15
+    pieces = chosen.select(_place()).groupBy(F.floor(F.col("place") / piece).alias("at")).agg(F.bitmap_construct_agg(F.col("place") % piece).alias("bits"))
+    out = np.zeros((WANTED_BITS // piece, piece // 8), dtype=np.uint8)
+    for r in pieces.collect():
+        out[r.at] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.ravel()
+
+
+def _parts(words: int, wanted):
+    """(sid, fragment, grams): the n-grams of documents whose bit is set, by the fragments in which they are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column("text"):
-                g = ngrams(t.as_py(), words)
+            place = b.column("place").to_numpy()
+            for i in np.flatnonzero(wanted.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist():
+                g = ngrams(b.column("text")[i].as_py(), words)
                 cuts = np.searchsorted(_fragment(g, COUNTED), np.arange(COUNTED + 1))
                 sid = np.full(COUNTED, xxhash.xxh3_64_intdigest(g.tobytes()), dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.arange(COUNTED, dtype=np.int32)), _lists([g[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], ["sid", "fragment", "grams"])
@@ -201,8 +220,8 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     known = sets.select("sid", "doc_id", *_NAMES[2:3], *_NAMES[4:]).join(typical, "sid")
     facts = known.groupBy("sid").agg(F.max("n_keys").alias("n_keys"), F.min("doc_id").alias("one"), *(F.max(c).alias(c) for c in ("n", *_NAMES[4:])))
     facts = cut(facts)
-    chosen = facts.select(F.col("one").alias("doc_id")).distinct()
-    parts = texts.join(chosen, texts.doc_id.eqNullSafe(chosen.doc_id), "left_semi").mapInArrow(_parts(words), "sid long, fragment int, grams array<long>")
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_bits(facts.select(F.col("one").alias("doc_id"))))
+    parts = texts.withColumn("place", _place()).mapInArrow(_parts(words, wanted), "sid long, fragment int, grams array<long>")
     parts = cut(parts.join(typical.select("sid"), "sid", "left_semi").dropDuplicates(["sid", "fragment"]))
 
     rows = shared.join(facts.drop("one"), "sid")
