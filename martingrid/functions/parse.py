@@ -1,12 +1,12 @@
-"""Strict reading of numbers: the whole text is the number, or the result is null."""
+"""Strict reading of numbers: the whole text is the number (no line end after it either), or the result is null."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-U64 = r"^[0-9]{1,20}$"
-DOUBLE = r"^-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+U64 = r"\A[0-9]{1,20}\z"
+DOUBLE = r"\A-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
 def parse_u64(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +32,20 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - below).otherwise(below)
 
 
+def finite(x: Column) -> Column:
+    """Whether a value is neither null, NaN nor infinite."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
 def black_scholes_call(spot: Column, strike: Column, rate: Column, volatility: Column, maturity: Column) -> Column:
-    """Price of a European call; null unless spot, strike, volatility and maturity are above zero."""
+    """Price of a European call; null unless all inputs and the price are finite, and all but the rate above zero."""
     spread = volatility * F.sqrt(maturity)
     d1 = (F.ln(spot / strike) + (rate + volatility * volatility / 2) * maturity) / spread
     price = spot * normal_cdf(d1) - strike * F.exp(-rate * maturity) * normal_cdf(d1 - spread)
-    return F.when((spot > 0) & (strike > 0) & (volatility > 0) & (maturity > 0), price)
+    good = finite(rate)
+    for x in (spot, strike, volatility, maturity):
+        good = good & finite(x) & (x > 0)
+    return F.when(good, F.when(finite(price), price))
 
 
 def sample_variance(n: Column, m2: Column) -> Column:
@@ -47,6 +57,10 @@ def standard_error(n: Column, m2: Column) -> Column:
 
 
 def confidence(n: Column, mean: Column, m2: Column, z: float = CI_Z) -> tuple[Column, Column]:
-    """Bounds of the normal interval; null below 30 observations."""
+    """Bounds of the normal interval; both null below 30 observations, and where either is not finite."""
+    if not (math.isfinite(z) and z > 0):
+        raise ValueError("z must be finite and above zero")
     half = standard_error(n, m2) * z
-    return F.when(n >= CI_MINIMUM, mean - half), F.when(n >= CI_MINIMUM, mean + half)
+    low, high = mean - half, mean + half
+    good = (n >= CI_MINIMUM) & finite(low) & finite(high)
+    return F.when(good, low), F.when(good, high)

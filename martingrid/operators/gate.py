@@ -63,7 +63,7 @@ def speedup(runs: DataFrame, group: str, workers: str, rate: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Policy:
-    """What a gate asks of its pairs of runs."""
+    """What a gate asks of its pairs of runs; the defaults are fixed values."""
 
     minimum_pairs: int = 20
     samples: int = 10_000
@@ -124,8 +124,8 @@ def decide(pairs: DataFrame, gate: str, policy: Policy = Policy()) -> DataFrame:
 
     ``pairs`` has the gate, pair, control, treatment and control_first.  A gate has 2 to
     100 pairs, so one task can hold it; one with other numbers, with rates that are not
-    finite and above zero, or whose two orders differ by more than one pair has a
-    problem, no statistics, and does not pass.
+    finite and above zero, or whose two orders differ by more than one pair or are not
+    known, has a problem, no statistics, and does not pass.
     """
     kind = pairs.schema[gate].dataType.simpleString()
     counted = pairs.groupBy(gate).agg(F.count("*").alias("_pairs"))
@@ -134,12 +134,13 @@ def decide(pairs: DataFrame, gate: str, policy: Policy = Policy()) -> DataFrame:
     def summary(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("pair")
         row: list = [len(f), *[None] * 9, None]
-        first = f["control_first"].to_numpy(bool)
+        unknown = f["control_first"].isna().any()
+        first = f["control_first"].fillna(False).to_numpy(bool)
         if len(f) < PAIRS[0]:
             row[-1] = "pairs"
         elif f["loss"].isna().any() or not np.isfinite(f["loss"]).all():
             row[-1] = "rates"
-        elif not first.any() or first.all() or abs(2 * int(first.sum()) - len(f)) > 1:
+        elif unknown or not first.any() or first.all() or abs(2 * int(first.sum()) - len(f)) > 1:
             row[-1] = "balance"
         else:
             loss, rate = f["loss"].to_numpy(float), f["control"].to_numpy(float)

@@ -42,13 +42,13 @@ def validate_results(results: DataFrame, blocks: DataFrame, committed: DataFrame
     ``blocks`` has block_id, start_scenario, end_scenario and lease_epoch, ``committed``
     block_id and checksum; both have a row per block at most.  ``run`` names the current
     run_hash, layout_hash, build, incarnation, rng_version and stats_schema.  A null fails
-    its check.  Pairs count once.  The checksum is compared with computed_checksum, which
-    is formed from the statistics unless the results have it.  Both joins are equi-joins
-    on the block; a block that gets very many results is left to Spark's skew join.
+    its check.  Pairs count once.  The checksum is compared with the digest that is formed
+    here from the statistics, whatever columns the results bring.  Both joins are
+    equi-joins on the block; a block that gets very many results is left to Spark's skew
+    join.
     """
     names = results.columns
-    if "computed_checksum" not in names:
-        results = with_checksum(results, "computed_checksum")
+    results = with_checksum(results, "_computed")
     known = blocks.select("block_id", F.col("start_scenario").alias("_start"), F.col("end_scenario").alias("_end"), F.col("lease_epoch").alias("_lease"))
     done = committed.select("block_id", F.col("checksum").alias("_done"))
     joined = results.join(known, "block_id", "left").join(done, "block_id", "left")
@@ -65,7 +65,7 @@ def validate_results(results: DataFrame, blocks: DataFrame, committed: DataFrame
         .when(differs("stats_schema", run["stats_schema"]), "StatsSchemaMismatch")
         .when(c("_start").isNull() | differs("start_scenario", c("_start")) | differs("end_scenario", c("_end")), "InvalidBlock")
         .when(wrong.isNotNull(), "InvalidAggregate")
-        .when(c("checksum").isNull() | differs("checksum", c("computed_checksum")), "CorruptPayload")
+        .when(c("checksum").isNull() | differs("checksum", c("_computed")), "CorruptPayload")
         .when(c("_done") == c("checksum"), "Duplicate")
         .when(c("_done").isNotNull(), "DeterminismError")
         .when(differs("lease_epoch", c("_lease")), "StaleLease")
@@ -127,13 +127,19 @@ def spec_problem(rows: DataFrame) -> Column:
     c = F.col
     good = lambda x: _finite(c(x)) & (c(x) > 0)
     positive = lambda x: F.coalesce(good(x), F.lit(False))
+    not_negative = lambda x: F.coalesce(_finite(c(x)) & (c(x) >= 0), F.lit(False))
+    stochastic = c("model") == "heston"
     return (
         F.when(~F.coalesce(c("scenarios").between(1, 1 << 40), F.lit(False)), "scenarios")
         .when(~F.coalesce(c("steps").between(1, 1 << 24), F.lit(False)), "steps")
         .when(~positive("maturity"), "maturity").when(~positive("spot"), "spot").when(~positive("strike"), "strike")
-        .when(~F.coalesce(_finite(c("rate")), F.lit(False)), "rate").when(~positive("volatility"), "volatility")
+        .when(~F.coalesce(_finite(c("rate")), F.lit(False)), "rate")
+        .when(~F.coalesce(c("model").isin("gbm", "heston"), F.lit(False)), "model")
+        .when((c("model") == "gbm") & ~positive("volatility"), "volatility")
+        .when(stochastic & ~(not_negative("initial_variance") & not_negative("reversion") & not_negative("long_variance") & not_negative("variance_volatility")), "variance")
+        .when(stochastic & ~F.coalesce(_finite(c("correlation")) & c("correlation").between(-1, 1), F.lit(False)), "correlation")
         .when(~F.coalesce(c("payoff").isin("european_call", "asian_call"), F.lit(False)), "payoff")
-        .when(F.coalesce(c("antithetic"), F.lit(False)) & (c("scenarios") % 2 != 0), "pairs")
+        .when(F.coalesce(c("antithetic"), F.lit(False)) & ((c("scenarios") % 2 != 0) | F.coalesce(c("block_size") % 2 != 0, F.lit(True))), "pairs")
     )
 
 

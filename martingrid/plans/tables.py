@@ -21,7 +21,7 @@ RESULTS = """SELECT o_orderkey AS result_id, o_orderkey AS block_id,
   o_orderkey * 100 + CASE WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END AS start_scenario, o_orderkey * 100 + 100 AS end_scenario,
   CASE WHEN o_orderkey % 67 = 0 THEN NULL ELSE 100 - CASE WHEN o_orderkey % 41 = 0 THEN 1 ELSE 0 END END AS n, o_totalprice AS mean, CASE WHEN o_orderkey % 59 = 0 THEN -1.0 ELSE 1.0 END AS m2,
   o_totalprice - 1 AS min, o_totalprice + CASE WHEN o_orderkey % 61 = 0 THEN -2 ELSE 1 END AS max,
-  CASE WHEN o_orderkey % 43 = 0 THEN 'bad' WHEN o_orderkey % 73 = 0 THEN NULL WHEN o_orderkey % 53 = 0 THEN 'c' ELSE 'a' END AS checksum, CASE WHEN o_orderkey % 53 = 0 THEN 'c' ELSE 'a' END AS computed_checksum,
+  CASE WHEN o_orderkey % 43 = 0 THEN 'bad' WHEN o_orderkey % 73 = 0 THEN NULL ELSE 'right' END AS checksum, 'bad' AS computed_checksum,
   CASE WHEN o_orderkey % 47 = 0 THEN 0 WHEN o_orderkey % 79 = 0 THEN NULL ELSE 1 END AS lease_epoch FROM orders"""
 
 
@@ -30,7 +30,9 @@ def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RESULTS.replace("FROM orders", "FROM {orders}"), orders=_rows(spark, sf_dir, "orders"))
+    """The results, whose checksum is the digest of their statistics where the text says that it is right."""
+    rows = spark.sql(RESULTS.replace("FROM orders", "FROM {orders}"), orders=_rows(spark, sf_dir, "orders"))
+    return codec.with_checksum(rows, "digest").withColumn("checksum", F.when(F.col("checksum") == "right", F.col("digest")).otherwise(F.col("checksum"))).drop("digest")
 
 
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +41,10 @@ def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f7_validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    universe = _universe(spark, sf_dir)
-    done = universe.where("block_id % 7 = 0").selectExpr("block_id", "'a' AS checksum")
-    return validation.validate_results(_results(spark, sf_dir), universe, done, RUN).select("result_id", "block_id", "status", "code", "benign")
+    """Every seventh block is committed, every fifty-third of those with another digest; a column that poses as the computed digest is not trusted."""
+    universe, results = _universe(spark, sf_dir), _results(spark, sf_dir)
+    done = codec.with_checksum(results).where("block_id % 7 = 0").selectExpr("block_id", "if(block_id % 53 = 0, 'other', checksum) AS checksum")
+    return validation.validate_results(results, universe, done, RUN).select("result_id", "block_id", "status", "code", "benign")
 
 
 def f4_invariant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +84,8 @@ def f1_spec_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, "part").selectExpr(
         "p_partkey", "if(p_size % 17 = 0, 0, p_size) AS scenarios", "if(p_size % 13 = 0, 0, 1) AS steps", "if(p_size = 50, double('NaN'), 1D) AS maturity", "if(p_partkey % 19 = 0, -1D, 100D) AS spot", "100D AS strike",
         "if(p_partkey % 23 = 0, double('Infinity'), 0.05D) AS rate", "if(p_partkey % 29 = 0, null, 0.2D) AS volatility", "if(p_partkey % 31 = 0, 'put', 'asian_call') AS payoff", "p_partkey % 2 = 0 AS antithetic",
+        "CASE WHEN p_partkey % 37 = 0 THEN 'cev' WHEN p_partkey % 3 = 0 THEN 'heston' ELSE 'gbm' END AS model", "if(p_partkey % 41 = 0, 3, 2) AS block_size", "if(p_partkey % 43 = 0, -0.01D, 0.04D) AS initial_variance", "1.5D AS reversion",
+        "if(p_partkey % 47 = 0, double('NaN'), 0.04D) AS long_variance", "0.3D AS variance_volatility", "if(p_partkey % 53 = 0, 1.5D, -0.7D) AS correlation",
     )
     return rows.select("p_partkey", validation.spec_problem(rows).alias("problem"))
 
@@ -91,7 +96,7 @@ def x7_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Texts that are numbers, and texts that nearly are, by order key.
-TEXTS = """CASE o_orderkey % 9 WHEN 0 THEN concat(' ', o_orderkey) WHEN 1 THEN concat('+', o_orderkey) WHEN 2 THEN concat(o_orderkey, 'x') WHEN 3 THEN concat('1844674407370955', o_orderkey % 10000)
+TEXTS = """CASE o_orderkey % 12 WHEN 9 THEN concat(o_orderkey, chr(10)) WHEN 10 THEN concat(o_orderkey, '.5', chr(13)) WHEN 11 THEN concat(chr(10), o_orderkey) WHEN 0 THEN concat(' ', o_orderkey) WHEN 1 THEN concat('+', o_orderkey) WHEN 2 THEN concat(o_orderkey, 'x') WHEN 3 THEN concat('1844674407370955', o_orderkey % 10000)
   WHEN 4 THEN concat(o_orderkey, '.25e2') WHEN 5 THEN concat('-', o_orderkey, '.5') WHEN 6 THEN '1e999' WHEN 7 THEN '' ELSE concat('', o_orderkey) END"""
 
 
@@ -248,7 +253,7 @@ ORACLES = {
       WHEN run_hash IS DISTINCT FROM 'run' THEN 'InvalidRun' WHEN layout_hash <> 'layout' THEN 'ExecutionLayoutMismatch' WHEN build <> 'build' THEN 'BuildMismatch'
       WHEN incarnation <> 2 THEN 'StaleIncarnation' WHEN rng_version <> 2 THEN 'RngVersionMismatch' WHEN stats_schema <> 1 THEN 'StatsSchemaMismatch'
       WHEN block_id >= {UNIVERSE_SQL} OR start_scenario <> block_id * 100 THEN 'InvalidBlock' WHEN ({_WRONG}) IS NOT NULL THEN 'InvalidAggregate'
-      WHEN checksum IS DISTINCT FROM computed_checksum THEN 'CorruptPayload' WHEN block_id % 7 = 0 AND checksum = 'a' THEN 'Duplicate' WHEN block_id % 7 = 0 THEN 'DeterminismError'
+      WHEN checksum IS DISTINCT FROM 'right' THEN 'CorruptPayload' WHEN block_id % 7 = 0 AND block_id % 53 <> 0 THEN 'Duplicate' WHEN block_id % 7 = 0 THEN 'DeterminismError'
       WHEN lease_epoch IS DISTINCT FROM 1 THEN 'StaleLease' ELSE 'Accepted' END AS status FROM ({RESULTS}) r)""",
     "f4_invariant_check": f"SELECT result_id, {_INVARIANT} AS reason FROM ({RESULTS})",
     "j3_missing_blocks": f"SELECT o_orderkey AS block_id FROM orders WHERE o_orderkey < {UNIVERSE_SQL} AND o_orderstatus <> 'F'",
@@ -261,11 +266,11 @@ ORACLES = {
       UNION ALL SELECT o_orderkey + 1, 'repeated' FROM orders WHERE o_orderkey % 83 = 4 AND o_orderkey < (SELECT max(o_orderkey) FROM orders)
       UNION ALL SELECT o_orderkey, 'missing' FROM orders WHERE o_orderkey % 83 = 4""",
     "f1_spec_check": f"""SELECT p_partkey, CASE WHEN p_size % 17 = 0 THEN 'scenarios' WHEN p_size % 13 = 0 THEN 'steps' WHEN p_size = 50 THEN 'maturity' WHEN p_partkey % 19 = 0 THEN 'spot' WHEN p_partkey % 23 = 0 THEN 'rate'
-      WHEN p_partkey % 29 = 0 THEN 'volatility' WHEN p_partkey % 31 = 0 THEN 'payoff' WHEN p_partkey % 2 = 0 AND p_size % 2 = 1 THEN 'pairs' END AS problem FROM part""",
+      WHEN p_partkey % 37 = 0 THEN 'model' WHEN p_partkey % 3 <> 0 AND p_partkey % 29 = 0 THEN 'volatility' WHEN p_partkey % 3 = 0 AND (p_partkey % 43 = 0 OR p_partkey % 47 = 0) THEN 'variance' WHEN p_partkey % 3 = 0 AND p_partkey % 53 = 0 THEN 'correlation' WHEN p_partkey % 31 = 0 THEN 'payoff' WHEN p_partkey % 2 = 0 AND (p_size % 2 = 1 OR p_partkey % 41 = 0) THEN 'pairs' END AS problem FROM part""",
     "x7_crc32c": f"""WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, {_crc_step(8)} AS c FROM (SELECT i, i AS c0 FROM range(256) r(i))))
       SELECT o_orderkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda j: ascii(substr(k, j, 1))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc
       FROM (SELECT o_orderkey, concat_ws('|', o_orderkey::VARCHAR, o_orderstatus, o_orderpriority) AS k FROM orders), t""",
-    "x11_strict_parse": f"""SELECT o_orderkey, CASE WHEN regexp_matches(t, '^[0-9]{{1,20}}$') THEN CASE WHEN t::UHUGEINT < 18446744073709551616::UHUGEINT THEN t::DECIMAL(20,0) END END AS whole,
+    "x11_strict_parse": f"""SELECT o_orderkey, CASE WHEN regexp_matches(t, '{parse.U64}') THEN CASE WHEN t::UHUGEINT < 18446744073709551616::UHUGEINT THEN t::DECIMAL(20,0) END END AS whole,
       CASE WHEN regexp_matches(t, '{parse.DOUBLE}') THEN CASE WHEN isfinite(try_cast(t AS DOUBLE)) THEN round(try_cast(t AS DOUBLE), 6) END END AS number
       FROM (SELECT o_orderkey, {TEXTS} AS t FROM orders)""",
     "x15_throughput_loss": "SELECT day, round(100 * (1 - treatment / control), 7) AS loss FROM (SELECT day, avg(value) FILTER (event_id % 2 = 0) AS control, avg(value) FILTER (event_id % 2 = 1) AS treatment FROM (SELECT *, dayofmonth(ts) AS day FROM events) GROUP BY day) WHERE control > 0 AND treatment > 0",
