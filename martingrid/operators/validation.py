@@ -143,14 +143,6 @@ def spec_problem(rows: DataFrame) -> Column:
     )
 
 
-def covered_once(recovered: DataFrame, computed: DataFrame, n_blocks: int) -> DataFrame:
-    """One row (blocks, recovered, computed, covered): whether both together have each of the run's blocks once."""
-    both = recovered.select("block_id", F.lit(1).alias("r")).unionByName(computed.select("block_id", F.lit(0).alias("r")))
-    each = both.groupBy("block_id").agg(F.count("*").alias("times"), F.sum("r").alias("r"))
-    good = F.count_if((F.col("times") == 1) & F.col("block_id").between(0, n_blocks - 1))
-    return each.agg(F.sum("times").alias("blocks"), F.sum("r").alias("recovered"), (F.sum("times") - F.sum("r")).alias("computed"), ((good == n_blocks) & (F.count("*") == n_blocks)).alias("covered"))
-
-
 def feller_ratio(kappa: Column, theta: Column, xi: Column) -> Column:
     """2 * kappa * theta / xi^2 without overflow of the square; infinite for xi 0, NaN for bad parameters."""
     good = _finite(kappa) & _finite(theta) & _finite(xi) & (kappa >= 0) & (theta >= 0) & (xi >= 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martingrid.functions import codec, heston, parse
-from martingrid.operators import gate, validation
+from martingrid.operators import gate, scan, validation
 from martingrid.sources import documents
 
 RUN = {"run_hash": "run", "layout_hash": "layout", "build": "build", "incarnation": 2, "rng_version": 2, "stats_schema": 1}
@@ -131,21 +131,40 @@ def a18_gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o2_canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _rows(spark, sf_dir, "events")
-    once = events.groupBy("user_id", "event_id").count()
-    made = once.groupBy("user_id").agg(F.sum("count").alias("n"), F.count("*").alias("ids"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
-    return made.withColumn("canonical", F.col("n") == F.col("ids"))
+    """Runs of the order keys that lines of each flag name; a run is canonical if it names each key once."""
+    lines = _rows(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 3")
+    return scan.intervals(lines, "l_orderkey", ["l_returnflag"]).withColumn("canonical", F.col("ids") == F.col("rows"))
+
+
+#: Block ids of a run in the coverage query.
+RUN_BLOCKS = 16
 
 
 def u1_covered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recovered and computed blocks together are the universe, each once."""
-    orders = _rows(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), F.when(F.col("o_orderstatus") == "F", "recovered").otherwise("computed").alias("how"))
-    n = orders.agg(F.max("block_id")).first()[0] + 1
-    return validation.covered_once(orders.where("how = 'recovered'"), orders.where("how = 'computed'"), n)
+    """Recovered and computed blocks of each run against its universe: orders in process count as both, and every 89th was lost."""
+    orders = _rows(spark, sf_dir, "orders").where("o_orderkey % 89 <> 5").selectExpr(f"o_orderkey div {RUN_BLOCKS} AS run", "o_orderkey AS block_id", "o_orderstatus")
+    parts = [scan.intervals(orders.where(f"o_orderstatus IN {kinds}"), "block_id", ["run"]) for kinds in ("('F', 'P')", "('O', 'P')")]
+    n = _rows(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    runs = spark.range(0 if n is None else n // RUN_BLOCKS + 1).selectExpr("id AS run", f"id * {RUN_BLOCKS} AS first", f"id * {RUN_BLOCKS} + {RUN_BLOCKS - 1} AS last")
+    return scan.exactly_once(parts[0].unionByName(parts[1]), runs, ["run"])
+
+
+def u2_uncommitted_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of order keys, of all that there can be, that no finished order has."""
+    orders = _rows(spark, sf_dir, "orders")
+    done = scan.intervals(orders.where("o_orderstatus = 'F'"), "o_orderkey")
+    whole = orders.agg(F.lit(0).cast("long").alias("first"), (F.max("o_orderkey") + 100).alias("last"))
+    return scan.difference(whole, done)
 
 
 def w6_commits_since_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, "events").selectExpr("event_id", "event_id % 64 + 1 AS since", "event_id div 64 AS checkpoint")
+    """Events are commits, a purchase starts a new checkpoint: commits since the last one, and whether another is due."""
+    found = scan.since_reset(_rows(spark, sf_dir, "events"), "event_id", F.lit(1), F.col("event_type") == "purchase")
+    return found.select("event_id", "since", F.col("resets").alias("checkpoint"), (F.col("since") >= CHECKPOINT_EVERY).alias("due"))
+
+
+#: Commits after which a checkpoint is due.
+CHECKPOINT_EVERY = 8
 
 
 def k1_json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +235,7 @@ def x6_payload_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     f7_validate_results, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, a11_latency_percentiles, a13_linear_quantiles,
     a14_median_deviation, a16_theil_sen, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256, f6_universe_problems, f1_spec_check, x7_crc32c, x11_strict_parse,
-    j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums,
+    j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, u2_uncommitted_ranges, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums,
 )
 
 
@@ -276,9 +295,15 @@ ORACLES = {
     "x15_throughput_loss": "SELECT day, round(100 * (1 - treatment / control), 7) AS loss FROM (SELECT day, avg(value) FILTER (event_id % 2 = 0) AS control, avg(value) FILTER (event_id % 2 = 1) AS treatment FROM (SELECT *, dayofmonth(ts) AS day FROM events) GROUP BY day) WHERE control > 0 AND treatment > 0",
     "a18_gate_decision": _gate_sql(),
     "j7_paired_runs": "SELECT day, round(avg(value) FILTER (event_id % 2 = 0), 7) AS control, round(avg(value) FILTER (event_id % 2 = 1), 7) AS treatment FROM (SELECT *, dayofmonth(ts) AS day FROM events) GROUP BY day HAVING control IS NOT NULL AND treatment IS NOT NULL",
-    "o2_canonical_ids": "SELECT user_id, count(*) AS n, count(DISTINCT event_id) AS ids, min(event_id) AS first_id, max(event_id) AS last_id, count(*) = count(DISTINCT event_id) AS canonical FROM events GROUP BY user_id",
-    "u1_covered_once": "SELECT count(*) AS blocks, count(*) FILTER (o_orderstatus = 'F') AS recovered, count(*) FILTER (o_orderstatus <> 'F') AS computed, true AS covered FROM orders",
-    "w6_commits_since_checkpoint": "SELECT event_id, event_id % 64 + 1 AS since, event_id // 64 AS checkpoint FROM events",
+    "o2_canonical_ids": """WITH k AS (SELECT l_returnflag, l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey % 5 <> 3 GROUP BY ALL), r AS (SELECT *, id - row_number() OVER (PARTITION BY l_returnflag ORDER BY id) AS run FROM k)
+      SELECT l_returnflag, min(id) AS first, max(id) AS last, count(*) AS ids, sum(n)::BIGINT AS rows, count(*) = sum(n) AS canonical FROM r GROUP BY l_returnflag, run""",
+    "u1_covered_once": f"""WITH u AS (SELECT r // {RUN_BLOCKS} AS run, r AS id FROM range(((SELECT max(o_orderkey) FROM orders) // {RUN_BLOCKS} + 1) * {RUN_BLOCKS}) t(r)),
+      p AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS n FROM orders WHERE o_orderkey % 89 <> 5)
+      SELECT run, coalesce(sum(n), 0)::BIGINT AS blocks, count(*) FILTER (n IS NULL) AS missing, 0::BIGINT AS outside, coalesce(sum(n - 1), 0)::BIGINT AS repeated, count(*) FILTER (n IS NULL) = 0 AND coalesce(sum(n - 1), 0) = 0 AS covered FROM u LEFT JOIN p USING (id) GROUP BY run""",
+    "u2_uncommitted_ranges": """WITH u AS (SELECT r AS id FROM range((SELECT max(o_orderkey) + 101 FROM orders)) t(r)), m AS (SELECT id, id - row_number() OVER (ORDER BY id) AS run FROM u ANTI JOIN (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F') USING (id))
+      SELECT min(id) AS first, max(id) AS last FROM m GROUP BY run""",
+    "w6_commits_since_checkpoint": f"""SELECT event_id, since, checkpoint, since >= {CHECKPOINT_EVERY} AS due FROM (SELECT event_id, checkpoint, row_number() OVER (PARTITION BY checkpoint ORDER BY event_id) AS since
+      FROM (SELECT event_id, sum((event_type = 'purchase')::INTEGER) OVER (ORDER BY event_id)::BIGINT AS checkpoint FROM events))""",
     "k1_json_result": """SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","ratio":' || CASE WHEN p_size % 7 = 0 THEN 'null' ELSE printf('%.12f', p_size / 8.0::DOUBLE) END || ',"even":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS document FROM part""",
     "m17_feller_warnings": """SELECT p_partkey, CASE WHEN xi = 0 THEN NULL ELSE round(r, 9) END AS ratio, xi <> 0 AND r < 1 - 1e-12 AS warned FROM (SELECT *, CASE WHEN xi = 0 THEN NULL ELSE kappa / xi * 2 * (theta / xi) END AS r
       FROM (SELECT p_partkey, p_size / 10.0::DOUBLE AS kappa, (p_partkey % 20) / 200.0::DOUBLE AS theta, (p_partkey % 11) / 10.0::DOUBLE AS xi FROM part))""",

@@ -10,7 +10,6 @@ manifest names it.  Only the driver's run writes manifests: give one run at a ti
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from martingrid.functions import codec
 from martingrid.operators.simulate import RunSpec, block_stats, blocks, reduce_blocks
 from martingrid.operators.validation import validate_results
+from martingrid.sources.shared import shared_root
 
 #: What computes the statistics; results of another kernel are not mixed in.
 BUILD = "numpy-kernel-2"
@@ -53,10 +53,7 @@ class Head:
 
 def new_folder(spark: SparkSession) -> str:
     """An unused folder where all executors can write: under spark.checkpoint.dir, or a temporary one on a single machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='martingrid-run-')}/run-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/run-{uuid.uuid4().hex}"
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
