@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martingrid.operators import ranks
+from martingrid.operators import ranks, slopes
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, at=(0.5, 0.95, 0.99)) -> DataFrame:
@@ -37,14 +37,18 @@ def median_deviation(rows: DataFrame, group: str, value: str) -> DataFrame:
 def theil_sen(rates: DataFrame, index: str, rate: str) -> DataFrame:
     """One row (pairs, slope, drift_pct): the median slope over all pairs of runs, and its share of the median rate over the span.
 
-    Meant for the runs of one gate, at most hundreds; the pairs grow with their square.
+    No pairs are formed but those near the median, so runs may be as many as a table
+    has rows.  Runs with a null or a value that is not finite are left out; runs of one
+    index make no pair; without pairs slope and drift are null.
     """
-    a = rates.select(F.col(index).alias("i"), F.col(rate).alias("x"))
-    b = a.select(F.col("i").alias("j"), F.col("x").alias("y"))
-    slopes = a.join(b, F.col("i") < F.col("j")).select(((F.col("y") - F.col("x")) / (F.col("j") - F.col("i"))).alias("slope"))
-    whole = a.agg(F.median("x").alias("middle"), (F.max("i") - F.min("i")).alias("span"))
-    drift = slopes.agg(F.count("*").alias("pairs"), F.median("slope").alias("slope"))
-    return drift.join(whole).select("pairs", "slope", (F.col("slope") * F.col("span") / F.col("middle") * 100).alias("drift_pct"))
+    pairs, slope = slopes.median_slope(rates, index, rate)
+    finite = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    real = rates.select(F.col(index).cast("double").alias("i"), F.col(rate).cast("double").alias("x")).where(finite("i") & finite("x")).withColumn("all", F.lit(0))
+    span = real.groupBy("all").agg((F.max("i") - F.min("i")).alias("span"))
+    middle = ranks.quantiles(real, ["all"], "x", [0.5])
+    one = rates.sparkSession.createDataFrame([(0, pairs, slope)], "all int, pairs long, slope double")
+    drift = F.col("slope") * F.col("span") / F.col("q0") * 100
+    return one.join(span, "all", "left").join(middle, "all", "left").select("pairs", "slope", drift.alias("drift_pct"))
 
 
 def order_effect(pairs: DataFrame, group: str, first: str, loss: str) -> DataFrame:

@@ -214,6 +214,11 @@ def a16_theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.theil_sen(rates, "run", "rate").select("pairs", F.round("slope", 9).alias("slope"), F.round("drift_pct", 7).alias("drift_pct"))
 
 
+def j8_median_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift of all customers' balances along their keys: every pair of customers counts."""
+    return gate.theil_sen(_rows(spark, sf_dir, "customer"), "c_custkey", "c_acctbal").select("pairs", F.round("slope", 9).alias("slope"), F.round("drift_pct", 6).alias("drift_pct"))
+
+
 def a17_order_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _rows(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 2 == 0).alias("first"), "value")
     return gate.order_effect(pairs, "event_type", "first", "value").select("event_type", F.round("effect", 6).alias("effect"))
@@ -234,7 +239,7 @@ def x6_payload_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     f7_validate_results, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, a11_latency_percentiles, a13_linear_quantiles,
-    a14_median_deviation, a16_theil_sen, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256, f6_universe_problems, f1_spec_check, x7_crc32c, x11_strict_parse,
+    a14_median_deviation, a16_theil_sen, j8_median_slope, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256, f6_universe_problems, f1_spec_check, x7_crc32c, x11_strict_parse,
     j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, u2_uncommitted_ranges, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums,
 )
 
@@ -312,6 +317,8 @@ ORACLES = {
     "a14_median_deviation": "SELECT event_type, round(median(value), 6) AS median, round(mad(value), 6) AS mad FROM events GROUP BY event_type",
     "a16_theil_sen": """WITH r AS (SELECT user_id % 40 AS run, avg(value) AS rate FROM events GROUP BY 1), s AS (SELECT count(*) AS pairs, median((b.rate - a.rate) / (b.run - a.run)) AS slope FROM r a JOIN r b ON a.run < b.run)
       SELECT pairs, round(slope, 9) AS slope, round(slope * span / middle * 100, 7) AS drift_pct FROM s, (SELECT median(rate) AS middle, max(run) - min(run) AS span FROM r)""",
+    "j8_median_slope": """WITH s AS (SELECT count(*) AS pairs, median((b.c_acctbal - a.c_acctbal) / (b.c_custkey - a.c_custkey)) AS slope FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey)
+      SELECT pairs, round(slope, 9) AS slope, round(slope * span / middle * 100, 6) AS drift_pct FROM s, (SELECT median(c_acctbal) AS middle, max(c_custkey) - min(c_custkey) AS span FROM customer)""",
     "a17_order_effect": "SELECT event_type, round(median(value) FILTER (event_id % 2 = 0) - median(value) FILTER (event_id % 2 = 1), 6) AS effect FROM events GROUP BY event_type",
     "x16_speedup": """SELECT c_mktsegment, workers, round(rate / r0, 9) AS speedup, round(rate / r0 * w0 / workers, 9) AS efficiency FROM (SELECT *, first_value(rate) OVER w AS r0, first_value(workers) OVER w AS w0
       FROM (SELECT c_mktsegment, c_nationkey + 1 AS workers, max(c_acctbal) AS rate FROM customer GROUP BY ALL) WINDOW w AS (PARTITION BY c_mktsegment ORDER BY workers))""",
