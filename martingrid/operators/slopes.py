@@ -73,10 +73,13 @@ def inversions(order: np.ndarray) -> int:
     return total
 
 
-def _falling(x: np.ndarray, y: np.ndarray, t: float) -> int:
-    """Pairs with x rising and y - t x falling."""
+def _falling(x: np.ndarray, y: np.ndarray, t: float, across: np.ndarray | None = None) -> int:
+    """Pairs with x rising and y - t x falling; with ``across``, its ranges of y - t x, only pairs within one of them.
+
+    Ordered by range first, pairs of different ranges never fall, for their y - t x rise with the range.
+    """
     z = residual(x, y, t)
-    first = np.lexsort((*z[::-1], x))
+    first = np.lexsort((*z[::-1], x) if across is None else (*z[::-1], x, across))
     places = np.empty(len(x), dtype=np.int64)
     places[np.lexsort((np.arange(len(x)), *[v[first] for v in z[::-1]]))] = np.arange(len(x))
     return inversions(places)
@@ -99,10 +102,7 @@ def _counts(points: DataFrame, pivots: list[float]) -> list[int]:
         p, x, y = key[0].as_py(), rows["x"].to_numpy(), rows["y"].to_numpy()
         found = _falling(x, y, pivots[p])
         if less_cells:  # pairs of one cell are in a range of x and in one of y - t x: counted once
-            across = rows["b"].to_numpy()
-            order = np.argsort(across, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(across[order])) + 1):
-                found -= _falling(x[part], y[part], pivots[p])
+            found -= _falling(x, y, pivots[p], rows["b"].to_numpy())
         return pa.table({"p": pa.array([p], pa.int32()), "n": pa.array([found], pa.int64())})
 
     rows = points.select("x", "y", "_range").mapInArrow(placed, "p int, a int, b int, x double, y double")
