@@ -235,7 +235,8 @@ def _together(starts: list[int], size: int) -> Iterator[tuple[int, bool, int]]:
 _STATS = ["block_id", "n", "mean", "m2", "min", "max"]
 
 
-def _merge(a: tuple, b: tuple) -> tuple:
+def merge_stats(a: tuple, b: tuple) -> tuple:
+    """Statistics (n, mean, m2, min, max) of both parts together."""
     if not a[0] or not b[0]:
         return b if b[0] else a
     n = a[0] + b[0]
@@ -258,7 +259,7 @@ def _tree(n_blocks: int, partial: bool):
         if not partial and not all(x[0] for x in level):
             raise ValueError(f"{sum(not x[0] for x in level)} blocks are missing under position {parent}")
         while len(level) > 1:
-            level = [_merge(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+            level = [merge_stats(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return pd.DataFrame([(parent, *level[0])], columns=_STATS)
 
     return run

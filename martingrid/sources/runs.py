@@ -1,31 +1,36 @@
 """Durable, resumable runs as Parquet: results by batch, and manifests that name what is committed.
 
 A run's folder has ``metadata`` (what the run is), ``results`` (statistics of blocks, by
-incarnation and batch), ``entries`` (the blocks that a manifest commits) and ``heads``
-(one row a manifest, written last, so a manifest without one does not count).  Batches
-are Spark jobs; a batch whose job is lost is computed again, and a result counts once a
-manifest names it.  Only the driver's run writes manifests: give one run at a time a folder.
+incarnation and batch), ``entries`` (the blocks that a manifest adds to those of its
+base), ``tree`` (the reduction's nodes that it adds) and ``heads`` (one row a manifest,
+written last, so a manifest without one does not count).  A batch writes rows in
+proportion to its own blocks.  Batches are Spark jobs; a batch whose job is lost is
+computed again, and a result counts once a manifest names it.  Only the driver's run
+writes manifests: give one run at a time a folder.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martingrid.functions import codec
-from martingrid.operators.simulate import RunSpec, block_stats, blocks, reduce_blocks
+from martingrid.operators.simulate import RunSpec, block_stats, blocks
 from martingrid.operators.validation import validate_results
+from martingrid.sources import tree
 from martingrid.sources.shared import shared_root
 
 #: What computes the statistics; results of another kernel are not mixed in.
 BUILD = "numpy-kernel-2"
 RUNNING, COMPLETED, FAILED = "Running", "Completed", "Failed"
-_HEAD = "run_id string, sequence long, status string, incarnation long, lease_epoch long, committed long, digest string, n long, mean double, m2 double, min double, max double, reason string"
+_ENTRY = "block_id long, incarnation long, lease_epoch long, checksum string"
+_HEAD = "run_id string, sequence long, base long, status string, incarnation long, lease_epoch long, committed long, added long, digest string, n long, mean double, m2 double, min double, max double, reason string"
 
 
 class RunError(RuntimeError):
@@ -38,11 +43,15 @@ class Head:
 
     run_id: str
     sequence: int
+    #: The manifest to whose entries this one adds; 0 for none.
+    base: int
     status: str
     incarnation: int
     lease_epoch: int
+    #: Entries of its whole chain, and of its own.
     committed: int
-    digest: str
+    added: int = 0
+    digest: str = ""
     n: int | None = None
     mean: float | None = None
     m2: float | None = None
@@ -56,51 +65,122 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/run-{uuid.uuid4().hex}"
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path; none where there is none yet."""
+#: What Spark says of a path that is not there, or empty.
+_LOST = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+#: What it says of a file that is not what it should be.
+_UNREADABLE = "FAILED_READ_FILE"
+
+
+def _read(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame | None:
+    """The table at the paths; none where one is not there."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.option("basePath", base) if base else spark.read).parquet(*paths)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() in _LOST:
             return None
         raise
 
 
-def _digest(entries: DataFrame) -> tuple[int, str]:
-    """How many entries there are, and a digest that does not depend on their order."""
-    r = entries.agg(F.count("*").alias("n"), F.sum(F.xxhash64("block_id", "incarnation", "lease_epoch", "checksum").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], str(r["h"])
+#: Neighbouring block ids whose entries are digested together.
+DIGESTED = 1 << 16
+ENTRY = ("block_id", "incarnation", "lease_epoch", "checksum")
 
 
-ENTRY = ("block_id", "incarnation", "lease_epoch", "checksum")
+def _digests(entries: DataFrame) -> dict[int, tuple[int, str]]:
+    """By sequence: how many entries a manifest adds, and their SHA-256, formed in order of ids range by range.
+
+    A range of ids is one row on the driver, so a row for 65,536 entries.
+    """
+    line = F.concat_ws(" ", F.lpad(F.col("block_id").cast("string"), 20, "0"), "incarnation", "lease_epoch", F.coalesce("checksum", F.lit("-")))
+    parts = entries.groupBy("sequence", F.expr(f"block_id div {DIGESTED}").alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
+    out: dict[int, tuple[int, list[str]]] = {}
+    for r in parts.orderBy("sequence", F.col("part").asc_nulls_first()).collect():
+        n, lines = out.get(r.sequence, (0, []))
+        out[r.sequence] = (n + r.n, [*lines, r.d])
+    return {s: (n, hashlib.sha256("\n".join(lines).encode()).hexdigest()) for s, (n, lines) in out.items()}
+
+
+def chain(known: list[Head], head: Head) -> list[Head] | None:
+    """The manifests whose entries together are those of ``head``, oldest first; none if one is missing."""
+    by, out = {h.sequence: h for h in known}, [head]
+    while out[-1].base:
+        before = by.get(out[-1].base)
+        if before is None or before.sequence >= out[-1].sequence:
+            return None
+        out.append(before)
+    return out[::-1]
 
 
-def committed_results(spark: SparkSession, folder: str, sequence: int) -> DataFrame | None:
-    """The results that a manifest names; null statistics where one is lost."""
-    entries, results = _read(spark, f"{folder}/entries/sequence={sequence}"), _read(spark, f"{folder}/results")
+def _adding(links: list[Head]) -> list[int]:
+    return [h.sequence for h in links if h.added]
+
+
+def _entries(spark: SparkSession, folder: str, links: list[Head]) -> DataFrame | None:
+    """What the manifests of a chain add, with their sequence; none if a part is lost."""
+    paths = [f"{folder}/entries/sequence={s}" for s in _adding(links)]
+    if not paths:
+        return spark.createDataFrame([], f"{_ENTRY}, sequence long")
+    rows = _read(spark, *paths, base=f"{folder}/entries")
+    return None if rows is None else rows.withColumn("sequence", F.col("sequence").cast("long"))
+
+
+def committed_results(spark: SparkSession, folder: str, links: list[Head]) -> DataFrame | None:
+    """The results that the manifests of a chain name; null statistics where one is lost."""
+    entries, results = _entries(spark, folder, links), _read(spark, f"{folder}/results")
     if entries is None:
         return None
     if results is None:
-        return entries.select(*ENTRY, F.lit(None).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("mean", "m2", "min", "max")])
+        return entries.select(*ENTRY, "sequence", F.lit(None).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("mean", "m2", "min", "max")])
     found = results.select(*ENTRY, "n", "mean", "m2", "min", "max").dropDuplicates(list(ENTRY))
     return entries.join(found, list(ENTRY), "left")
 
 
-def is_valid(spark: SparkSession, folder: str, head: Head, n_blocks: int) -> bool:
-    """Whether a manifest's entries are those that were written, and each has its result, whose checksum is right; statistics of the whole must be those of the head, bit by bit."""
+def is_valid(spark: SparkSession, folder: str, head: Head, n_blocks: int, known: list[Head] | None = None) -> bool:
+    """Whether a manifest holds (see ``_holds``); files that are lost or can't be read as what they should be make it invalid, other errors raise."""
+    try:
+        return _holds(spark, folder, head, n_blocks, heads(spark, folder) if known is None else known)
+    except AnalysisException as e:
+        if e.getCondition() in _LOST:
+            return False
+        raise
+    except Exception as e:
+        if _UNREADABLE in str(e):
+            return False
+        raise
+
+
+def _holds(spark: SparkSession, folder: str, head: Head, n_blocks: int, known: list[Head]) -> bool:
+    """Whether a manifest holds, from its leaves up.
+
+    Every manifest of its chain is there and adds the entries that were written; ids are
+    unique and of the run; incarnations and leases are above zero and not above the
+    manifest's, and the lease is its own where the incarnation is; each entry has its
+    result, whose digest is right; and the stored tree is, node by node and bit by bit,
+    what these results make of it.  A completed one has all blocks, and the root's
+    statistics.
+    """
+    links = chain(known, head)
+    if links is None or sum(h.added for h in links) != head.committed:
+        return False
     if head.committed == 0:
-        return True
-    rows = committed_results(spark, folder, head.sequence)
-    if rows is None or _digest(rows) != (head.committed, head.digest):
+        return head.status != COMPLETED
+    rows = committed_results(spark, folder, links)
+    if rows is None or _digests(rows) != {h.sequence: (h.added, h.digest) for h in links if h.added}:
         return False
     checked = codec.with_checksum(rows, "computed")
-    bad = checked.where(~F.col("checksum").eqNullSafe(F.col("computed")) | ~F.col("block_id").between(0, n_blocks - 1)).limit(1).count()
-    if bad or checked.select("block_id").distinct().count() != head.committed:
+    c = F.col
+    ranged = c("block_id").between(0, n_blocks - 1) & c("incarnation").between(1, head.incarnation) & c("lease_epoch").between(1, head.lease_epoch)
+    own = (c("incarnation") < head.incarnation) | (c("lease_epoch") == head.lease_epoch)
+    if checked.where(~c("checksum").eqNullSafe(c("computed")) | ~F.coalesce(ranged & own, F.lit(False))).limit(1).count():
         return False
+    if checked.select("block_id").distinct().count() != head.committed:
+        return False
+    if tree.differing(spark, folder, _adding(links), rows.select("block_id", *tree.VALUES), n_blocks).limit(1).count():
+        return False
+    whole = tree.root(spark, folder, _adding(links), n_blocks)
     if head.status != COMPLETED:
         return True
-    whole = reduce_blocks(rows.select("block_id", "n", "mean", "m2", "min", "max"), n_blocks, partial=True).first()
-    return head.committed == n_blocks and codec.aggregate_payload(*whole[1:]) == codec.aggregate_payload(head.n, head.mean, head.m2, head.min, head.max)
+    return head.committed == n_blocks and whole is not None and codec.aggregate_payload(*whole) == codec.aggregate_payload(head.n, head.mean, head.m2, head.min, head.max)
 
 
 def heads(spark: SparkSession, folder: str) -> list[Head]:
@@ -112,15 +192,19 @@ def heads(spark: SparkSession, folder: str) -> list[Head]:
 
 def latest_valid(spark: SparkSession, folder: str, n_blocks: int) -> Head | None:
     """The newest manifest that is whole; older ones stand in for damaged ones."""
-    return next((h for h in heads(spark, folder) if is_valid(spark, folder, h, n_blocks)), None)
+    known = heads(spark, folder)
+    return next((h for h in known if is_valid(spark, folder, h, n_blocks, known)), None)
 
 
-def _write_manifest(spark: SparkSession, folder: str, head: Head, entries: DataFrame | None) -> Head:
-    if entries is not None:
+def _write_manifest(spark: SparkSession, folder: str, head: Head, added: DataFrame | None = None) -> Head:
+    """Writes a manifest that adds entries, or none, to those of its base; the row that makes it count comes last."""
+    n, digest = 0, ""
+    if added is not None:
         path = f"{folder}/entries/sequence={head.sequence}"
-        entries.select(*ENTRY).write.mode("errorifexists").parquet(path)
-        n, digest = _digest(spark.read.parquet(path))
-        head = Head(**{**asdict(head), "committed": n, "digest": digest})
+        typed = [F.col(c).cast(t) for c, t in (x.split() for x in _ENTRY.split(", "))]
+        added.select(*typed).write.mode("overwrite").parquet(path)  # without its head, what is there does not count
+        n, digest = _digests(spark.read.parquet(path).withColumn("sequence", F.lit(head.sequence))).get(head.sequence, (0, ""))
+    head = replace(head, added=n, committed=head.committed + n, digest=digest)
     spark.createDataFrame([tuple(asdict(head).values())], _HEAD).coalesce(1).write.mode("append").parquet(f"{folder}/heads")
     return head
 
@@ -146,7 +230,7 @@ def run_durable(spark: SparkSession, spec: RunSpec, folder: str, batch_blocks: i
     n_blocks = 1 + (spec.scenarios - 1) // spec.block_size
     _open(spark, spec, folder)
     past = heads(spark, folder)
-    last = next((h for h in past if is_valid(spark, folder, h, n_blocks)), None)
+    last = next((h for h in past if is_valid(spark, folder, h, n_blocks, past)), None)
     summary = lambda h, recovered: spark.createDataFrame(
         [(h.status, n_blocks, recovered, h.committed - recovered, h.n, h.mean, h.m2, h.min, h.max)],
         "status string, blocks long, recovered long, computed long, n long, mean double, m2 double, min double, max double",
@@ -156,35 +240,54 @@ def run_durable(spark: SparkSession, spec: RunSpec, folder: str, batch_blocks: i
     if last and last.status == COMPLETED:
         return summary(last, n_blocks)
     recovered = last.committed if last else 0
+    links = chain(past, last) if last else []
     sequence = max((h.sequence for h in past), default=0) + 1
     incarnation = max(last.incarnation + 1 if last else 1, sequence)
-    entries = spark.read.parquet(f"{folder}/entries/sequence={last.sequence}") if recovered else None
     # the fence: from here on results of earlier incarnations are stale
-    head = _write_manifest(spark, folder, Head(codec.run_id(spec).hex(), sequence, RUNNING, incarnation, (last.lease_epoch if last else 0) + 1, 0, "None"), entries)
+    fence = Head(codec.run_id(spec).hex(), sequence, last.sequence if last else 0, RUNNING, incarnation, (last.lease_epoch if last else 0) + 1, recovered)
+    head = _write_manifest(spark, folder, fence)
+    links.append(head)
     universe = blocks(spark, spec).withColumn("lease_epoch", F.lit(head.lease_epoch))
-    none = spark.createDataFrame([], "block_id long, incarnation long, lease_epoch long, checksum string")
     batch = F.expr(f"block_id div {batch_blocks}")
-    pending = universe.join((entries if entries is not None else none).select("block_id"), "block_id", "left_anti")
+    pending = universe.join(_entries(spark, folder, links).select("block_id"), "block_id", "left_anti")
     todo = sorted(r[0] for r in pending.select(batch.alias("b")).distinct().collect())
     run = {"run_hash": codec.spec_hash(spec).hex(), "layout_hash": codec.layout_hash(spec).hex(), "build": BUILD, "incarnation": incarnation, "rng_version": codec.RNG, "stats_schema": codec.STATS}
     for b in todo[:max_batches]:
         path = f"{folder}/results/computed_in={incarnation}/batch={b}"
-        known = entries if entries is not None else none
         own = universe.where(batch == b)
+        known = _entries(spark, folder, links).where(batch == b)
         made = codec.with_checksum(block_stats(spark, spec, own.join(known.select("block_id"), "block_id", "left_anti")))
         marked = made.join(own.select("block_id", "start_scenario", "end_scenario", "lease_epoch"), "block_id")
         marked.select("*", *[F.lit(v).alias(k) for k, v in run.items()]).write.mode("overwrite").parquet(path)
         judged = validate_results(spark.read.parquet(path), own, known, run, spec.antithetic)
         bad = judged.where("status <> 'Accepted' and not benign").orderBy("block_id").limit(1).collect()
-        head = Head(**{**asdict(head), "sequence": head.sequence + 1})
+        head = replace(head, sequence=head.sequence + 1, base=head.sequence)
         if bad:
-            _write_manifest(spark, folder, Head(**{**asdict(head), "status": FAILED, "reason": f"block {bad[0]['block_id']}: {bad[0]['status']}"}), entries)
+            _write_manifest(spark, folder, replace(head, status=FAILED, reason=f"block {bad[0]['block_id']}: {bad[0]['status']}"))
             raise RunError(f"block {bad[0]['block_id']}: {bad[0]['status']}")
-        accepted = judged.where("status = 'Accepted'").select(*ENTRY)
-        head = _write_manifest(spark, folder, head, known.select(*ENTRY).unionByName(accepted))
-        entries = spark.read.parquet(f"{folder}/entries/sequence={head.sequence}")
+        accepted = judged.where("status = 'Accepted'")
+        tree.add(spark, folder, head.sequence, accepted, n_blocks, _adding(links))
+        head = _write_manifest(spark, folder, head, accepted)
+        links.append(head)
     if head.committed == n_blocks:
-        rows = committed_results(spark, folder, head.sequence).select("block_id", "n", "mean", "m2", "min", "max")
-        whole = reduce_blocks(rows, n_blocks).first()
-        head = _write_manifest(spark, folder, Head(**{**asdict(head), "sequence": head.sequence + 1, "status": COMPLETED, **dict(zip(("n", "mean", "m2", "min", "max"), whole[1:], strict=True))}), entries)
+        whole = tree.root(spark, folder, _adding(links), n_blocks)
+        head = _write_manifest(spark, folder, replace(head, sequence=head.sequence + 1, base=head.sequence, status=COMPLETED, **dict(zip(tree.VALUES, whole, strict=True))))
     return summary(head, recovered)
+
+
+def compact(spark: SparkSession, spec: RunSpec, folder: str) -> int:
+    """Writes the entries and nodes of the newest valid manifest as those of one; gives its sequence.
+
+    Nodes are laid out by level and position.  What the older manifests added stays,
+    for those that still name it.
+    """
+    n_blocks = 1 + (spec.scenarios - 1) // spec.block_size
+    known = heads(spark, folder)
+    last = latest_valid(spark, folder, n_blocks)
+    if last is None:
+        raise RunError("there is nothing to compact")
+    links, sequence = chain(known, last), max(h.sequence for h in known) + 1
+    nodes = spark.read.schema(tree.NODE).parquet(*[f"{folder}/tree/sequence={s}" for s in _adding(links)]) if _adding(links) else spark.createDataFrame([], tree.NODE)
+    nodes.repartitionByRange("level", "position").sortWithinPartitions("level", "position").write.mode("overwrite").parquet(f"{folder}/tree/sequence={sequence}")
+    _write_manifest(spark, folder, replace(last, sequence=sequence, base=0, committed=0), _entries(spark, folder, links))
+    return sequence
