@@ -8,20 +8,20 @@ import re
 
 from pyspark.sql import SparkSession
 
-from martingrid.functions.parse import DOUBLE
+from martingrid.functions.parse import DOUBLE_FORM, U64_FORM
 from martingrid.operators.simulate import RunSpec, price
 from martingrid.sources.documents import json_result
 from martingrid.sources.runs import run_durable
 
 
 def strict_int(text: str) -> int:
-    if not re.fullmatch("[0-9]{1,20}", text) or int(text) >= 1 << 64:
+    if not re.fullmatch(U64_FORM, text) or int(text) >= 1 << 64:
         raise argparse.ArgumentTypeError("digits only, below 2^64")
     return int(text)
 
 
 def strict_float(text: str) -> float:
-    if not re.fullmatch(DOUBLE[1:-1], text) or abs(float(text)) == float("inf"):
+    if not re.fullmatch(DOUBLE_FORM, text) or abs(float(text)) == float("inf"):
         raise argparse.ArgumentTypeError("a finite number in plain or exponent form")
     return float(text)
 

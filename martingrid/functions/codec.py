@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martingrid.functions import ieee
 from martingrid.operators.simulate import RunSpec
 
 #: Fixed values of the formats: versions, and the numbers of models and payoffs.
@@ -53,22 +52,17 @@ def aggregate_payload(n: int, mean: float, m2: float, low: float, high: float) -
     return np.array([(1, STATS, n, mean, m2, low, high)], dtype=_AGGREGATE).tobytes()
 
 
+def aggregate_bytes(n: Column, *values: Column) -> Column:
+    """The 48 bytes of a block's statistics as a binary column, in Spark expressions; null where one of them is."""
+    head = F.lit(struct.pack("<II", 1, STATS).hex().upper())
+    return F.unhex(F.concat(head, ieee.little_endian(n), *[ieee.little_endian(ieee.double_bits(x)) for x in values]))
+
+
 def with_checksum(stats: DataFrame, name: str = "checksum") -> DataFrame:
     """``stats`` (n, mean, m2, min, max, ...) with the digest of their canonical bytes, lowercase hex; null where one of them is."""
     rest = [c for c in stats.columns if c != name]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = np.zeros(b.num_rows, dtype=_AGGREGATE)
-            rows["tag"], rows["schema"] = 1, STATS
-            whole = np.ones(b.num_rows, dtype=bool)
-            for c in ("n", "mean", "m2", "min", "max"):
-                rows[c] = b.column(c).fill_null(0).to_numpy(zero_copy_only=False)
-                whole &= b.column(c).is_valid().to_numpy(zero_copy_only=False)
-            digests = [hashlib.sha256(r).hexdigest() if ok else None for r, ok in zip(rows.view("V48").tolist(), whole, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(digests, pa.string())], [*rest, name])
-
-    return stats.select(rest).mapInArrow(run, stats.select(rest).schema.add(name, "string"))
+    data = aggregate_bytes(F.col("n"), *[F.col(c).cast("double") for c in ("mean", "m2", "min", "max")])
+    return stats.select(*rest, F.sha2(data, 256).alias(name))
 
 
 def crc_table() -> list[int]:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-U64 = r"\A[0-9]{1,20}\z"
-DOUBLE = r"\A-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+#: Forms of a whole text, and the same as expressions that find nothing less.
+U64_FORM = r"[0-9]{1,20}"
+DOUBLE_FORM = r"-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+U64, DOUBLE = rf"\A{U64_FORM}\z", rf"\A{DOUBLE_FORM}\z"
 
 
 def parse_u64(text: Column) -> Column:

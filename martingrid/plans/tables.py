@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martingrid.functions import codec, heston, parse
+from martingrid.functions import codec, heston, ieee, parse
 from martingrid.operators import gate, scan, validation
 from martingrid.sources import documents
 
@@ -182,11 +184,11 @@ def m15_heston_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x8_result_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the lines of each order, and the digest of their 48 bytes."""
-    stats = _rows(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), (F.var_pop("l_quantity") * F.count("*")).alias("m2"), F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max")
-    )
-    return codec.with_checksum(stats.where("m2 = 0")).select("l_orderkey", "n", "checksum")
+    """Statistics of the lines of each order, from exact sums of whole quantities, and the digest of their 48 bytes."""
+    q = F.col("l_quantity").cast("long")
+    sums = _rows(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(q).alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("ss"), F.min(q).cast("double").alias("min"), F.max(q).cast("double").alias("max"))
+    stats = sums.select("l_orderkey", "n", (F.col("s") / F.col("n")).alias("mean"), ((F.col("n") * F.col("ss") - F.col("s") * F.col("s")) / F.col("n")).alias("m2"), "min", "max")
+    return codec.with_checksum(stats).select("l_orderkey", "n", "checksum")
 
 
 def m17_feller_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,8 +235,16 @@ def o1_latest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("sequence"), F.max_by("event_type", "event_id").alias("status"))
 
 
+#: Doubles of either sign, of all sizes down to the smallest ones, by order.
+DOUBLES = """CASE o_orderkey % 8 WHEN 0 THEN 0.0 WHEN 1 THEN o_totalprice WHEN 2 THEN -o_totalprice WHEN 3 THEN o_totalprice / 3 WHEN 4 THEN -o_totalprice * 1e-320
+  WHEN 5 THEN o_totalprice * 1e302 WHEN 6 THEN o_orderkey * 1.0 ELSE o_totalprice * 1e-312 END"""
+
+
 def x6_payload_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), 256).alias("digest"))
+    """The bits of doubles, and the digest of their bytes."""
+    rows = _rows(spark, sf_dir, "orders").select("o_orderkey", F.expr(DOUBLES).cast("double").alias("x"))
+    bits = ieee.double_bits(F.col("x"))
+    return rows.select("o_orderkey", bits.alias("bits"), F.sha2(F.unhex(ieee.little_endian(bits)), 256).alias("digest"))
 
 
 QUERIES = (
@@ -270,6 +280,20 @@ def _gate_sql() -> str:
         pairs >= {p.minimum_pairs} AND ci_high < {p.maximum_loss} AND abs(drift_pct) <= {p.maximum_drift} AND abs(order_effect) <= {p.maximum_order_effect} AS passed FROM a"""
 
 
+def _bits_sql(x: str) -> str:
+    """Bits of a finite double: multiples of the smallest number, or exponent and fraction."""
+    a, e = f"abs({x})", f"greatest(floor(log2(abs({x}))), -1022)"
+    e = f"({e} + CASE WHEN {a} / pow(2, {e}) >= 2 THEN 1 WHEN {a} / pow(2, {e}) < 1 THEN -1 ELSE 0 END)"
+    size = f"CASE WHEN {a} < pow(2::DOUBLE, -1022) THEN ({a} * pow(2::DOUBLE, 537) * pow(2::DOUBLE, 537))::BIGINT ELSE ({e} + 1023)::BIGINT * {1 << 52} + (({a} / pow(2, {e}) - 1) * {1 << 52})::BIGINT END"
+    return f"(({size})::HUGEINT - CASE WHEN {x} < 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)::BIGINT"
+
+
+def _le_sql(bits: str) -> str:
+    """Its eight bytes, the lowest first, as hexadecimal digits."""
+    byte = lambda i: f"printf('%02x', ({bits} >> {8 * i}) & 255)"
+    return "(" + " || ".join(byte(i) for i in range(8)) + ")"
+
+
 _INVARIANT = "CASE WHEN n IS DISTINCT FROM 100 THEN 'count' WHEN m2 < 0 THEN 'm2' WHEN min > max THEN 'range' WHEN mean < min OR mean > max THEN 'mean' END"
 _WRONG = _INVARIANT
 ORACLES = {
@@ -323,5 +347,7 @@ ORACLES = {
     "x16_speedup": """SELECT c_mktsegment, workers, round(rate / r0, 9) AS speedup, round(rate / r0 * w0 / workers, 9) AS efficiency FROM (SELECT *, first_value(rate) OVER w AS r0, first_value(workers) OVER w AS w0
       FROM (SELECT c_mktsegment, c_nationkey + 1 AS workers, max(c_acctbal) AS rate FROM customer GROUP BY ALL) WINDOW w AS (PARTITION BY c_mktsegment ORDER BY workers))""",
     "o1_latest_manifest": "SELECT user_id, max(event_id) AS sequence, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id",
-    "x6_payload_sha256": "SELECT o_orderkey, sha256(concat_ws('|', o_orderkey::VARCHAR, o_orderstatus, o_orderpriority)) AS digest FROM orders",
+    "x6_payload_sha256": f"SELECT o_orderkey, bits, sha256(unhex({_le_sql('bits')})) AS digest FROM (SELECT o_orderkey, {_bits_sql('x')} AS bits FROM (SELECT o_orderkey, ({DOUBLES})::DOUBLE AS x FROM orders))",
+    "x8_result_checksums": f"""SELECT l_orderkey, n, sha256(unhex('{struct.pack("<II", 1, codec.STATS).hex()}' || {' || '.join(_le_sql(c) for c in ('n', 'b1', 'b2', 'b3', 'b4'))})) AS checksum FROM (SELECT l_orderkey, n, {', '.join(f"{_bits_sql(c)} AS b{i}" for i, c in enumerate(('mean', 'm2', 'low', 'high'), 1))}
+      FROM (SELECT l_orderkey, n, s::DOUBLE / n AS mean, (n * ss - s * s)::DOUBLE / n AS m2, low, high FROM (SELECT l_orderkey, count(q) AS n, sum(q)::BIGINT AS s, sum(q * q)::BIGINT AS ss, min(q)::DOUBLE AS low, max(q)::DOUBLE AS high FROM (SELECT l_orderkey, l_quantity::BIGINT AS q FROM lineitem) GROUP BY l_orderkey)))""",
 }
