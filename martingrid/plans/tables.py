@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martingrid.functions import codec, heston, ieee, parse
-from martingrid.operators import gate, scan, validation
+from martingrid.operators import gate, manifests, scan, validation
 from martingrid.sources import documents
 
 RUN = {"run_hash": "run", "layout_hash": "layout", "build": "build", "incarnation": 2, "rng_version": 2, "stats_schema": 1}
@@ -231,8 +231,20 @@ def x16_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.speedup(runs, "c_mktsegment", "workers", "rate").select("c_mktsegment", "workers", *[F.round(c, 9).alias(c) for c in ("speedup", "efficiency")])
 
 
+#: A manifest for each order, in its customer's run, and its lines as entries; the same text is read by Spark and by DuckDB.
+HEADS = "SELECT o_custkey AS run, o_orderkey AS sequence, 1 AS schema, 2 + o_orderkey % 3 AS incarnation, 90 AS block_count, o_orderkey FROM orders"
+ENTRIES = """SELECT run, sequence, l_linenumber - 1 AS place, l_linenumber * 10 + l_suppkey % 13 AS block_id, CASE WHEN l_partkey % 61 = 0 THEN incarnation + 1 ELSE incarnation - l_partkey % 2 END AS result_incarnation,
+  CASE WHEN l_partkey % 67 = 0 THEN 5 WHEN l_partkey % 71 = 0 THEN NULL WHEN l_partkey % 2 = 1 THEN 2 ELSE 4 END AS lease_epoch, 4 AS high_water FROM heads JOIN lineitem ON l_orderkey = o_orderkey"""
+
+
 def o1_latest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("sequence"), F.max_by("event_type", "event_id").alias("status"))
+    """The newest manifest of each run whose entries are canonical; every 29th head says one entry more than it has."""
+    orders, lines = _rows(spark, sf_dir, "orders"), _rows(spark, sf_dir, "lineitem")
+    heads = spark.sql(HEADS.replace("FROM orders", "FROM {orders}"), orders=orders)
+    entries = spark.sql(ENTRIES.replace("FROM heads JOIN lineitem", "FROM {heads} JOIN {lines}"), heads=heads, lines=lines)
+    counted = entries.groupBy("run", "sequence").agg(F.count("*").alias("n"))
+    heads = heads.join(counted, ["run", "sequence"], "left").withColumn("committed", F.coalesce("n", F.lit(0)) + F.expr("if(sequence % 29 = 0, 1, 0)")).drop("n", "o_orderkey")
+    return manifests.latest_valid_manifests(heads, entries)
 
 
 #: Doubles of either sign, of all sizes down to the smallest ones, by order.
@@ -346,7 +358,12 @@ ORACLES = {
     "a17_order_effect": "SELECT event_type, round(median(value) FILTER (event_id % 2 = 0) - median(value) FILTER (event_id % 2 = 1), 6) AS effect FROM events GROUP BY event_type",
     "x16_speedup": """SELECT c_mktsegment, workers, round(rate / r0, 9) AS speedup, round(rate / r0 * w0 / workers, 9) AS efficiency FROM (SELECT *, first_value(rate) OVER w AS r0, first_value(workers) OVER w AS w0
       FROM (SELECT c_mktsegment, c_nationkey + 1 AS workers, max(c_acctbal) AS rate FROM customer GROUP BY ALL) WINDOW w AS (PARTITION BY c_mktsegment ORDER BY workers))""",
-    "o1_latest_manifest": "SELECT user_id, max(event_id) AS sequence, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id",
+    "o1_latest_manifest": f"""WITH heads AS ({HEADS}), e AS ({ENTRIES}), w AS (SELECT *, lag(block_id) OVER (PARTITION BY run, sequence ORDER BY place) AS previous, lag(place) OVER (PARTITION BY run, sequence ORDER BY place) AS p0, count(*) OVER (PARTITION BY run, sequence) AS n FROM e),
+      bad AS (SELECT DISTINCT run, sequence FROM w JOIN heads USING (run, sequence) WHERE place < 0 OR place >= n + CASE WHEN sequence % 29 = 0 THEN 1 ELSE 0 END OR place IS NOT DISTINCT FROM p0 OR place <> coalesce(p0 + 1, 0) OR block_id NOT BETWEEN 0 AND block_count - 1
+        OR result_incarnation > incarnation OR result_incarnation < 1 OR coalesce(lease_epoch NOT BETWEEN 1 AND high_water, true) OR (result_incarnation = incarnation AND lease_epoch <> high_water) OR previous >= block_id),
+      j AS (SELECT h.run, h.sequence, sequence % 29 <> 0 AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.run = h.run AND b.sequence = h.sequence) AS good, (SELECT count(*) FROM lineitem WHERE l_orderkey = h.sequence) AS committed FROM heads h),
+      v AS (SELECT run, max(sequence) FILTER (good) AS sequence, max(sequence) AS newest FROM j GROUP BY run HAVING count(*) FILTER (good) > 0)
+      SELECT v.run, v.sequence, newest, (SELECT committed FROM j WHERE j.run = v.run AND j.sequence = v.sequence) AS committed, (SELECT count(*) FROM j WHERE j.run = v.run AND j.sequence > v.sequence) AS skipped FROM v""",
     "x6_payload_sha256": f"SELECT o_orderkey, bits, sha256(unhex({_le_sql('bits')})) AS digest FROM (SELECT o_orderkey, {_bits_sql('x')} AS bits FROM (SELECT o_orderkey, ({DOUBLES})::DOUBLE AS x FROM orders))",
     "x8_result_checksums": f"""SELECT l_orderkey, n, sha256(unhex('{struct.pack("<II", 1, codec.STATS).hex()}' || {' || '.join(_le_sql(c) for c in ('n', 'b1', 'b2', 'b3', 'b4'))})) AS checksum FROM (SELECT l_orderkey, n, {', '.join(f"{_bits_sql(c)} AS b{i}" for i, c in enumerate(('mean', 'm2', 'low', 'high'), 1))}
       FROM (SELECT l_orderkey, n, s::DOUBLE / n AS mean, (n * ss - s * s)::DOUBLE / n AS m2, low, high FROM (SELECT l_orderkey, count(q) AS n, sum(q)::BIGINT AS s, sum(q * q)::BIGINT AS ss, min(q)::DOUBLE AS low, max(q)::DOUBLE AS high FROM (SELECT l_orderkey, l_quantity::BIGINT AS q FROM lineitem) GROUP BY l_orderkey)))""",
