@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martingrid.functions import codec, heston, ieee, parse
 from martingrid.operators import gate, manifests, scan, validation
-from martingrid.sources import documents
+from martingrid.sources import documents, records, shared
 
 RUN = {"run_hash": "run", "layout_hash": "layout", "build": "build", "incarnation": 2, "rng_version": 2, "stats_schema": 1}
 #: A block for each order key; the last fiftieth of them is outside the universe.
@@ -183,12 +184,29 @@ def m15_heston_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heston.heston_calls(rows).select("p_partkey", F.round("price", 8).alias("price"), "error")
 
 
-def x8_result_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the lines of each order, from exact sums of whole quantities, and the digest of their 48 bytes."""
     q = F.col("l_quantity").cast("long")
     sums = _rows(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(q).alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("ss"), F.min(q).cast("double").alias("min"), F.max(q).cast("double").alias("max"))
     stats = sums.select("l_orderkey", "n", (F.col("s") / F.col("n")).alias("mean"), ((F.col("n") * F.col("ss") - F.col("s") * F.col("s")) / F.col("n")).alias("m2"), "min", "max")
-    return codec.with_checksum(stats).select("l_orderkey", "n", "checksum")
+    return codec.with_checksum(stats)
+
+
+def x8_result_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_stats(spark, sf_dir).select("l_orderkey", "n", "checksum")
+
+
+def k8_block_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each order written as binary records and read back, some columns only."""
+    zero = F.lit("00" * 32)
+    numbers = {"start_scenario": F.col("block_id") * 8, "end_scenario": F.col("block_id") * 8 + F.col("n"), "incarnation": F.lit(1), "lease_epoch": F.lit(1), "rng_version": F.lit(codec.RNG), "stats_schema": F.lit(codec.STATS), "worker_id": F.lit(0)}
+    rows = _line_stats(spark, sf_dir).withColumnRenamed("l_orderkey", "block_id")
+    rows = rows.withColumns({k: v.cast("long") for k, v in numbers.items()} | {k: zero for k in ("run_id", "run_hash", "layout_hash", "build")})
+    records.register(spark)
+    path = f"{shared.shared_root(spark)}/records-{uuid.uuid4().hex}"
+    rows.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in records.BlockRecords({}).schema().split(", ")]).write.format("block_records").mode("append").save(path)
+    found = spark.read.format("block_records").option("columns", "block_id,end_scenario,n,min,max,checksum").load(path)
+    return found.select("block_id", "end_scenario", "n", "min", "max", "checksum")
 
 
 def m17_feller_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +280,7 @@ def x6_payload_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     f7_validate_results, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, a11_latency_percentiles, a13_linear_quantiles,
     a14_median_deviation, a16_theil_sen, j8_median_slope, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256, f6_universe_problems, f1_spec_check, x7_crc32c, x11_strict_parse,
-    j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, u2_uncommitted_ranges, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums,
+    j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, u2_uncommitted_ranges, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums, k8_block_records,
 )
 
 
@@ -306,6 +324,8 @@ def _le_sql(bits: str) -> str:
     return "(" + " || ".join(byte(i) for i in range(8)) + ")"
 
 
+_X8 = f"""SELECT l_orderkey, n, sha256(unhex('{struct.pack("<II", 1, codec.STATS).hex()}' || {' || '.join(_le_sql(c) for c in ('n', 'b1', 'b2', 'b3', 'b4'))})) AS checksum FROM (SELECT l_orderkey, n, {', '.join(f"{_bits_sql(c)} AS b{i}" for i, c in enumerate(('mean', 'm2', 'low', 'high'), 1))}
+      FROM (SELECT l_orderkey, n, s::DOUBLE / n AS mean, (n * ss - s * s)::DOUBLE / n AS m2, low, high FROM (SELECT l_orderkey, count(q) AS n, sum(q)::BIGINT AS s, sum(q * q)::BIGINT AS ss, min(q)::DOUBLE AS low, max(q)::DOUBLE AS high FROM (SELECT l_orderkey, l_quantity::BIGINT AS q FROM lineitem) GROUP BY l_orderkey)))"""
 _INVARIANT = "CASE WHEN n IS DISTINCT FROM 100 THEN 'count' WHEN m2 < 0 THEN 'm2' WHEN min > max THEN 'range' WHEN mean < min OR mean > max THEN 'mean' END"
 _WRONG = _INVARIANT
 ORACLES = {
@@ -365,6 +385,6 @@ ORACLES = {
       v AS (SELECT run, max(sequence) FILTER (good) AS sequence, max(sequence) AS newest FROM j GROUP BY run HAVING count(*) FILTER (good) > 0)
       SELECT v.run, v.sequence, newest, (SELECT committed FROM j WHERE j.run = v.run AND j.sequence = v.sequence) AS committed, (SELECT count(*) FROM j WHERE j.run = v.run AND j.sequence > v.sequence) AS skipped FROM v""",
     "x6_payload_sha256": f"SELECT o_orderkey, bits, sha256(unhex({_le_sql('bits')})) AS digest FROM (SELECT o_orderkey, {_bits_sql('x')} AS bits FROM (SELECT o_orderkey, ({DOUBLES})::DOUBLE AS x FROM orders))",
-    "x8_result_checksums": f"""SELECT l_orderkey, n, sha256(unhex('{struct.pack("<II", 1, codec.STATS).hex()}' || {' || '.join(_le_sql(c) for c in ('n', 'b1', 'b2', 'b3', 'b4'))})) AS checksum FROM (SELECT l_orderkey, n, {', '.join(f"{_bits_sql(c)} AS b{i}" for i, c in enumerate(('mean', 'm2', 'low', 'high'), 1))}
-      FROM (SELECT l_orderkey, n, s::DOUBLE / n AS mean, (n * ss - s * s)::DOUBLE / n AS m2, low, high FROM (SELECT l_orderkey, count(q) AS n, sum(q)::BIGINT AS s, sum(q * q)::BIGINT AS ss, min(q)::DOUBLE AS low, max(q)::DOUBLE AS high FROM (SELECT l_orderkey, l_quantity::BIGINT AS q FROM lineitem) GROUP BY l_orderkey)))""",
+    "x8_result_checksums": _X8,
+    "k8_block_records": f"SELECT l_orderkey AS block_id, l_orderkey * 8 + n AS end_scenario, n, min, max, checksum FROM ({_X8}) JOIN (SELECT l_orderkey, min(l_quantity)::DOUBLE AS min, max(l_quantity)::DOUBLE AS max FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)",
 }
