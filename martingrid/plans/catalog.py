@@ -141,11 +141,12 @@ def e8_durable_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s7_latest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest that a run goes on from, after the newest one has lost its entries."""
+    """The manifest that a run goes on from, after the newest entries are lost."""
     spec, folder = _sized(spark, sf_dir, SPEC), runs.new_folder(spark)
     runs.run_durable(spark, spec, folder, 1, 2)
     newest = runs.heads(spark, folder)[0]
-    spark.read.parquet(f"{folder}/entries/sequence={newest.sequence}").limit(0).write.mode("overwrite").parquet(f"{folder}/entries/sequence={newest.sequence}")
+    last = next(h for h in runs.heads(spark, folder) if h.added)
+    spark.createDataFrame([], "block_id long, incarnation long, lease_epoch long, checksum string").write.mode("overwrite").parquet(f"{folder}/entries/sequence={last.sequence}")
     found = runs.latest_valid(spark, folder, 1 + (spec.scenarios - 1) // spec.block_size)
     return spark.createDataFrame([(newest.sequence, found.sequence, found.committed, found.status)], "newest long, valid long, committed long, status string")
 
@@ -257,6 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "t1_price": _price_sql(SPEC),
         "t1_price_asian": _price_sql(ASIAN),
         "m13_black_scholes": f"SELECT p_partkey, spot, volatility, round(spot * {_cdf('d1')} - 100.0::DOUBLE * exp(-0.05::DOUBLE) * {_cdf('(d1 - volatility)')}, {DIGITS}) AS price FROM (SELECT *, (ln(spot / 100) + (0.05 + volatility * volatility / 2)) / volatility AS d1 FROM (SELECT p_partkey, p_retailprice / 10 AS spot, 0.1::DOUBLE + p_size / 100.0::DOUBLE AS volatility FROM part))",
+        "s7_latest_manifest": f"SELECT 1 + d + (d = b)::BIGINT AS newest, d AS valid, d - 1 AS committed, 'Running' AS status FROM (SELECT b, least(b, 2) AS d FROM (SELECT {blocks_of(s.block_size)} AS b))",
         "e8_durable_resume": f"""WITH p AS (SELECT count(*) AS n, round(avg(payoff), 6) AS mean, round(min(payoff), 6) AS min, round(max(payoff), 6) AS max FROM ({_path_sql(ASIAN)})), b AS (SELECT {blocks_of(ASIAN.block_size)} AS blocks, {done} AS done)
           SELECT attempt::INTEGER AS attempt, CASE WHEN whole THEN 'Completed' ELSE 'Running' END AS status, blocks, recovered, computed, CASE WHEN whole THEN n END AS n, CASE WHEN whole THEN mean END AS mean, CASE WHEN whole THEN min END AS min, CASE WHEN whole THEN max END AS max
           FROM p, (SELECT 1 AS attempt, done = blocks AS whole, blocks, 0::BIGINT AS recovered, done AS computed FROM b UNION ALL SELECT 2, true, blocks, done, blocks - done FROM b UNION ALL SELECT 3, true, blocks, blocks, 0 FROM b)""",
