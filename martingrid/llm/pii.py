@@ -2,11 +2,12 @@
 
 Candidates are found by one pattern; numbers are validated (card check digit, digits of
 a phone number, social-security ranges, IP octets, calendar dates) and those that fail
-are left alone.  In a run of digit groups each part that is laid out as a card is tried.  The value becomes a short array of numbers, each below its own modulus, and a
-keyed Feistel network over them (each number in turn shifted by a digest of the
-others) permutes exactly the values of that format.  Equal values get equal
-pseudonyms in all documents, different values different ones.  The permutation of a
-row needs nothing but that row, so there is no shuffle and no shared state.
+are left alone.  In a run of digit groups each part that is laid out as a card is tried.
+The value becomes a short array of numbers, each below its own modulus, and a keyed
+Feistel network over them (each number in turn shifted by a digest of the others)
+permutes exactly the values of that format.  Equal values get equal pseudonyms in all
+documents, different values different ones.  The permutation of a row needs nothing but
+that row, so there is no shuffle and no shared state.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ FIRST_DAY, DAY_FACTORS = "1700-01-01", (189, 773)
 
 #: So many days of 400 years come after the twelfth of their month; moduli that multiply to it.
 LATE_FACTORS = (9, 9833)
-#: Layouts of card numbers, each from the first digit on.
-LAYOUTS = (r"^[0-9]{13,19}(?![0-9])", r"^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}(?![0-9])", r"^[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])", r"^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])")
-#: Times that the parts of a run are permuted until it has the same parts as before; one time is enough for nearly all runs.
+#: Groups of a card by the mark of its layout: one of 13 to 19 digits; 4 6 4 or 4 6 5; four of 4; four of 4 and one of 1 to 3.
+LAYOUTS = {"A": 1, "C": 3, "D": 4, "E": 5}
+#: Leftmost cards that do not overlap, from the best layout that fits at each group.
+_TAKEN = "|".join(f"{mark}.{{{n - 1}}}" for mark, n in LAYOUTS.items()) + "|0"
+#: Times that a card is permuted until its surroundings give the same cards as before; half as many already have a chance below 1e-10 not to do. One that needs more raises.
 WALKS = 64
 
 #: What a run of digit groups ends before, as it is of another kind.
@@ -126,36 +129,94 @@ def _one_card(m: Column, key: str, forward: bool) -> Column:
     return let(_digits(m), lambda d: _halves(F.substring(d, F.lit(1), F.length(d) - 1), f"{key}/card", forward, lambda p: let(p, close)))
 
 
-def _cards_of(m: Column) -> Column:
-    """[(start, length)] of the cards of a run: the run itself, or its valid parts of a card's layout, leftmost and longest first."""
-    no = F.array().cast("array<struct<i:int,n:int>>")
-    part = lambda i, n: F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"))
+def _groups(m: Column) -> Column:
+    """The digit groups of a run, each with the mark before it."""
+    return F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
 
-    def at(i: Column) -> Column:
-        rest = F.substring(m, i, F.lit(24))
-        found = F.filter(F.array(*[F.regexp_extract(rest, x, 0) for x in LAYOUTS]), lambda x: (x != "") & _valid_card(x))
-        return F.transform(F.slice(found, 1, 1), lambda x: part(i, F.length(x)))
 
-    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: F.substring(F.concat(F.lit(" "), m), i, F.lit(2)).rlike("^[^0-9][0-9]"))
-    free = lambda a, x: F.coalesce(F.get(a, F.size(a) - 1)["i"] + F.get(a, F.size(a) - 1)["n"] <= x["i"], F.lit(True))
-    parts = F.aggregate(F.flatten(F.transform(starts, at)), no, lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
-    whole = m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & _valid_card(m)
-    return F.when(whole, F.array(part(F.lit(1), F.length(m)))).otherwise(parts)
+def _part(values: Column, start: Column, n: Column) -> Column:
+    """``n`` values from index ``start`` on, in time that grows with ``n`` only."""
+    return F.when(n > 0, F.transform(F.sequence(start, start + n - 1), lambda j: F.get(values, j))).otherwise(F.array().cast("array<string>"))
 
 
-def _card(m: Column, key: str, forward: bool) -> Column:
-    """The cards of a run are permuted until the run has the same cards as before, so that they are found again."""
+def _marks(groups: Column, short: Column) -> Column:
+    """For each group of a run: 0 if no card has it, the mark of its layout where a card starts (W: the whole run), - inside.
+
+    ``short`` says that the run may be one card of any grouping.  A group's share of the
+    checksum is formed once, for an even and an odd number of digits behind it, so that
+    a card is tested by at most five additions.
+    """
+
+    def share(g: Column) -> Column:
+        d = F.translate(g, " -", "")
+        card = F.length(d) <= 19
+        return F.struct(F.length(d).alias("n"), F.when(card, luhn_sum(d)).otherwise(1).alias("even"), F.when(card, luhn_sum(F.concat(d, F.lit("0")))).otherwise(1).alias("odd"))
+
+    def layouts(h: Column) -> Column:
+        def best(i: Column) -> Column:
+            at = lambda k: F.get(h, i + k)
+            n = lambda k: at(k)["n"]
+            total = lambda parity, ks: sum((at(k)[parity] for k in ks[1:]), at(ks[0])[parity])
+            fours = (n(0) == 4) & (n(1) == 4) & (n(2) == 4) & (n(3) == 4)
+            before = lambda ks, last: F.when(n(last) % 2 == 0, total("even", ks)).otherwise(total("odd", ks)) + at(last)["even"]
+            return (
+                F.when(n(0).between(13, 19) & (at(0)["even"] % 10 == 0), "A")
+                .when(fours & n(4).between(1, 3) & (before([0, 1, 2, 3], 4) % 10 == 0), "E")
+                .when(fours & (total("even", [0, 1, 2, 3]) % 10 == 0), "D")
+                .when((n(0) == 4) & (n(1) == 6) & n(2).between(4, 5) & (before([0, 1], 2) % 10 == 0), "C")
+                .otherwise("0")
+            )
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(h) - 1), best), "")
+
+    spread = lambda mark, n: F.concat(F.array(mark), F.array_repeat(F.lit("-"), n - 1))
+    parts = F.flatten(F.transform(F.regexp_extract_all(let(F.transform(groups, share), layouts), F.lit(_TAKEN), F.lit(0)), lambda t: spread(F.substring(t, 1, 1), F.length(t))))
+    whole = let(F.when(short, F.array_join(groups, "")), lambda m: m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & _valid_card(m))
+    return F.when(short & whole, spread(F.lit("W"), F.size(groups))).otherwise(parts)
 
-    def made(cards: Column) -> Column:
-        def step(text: Column) -> Column:
-            new = lambda t, c: F.overlay(t, _one_card(F.substring(t, c["i"], c["n"]), key, forward), c["i"], c["n"])
-            return F.aggregate(cards, text, new)
 
-        state = lambda t: let(t, lambda x: F.struct(x.alias("t"), (_cards_of(x) == cards).alias("same")))
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.struct(m.alias("t"), F.lit(False).alias("same")), lambda s, _: F.when(s["same"], s).otherwise(state(step(s["t"]))))
-        return F.when(F.size(cards) > 0, walked["t"]).otherwise(m)
+def _card(m: Column, key: str, forward: bool) -> Column:
+    """A run with its cards permuted, in time that grows with its length.
+
+    The cards of a run do not depend on one another: what could turn a permuted card into
+    another one are only the free groups before it, at most three, and a short group
+    behind it, which stay.  A card is permuted until they give the same cards as before,
+    so that the same are found again.  A run that may be one card is looked at as a whole.
+    """
 
-    return let(_cards_of(m), made)
+    def of_card(s: Column, i: Column) -> Column:
+        g, k = s["g"], s["k"]
+        mark = F.get(k, i)
+        n = F.when(mark == "W", F.size(g))
+        for x, size in LAYOUTS.items():
+            n = n.when(mark == x, size)
+        free = lambda d: F.coalesce(F.get(k, i - d) == "0", F.lit(False))
+        before = F.when(s["short"], i).when(~free(1), 0).when(~free(2), 1).when(~free(3), 2).otherwise(3)
+        behind = let(n, lambda z: F.when(s["short"], F.size(g) - i - z).when(F.length(F.translate(F.get(g, i + z), " -", "")) <= 3, 1).otherwise(0))
+
+        def walked(c: Column) -> Column:
+            found = lambda t: _marks(F.concat(c["left"], _groups(t), c["right"]), s["short"])
+            step = lambda t: let(_one_card(t, key, forward), lambda x: F.struct(x.alias("t"), (found(x) == c["marks"]).alias("same")))
+            start = F.struct(c["t"].alias("t"), F.lit(False).alias("same"))
+            last = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, lambda a, _: F.when(a["same"], a).otherwise(step(a["t"])))
+            return let(last, lambda a: F.when(a["same"], a["t"]).otherwise(F.raise_error(F.lit("a card was permuted too often"))))
+
+        def context(b: Column) -> Column:
+            left, own, right = _part(g, i - b["before"], b["before"]), _part(g, i, b["n"]), _part(g, i + b["n"], b["behind"])
+            return let(F.struct(left.alias("left"), own.alias("own"), right.alias("right")), lambda c: let(F.struct(c["left"].alias("left"), c["right"].alias("right"), F.array_join(c["own"], "").alias("t"), _marks(F.concat(c["left"], c["own"], c["right"]), s["short"]).alias("marks")), walked))
+
+        return let(F.struct(before.cast("int").alias("before"), n.cast("int").alias("n"), behind.cast("int").alias("behind")), context)
+
+    def made(s: Column) -> Column:
+        new = F.transform(s["g"], lambda x, i: F.when(F.get(s["k"], i) == "0", x).when(F.get(s["k"], i) == "-", "").otherwise(of_card(s, i)))
+        return F.when(F.exists(s["k"], lambda x: x != "0"), F.array_join(new, "")).otherwise(m)
+
+    def run(g: Column) -> Column:
+        short = F.length(m) <= 37  # 19 digits and a mark between any two
+        short = short & (F.length(F.translate(m, " -", "")) <= 19)
+        return let(F.struct(g.alias("g"), short.alias("short")), lambda x: let(F.struct(x["g"].alias("g"), x["short"].alias("short"), _marks(x["g"], x["short"]).alias("k")), made))
+
+    return let(_groups(m), run)
 
 
 def _phone(m: Column, key: str, forward: bool) -> Column:
