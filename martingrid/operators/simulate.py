@@ -55,6 +55,21 @@ class RunSpec:
             variance = (self.initial_variance, self.reversion, self.long_variance, self.variance_volatility)
             if not all(math.isfinite(x) and x >= 0 for x in variance) or not -1 <= self.correlation <= 1:
                 raise ValueError("variance parameters must be finite and not negative, the correlation within -1 and 1")
+        self._check_constants()
+
+    def _check_constants(self) -> None:
+        """What the kernels multiply by must be finite, and the discount above zero."""
+        dt = self.maturity / self.steps
+        try:
+            found = [dt, self.rate * dt, self.discount]
+            if self.model == "gbm":
+                found += [self.drift, self.diffusion]
+            else:
+                found += [self.reversion * dt * self.long_variance, self.variance_volatility * math.sqrt(dt), math.sqrt(self.initial_variance * dt)]
+        except OverflowError:
+            found = [math.inf]
+        if not all(map(math.isfinite, found)) or dt <= 0 or self.discount <= 0:
+            raise ValueError("a derived constant is not finite, or the discount is zero")
 
     @property
     def drift(self) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martingrid.functions.codec import with_checksum
+from martingrid.functions.scaled import ratio
 
 #: Rejections that do no harm.
 BENIGN = ("Duplicate", "StaleIncarnation", "StaleLease")
@@ -144,6 +145,7 @@ def spec_problem(rows: DataFrame) -> Column:
 
 
 def feller_ratio(kappa: Column, theta: Column, xi: Column) -> Column:
-    """2 * kappa * theta / xi^2 without overflow of the square; infinite for xi 0, NaN for bad parameters."""
+    """2 * kappa * theta / xi^2 with exponents apart, so that no step overflows; infinite for xi 0, NaN for bad parameters."""
     good = _finite(kappa) & _finite(theta) & _finite(xi) & (kappa >= 0) & (theta >= 0) & (xi >= 0)
-    return F.when(~good, float("nan")).when(xi == 0, float("inf")).when((kappa == 0) | (theta == 0), 0.0).otherwise(kappa / xi * 2 * (theta / xi))
+    value = ratio([F.lit(2.0), kappa, theta], [xi, xi])
+    return F.when(~F.coalesce(good, F.lit(False)), float("nan")).when(xi == 0, float("inf")).when((kappa == 0) | (theta == 0), 0.0).otherwise(value)

@@ -215,6 +215,15 @@ def m17_feller_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("p_partkey", ratio.alias("r")).select("p_partkey", F.when(F.col("r") == float("inf"), None).otherwise(F.round("r", 9)).alias("ratio"), (F.col("r") < 1 - 1e-12).alias("warned"))
 
 
+def m16_scaled_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of parameters near the ends of the range, scaled back: plain steps overflow to infinity or lose all digits."""
+    x = F.col("x")
+    rows = _rows(spark, sf_dir, "part").selectExpr("p_partkey", "cast(p_size as double) AS size", "cast(p_retailprice as double) AS price", "cast(p_partkey % 7 + 1 as double) AS x")
+    large = validation.feller_ratio(F.col("size") * 1e300, F.col("price") * 1e-300, x * 1e-10)
+    small = validation.feller_ratio(F.col("size") * 1e-300, F.col("price") * 1e300, x * 1e150)
+    return rows.select("p_partkey", F.round(large / 1e20, 5).alias("large"), F.round(small * 1e300, 5).alias("small"))
+
+
 def a11_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.nearest_rank(_rows(spark, sf_dir, "events"), "event_type", "value")
 
@@ -278,7 +287,7 @@ def x6_payload_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    f7_validate_results, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, a11_latency_percentiles, a13_linear_quantiles,
+    f7_validate_results, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, m16_scaled_ratios, a11_latency_percentiles, a13_linear_quantiles,
     a14_median_deviation, a16_theil_sen, j8_median_slope, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256, f6_universe_problems, f1_spec_check, x7_crc32c, x11_strict_parse,
     j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, u2_uncommitted_ranges, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums, k8_block_records,
 )
@@ -368,6 +377,8 @@ ORACLES = {
     "k1_json_result": """SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","ratio":' || CASE WHEN p_size % 7 = 0 THEN 'null' ELSE printf('%.12f', p_size / 8.0::DOUBLE) END || ',"even":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS document FROM part""",
     "m17_feller_warnings": """SELECT p_partkey, CASE WHEN xi = 0 THEN NULL ELSE round(r, 9) END AS ratio, xi <> 0 AND r < 1 - 1e-12 AS warned FROM (SELECT *, CASE WHEN xi = 0 THEN NULL ELSE kappa / xi * 2 * (theta / xi) END AS r
       FROM (SELECT p_partkey, p_size / 10.0::DOUBLE AS kappa, (p_partkey % 20) / 200.0::DOUBLE AS theta, (p_partkey % 11) / 10.0::DOUBLE AS xi FROM part))""",
+    "m16_scaled_ratios": """SELECT p_partkey, round(r, 5) AS large, round(r, 5) AS small
+      FROM (SELECT p_partkey, 2 * p_size::DOUBLE * p_retailprice::DOUBLE / ((p_partkey % 7 + 1)::DOUBLE * (p_partkey % 7 + 1)) AS r FROM part)""",
     "a11_latency_percentiles": "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events WHERE value <> 0 GROUP BY event_type",
     "a13_linear_quantiles": "SELECT event_type, round(a, 6) AS q25, round(b, 6) AS q50, round(c, 6) AS q75, round(c - a, 6) AS iqr FROM (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM events GROUP BY event_type)",
     "a14_median_deviation": "SELECT event_type, round(median(value), 6) AS median, round(mad(value), 6) AS mad FROM events GROUP BY event_type",
