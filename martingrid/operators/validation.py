@@ -37,22 +37,19 @@ def invariant_error(expected: Column, n: Column, mean: Column, m2: Column, low:
     )
 
 
-def validate_results(results: DataFrame, blocks: DataFrame, committed: DataFrame, run: dict, antithetic: bool = False) -> DataFrame:
-    """``results`` with the columns status, code and benign: the first check that fails, or Accepted.
-
-    ``blocks`` has block_id, start_scenario, end_scenario and lease_epoch, ``committed``
-    block_id and checksum; both have a row per block at most.  ``run`` names the current
-    run_hash, layout_hash, build, incarnation, rng_version and stats_schema.  A null fails
-    its check.  Pairs count once.  The checksum is compared with the digest that is formed
-    here from the statistics, whatever columns the results bring.  Both joins are
-    equi-joins on the block; a block that gets very many results is left to Spark's skew
-    join.
+def screen(results: DataFrame, blocks: DataFrame, run: dict, antithetic: bool = False) -> DataFrame:
+    """``results`` with the column status: the first check that fails of those that need no other result, or Accepted.
+
+    ``blocks`` has block_id, start_scenario, end_scenario and lease_epoch, a row per block
+    at most.  ``run`` names the current run_hash, layout_hash, build, incarnation,
+    rng_version and stats_schema.  A null fails its check.  Pairs count once.  The
+    checksum is compared with the digest that is formed here from the statistics,
+    whatever columns the results bring.  The lease comes last, so StaleLease says that
+    all else is right.  ``results`` may be a stream.
     """
-    names = results.columns
+    names = [c for c in results.columns if c != "status"]
     results = with_checksum(results, "_computed")
     known = blocks.select("block_id", F.col("start_scenario").alias("_start"), F.col("end_scenario").alias("_end"), F.col("lease_epoch").alias("_lease"))
-    done = committed.select("block_id", F.col("checksum").alias("_done"))
-    joined = results.join(known, "block_id", "left").join(done, "block_id", "left")
     c = F.col
     differs = lambda a, b: ~c(a).eqNullSafe(b)
     observed = F.expr("(_end - _start) div 2") if antithetic else c("_end") - c("_start")
@@ -67,13 +64,48 @@ def validate_results(results: DataFrame, blocks: DataFrame, committed: DataFrame
         .when(c("_start").isNull() | differs("start_scenario", c("_start")) | differs("end_scenario", c("_end")), "InvalidBlock")
         .when(wrong.isNotNull(), "InvalidAggregate")
         .when(c("checksum").isNull() | differs("checksum", c("_computed")), "CorruptPayload")
-        .when(c("_done") == c("checksum"), "Duplicate")
-        .when(c("_done").isNotNull(), "DeterminismError")
         .when(differs("lease_epoch", c("_lease")), "StaleLease")
         .otherwise("Accepted")
     )
-    code = F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_CODES.items() for x in pair]), c("status"))
-    return joined.withColumn("status", status).select(*names, "status", code.alias("code"), c("status").isin(*BENIGN).alias("benign"))
+    return results.join(known, "block_id", "left").select(*names, status.alias("status"))
+
+
+def against(status: Column, checksum: Column, done: Column) -> Column:
+    """The status of a screened result whose block has the contribution ``done``, or none (null)."""
+    return F.when(~status.isin("Accepted", "StaleLease") | done.isNull(), status).when(done == checksum, "Duplicate").otherwise("DeterminismError")
+
+
+def with_code(judged: DataFrame) -> DataFrame:
+    """The number of a status, and whether it is a rejection that does no harm."""
+    codes = F.create_map(*[F.lit(x) for pair in STATUS_CODES.items() for x in pair])
+    return judged.select("*", F.element_at(codes, F.col("status")).alias("code"), F.col("status").isin(*BENIGN).alias("benign"))
+
+
+def validate_results(results: DataFrame, blocks: DataFrame, committed: DataFrame, run: dict, antithetic: bool = False) -> DataFrame:
+    """``results`` with the columns status, code and benign: the first check that fails, or Accepted (see ``screen``).
+
+    ``committed`` has block_id and checksum, a row per block at most.  Results are not
+    compared with one another.  Both joins are equi-joins on the block; a block that gets
+    very many results is left to Spark's skew join.
+    """
+    done = committed.select("block_id", F.col("checksum").alias("_done"))
+    joined = screen(results, blocks, run, antithetic).join(done, "block_id", "left")
+    return with_code(joined.withColumn("status", against(F.col("status"), F.col("checksum"), F.col("_done"))).drop("_done"))
+
+
+def judge_arrivals(results: DataFrame, blocks: DataFrame, committed: DataFrame, run: dict, antithetic: bool = False) -> DataFrame:
+    """``validate_results`` of results that arrive one after another: a block's first good one is accepted, later ones are held against it.
+
+    ``results`` also has arrival, a number that no two results of a block share.  The
+    first good arrival of each block is found by an aggregate that combines before the
+    shuffle, so a block with very many results costs no more than others.
+    """
+    screened = screen(results, blocks, run, antithetic)
+    first = screened.where("status = 'Accepted'").groupBy("block_id").agg(F.min("arrival").alias("_at"), F.min_by("checksum", "arrival").alias("_first"))
+    done = committed.select("block_id", F.col("checksum").alias("_done"))
+    joined = screened.join(first, "block_id", "left").join(done, "block_id", "left")
+    before = F.coalesce(F.col("_done"), F.when(F.col("arrival") > F.col("_at"), F.col("_first")))
+    return with_code(joined.withColumn("status", against(F.col("status"), F.col("checksum"), before)).drop("_at", "_first", "_done"))
 
 
 def missing_blocks(blocks: DataFrame, committed: DataFrame) -> DataFrame:

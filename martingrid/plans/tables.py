@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from martingrid.functions import codec, heston, ieee, parse
 from martingrid.operators import gate, manifests, scan, validation
 from martingrid.sources import documents, records, shared
+from martingrid.streaming import arrivals
 
 RUN = {"run_hash": "run", "layout_hash": "layout", "build": "build", "incarnation": 2, "rng_version": 2, "stats_schema": 1}
 #: A block for each order key; the last fiftieth of them is outside the universe.
@@ -50,6 +51,35 @@ def f7_validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.validate_results(results, universe, done, RUN).select("result_id", "block_id", "status", "code", "benign")
 
 
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each result four times: some with other statistics, an old lease or another digest than before."""
+    d = F.col("result_id") + F.col("arrival")
+    sent = _results(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("arrival"))
+    moved = sent.withColumn("max", F.col("max") + F.when(d % 5 == 0, 1.0).otherwise(0.0)).withColumn("lease_epoch", F.when(d % 4 == 1, 0).otherwise(F.col("lease_epoch")))
+    right = F.when(d % 11 == 0, "bad").when(F.col("checksum").isNull() | (F.col("checksum") == "bad"), F.col("checksum")).otherwise(F.col("digest"))
+    return codec.with_checksum(moved, "digest").withColumn("checksum", right).drop("digest")
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every seventh block has contributed: its result, or for some another digest."""
+    return codec.with_checksum(_results(spark, sf_dir)).where("block_id % 7 = 0").selectExpr("block_id", "if(block_id % 53 = 0, 'other', checksum) AS checksum").where("checksum is not null")
+
+
+def f7_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = validation.judge_arrivals(_deliveries(spark, sf_dir), _universe(spark, sf_dir), _committed(spark, sf_dir), RUN)
+    return judged.select("result_id", "arrival", "status", "code", "benign")
+
+
+def e7_result_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deliveries as a stream of files, one delivery after another, three files a micro-batch."""
+    folder, sent = f"{shared.shared_root(spark)}/stream-{uuid.uuid4().hex}", _deliveries(spark, sf_dir)
+    for k in range(4):
+        sent.where(F.col("arrival") == k).repartition(4, "block_id").write.mode("append").parquet(f"{folder}/sent")
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/sent")
+    judged = arrivals.judge_stream(stream, _universe(spark, sf_dir), _committed(spark, sf_dir), RUN)
+    return arrivals.run_to_end(judged, folder).select("result_id", "arrival", "status", "code", "benign")
+
+
 def f4_invariant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = validation.invariant_error(F.lit(100), *[F.col(c) for c in ("n", "mean", "m2", "min", "max")])
     return _results(spark, sf_dir).select("result_id", wrong.alias("reason"))
@@ -287,7 +317,7 @@ def x6_payload_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    f7_validate_results, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, m16_scaled_ratios, a11_latency_percentiles, a13_linear_quantiles,
+    f7_validate_results, f7_arrivals, e7_result_stream, f4_invariant_check, j3_missing_blocks, j5_orphan_results, f6_universe_gaps, m17_feller_warnings, m16_scaled_ratios, a11_latency_percentiles, a13_linear_quantiles,
     a14_median_deviation, a16_theil_sen, j8_median_slope, a17_order_effect, x16_speedup, o1_latest_manifest, x6_payload_sha256, f6_universe_problems, f1_spec_check, x7_crc32c, x11_strict_parse,
     j7_paired_runs, x15_throughput_loss, a18_gate_decision, o2_canonical_ids, u1_covered_once, u2_uncommitted_ranges, w6_commits_since_checkpoint, k1_json_result, m15_heston_prices, x8_result_checksums, k8_block_records,
 )
@@ -337,7 +367,20 @@ _X8 = f"""SELECT l_orderkey, n, sha256(unhex('{struct.pack("<II", 1, codec.STATS
       FROM (SELECT l_orderkey, n, s::DOUBLE / n AS mean, (n * ss - s * s)::DOUBLE / n AS m2, low, high FROM (SELECT l_orderkey, count(q) AS n, sum(q)::BIGINT AS s, sum(q * q)::BIGINT AS ss, min(q)::DOUBLE AS low, max(q)::DOUBLE AS high FROM (SELECT l_orderkey, l_quantity::BIGINT AS q FROM lineitem) GROUP BY l_orderkey)))"""
 _INVARIANT = "CASE WHEN n IS DISTINCT FROM 100 THEN 'count' WHEN m2 < 0 THEN 'm2' WHEN min > max THEN 'range' WHEN mean < min OR mean > max THEN 'mean' END"
 _WRONG = _INVARIANT
+#: Deliveries; their digests are told apart by the statistics that they are formed from, and from the committed ones.
+_ARRIVALS = f"""WITH d AS (SELECT * EXCLUDE (max, lease_epoch, checksum), max + CASE WHEN (result_id + arrival) % 5 = 0 THEN 1 ELSE 0 END AS max, CASE WHEN (result_id + arrival) % 4 = 1 THEN 0 ELSE lease_epoch END AS lease_epoch,
+        CASE WHEN (result_id + arrival) % 11 = 0 THEN 'bad' ELSE checksum END AS checksum, (result_id + arrival) % 5 = 0 AS variant FROM ({RESULTS}) r, range(4) t(arrival)),
+      s AS (SELECT *, CASE WHEN run_hash IS DISTINCT FROM 'run' THEN 'InvalidRun' WHEN layout_hash <> 'layout' THEN 'ExecutionLayoutMismatch' WHEN build <> 'build' THEN 'BuildMismatch'
+        WHEN incarnation <> 2 THEN 'StaleIncarnation' WHEN rng_version <> 2 THEN 'RngVersionMismatch' WHEN stats_schema <> 1 THEN 'StatsSchemaMismatch'
+        WHEN block_id >= {UNIVERSE_SQL} OR start_scenario <> block_id * 100 THEN 'InvalidBlock' WHEN ({_WRONG}) IS NOT NULL THEN 'InvalidAggregate'
+        WHEN checksum IS DISTINCT FROM 'right' THEN 'CorruptPayload' WHEN lease_epoch IS DISTINCT FROM 1 THEN 'StaleLease' ELSE 'Accepted' END AS alone FROM d),
+      w AS (SELECT *, CASE WHEN block_id % 7 = 0 AND n IS NOT NULL THEN CASE WHEN block_id % 53 = 0 THEN 'other' ELSE 'false' END
+        ELSE first_value(CASE WHEN alone = 'Accepted' THEN variant::VARCHAR END IGNORE NULLS) OVER (PARTITION BY block_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS done FROM s)
+      SELECT result_id, arrival, status, list_position({list(validation.STATUS_CODES)}, status) - 1 AS code, status IN ('Duplicate', 'StaleIncarnation', 'StaleLease') AS benign FROM (SELECT *,
+        CASE WHEN alone NOT IN ('Accepted', 'StaleLease') OR done IS NULL THEN alone WHEN done = variant::VARCHAR THEN 'Duplicate' ELSE 'DeterminismError' END AS status FROM w)"""
 ORACLES = {
+    "f7_arrivals": _ARRIVALS,
+    "e7_result_stream": _ARRIVALS,
     "f7_validate_results": f"""SELECT result_id, block_id, status, list_position({list(validation.STATUS_CODES)}, status) - 1 AS code, status IN ('Duplicate', 'StaleIncarnation', 'StaleLease') AS benign FROM (SELECT *, CASE
       WHEN run_hash IS DISTINCT FROM 'run' THEN 'InvalidRun' WHEN layout_hash <> 'layout' THEN 'ExecutionLayoutMismatch' WHEN build <> 'build' THEN 'BuildMismatch'
       WHEN incarnation <> 2 THEN 'StaleIncarnation' WHEN rng_version <> 2 THEN 'RngVersionMismatch' WHEN stats_schema <> 1 THEN 'StatsSchemaMismatch'
