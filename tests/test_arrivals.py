@@ -66,3 +66,16 @@ def test_null_arrival_raises(spark, tmp_path):
     stream = spark.readStream.schema(results.schema).parquet(f"{tmp_path}/sent")
     with pytest.raises(Exception, match="no arrival number"):
         arrivals.run_to_end(arrivals.judge_stream(stream, blocks, committed, RUN), str(tmp_path))
+
+
+def test_state_is_pages_of_blocks(spark, tmp_path):
+    """2,500 blocks are three keys of state, not one each; only the columns asked for are given."""
+    rows = spark.range(2_500).selectExpr("id as block_id", "id * 10 as start_scenario", "id * 10 + 10 as end_scenario", "1 as lease_epoch", "'r' as run_hash", "'l' as layout_hash", "'b' as build", "2 as incarnation", "2 as rng_version", "1 as stats_schema", "10L as n", "1D as mean", "1D as m2", "0D as min", "2D as max", "0L as arrival")
+    codec.with_checksum(rows).coalesce(1).write.parquet(f"{tmp_path}/sent")
+    stored = spark.read.parquet(f"{tmp_path}/sent")
+    blocks, committed = spark.range(2_500).selectExpr("id as block_id", "id * 10 as start_scenario", "id * 10 + 10 as end_scenario", "1 as lease_epoch"), stored.where("block_id % 5 = 0").selectExpr("block_id", "if(block_id % 2 = 0, checksum, 'other') as checksum")
+    stream = spark.readStream.schema(stored.schema).parquet(f"{tmp_path}/sent")
+    got = arrivals.run_to_end(arrivals.judge_stream(stream, blocks, committed, RUN, columns=["block_id"]), str(tmp_path))
+    assert got.columns == ["block_id", "status", "code", "benign"]
+    assert {r["status"]: r["count"] for r in got.groupBy("status").count().collect()} == {"Accepted": 2_000, "Duplicate": 250, "DeterminismError": 250}
+    assert spark.read.format("statestore").option("stateVarName", "page").load(f"{tmp_path}/progress").count() == 3
