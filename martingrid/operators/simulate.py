@@ -84,10 +84,10 @@ class RunSpec:
         return math.exp(-self.rate * self.maturity)
 
 
-def blocks(spark: SparkSession, spec: RunSpec) -> DataFrame:
-    """(block_id, start_scenario, end_scenario): contiguous ranges that cover all scenarios."""
+def blocks(spark: SparkSession, spec: RunSpec, low: int = 0, high: int | None = None) -> DataFrame:
+    """(block_id, start_scenario, end_scenario): contiguous ranges that cover all scenarios, or those of the ids from ``low`` and below ``high``."""
     n = -(-spec.scenarios // spec.block_size)
-    return spark.range(n).select(
+    return spark.range(low, n if high is None else min(n, high)).select(
         F.col("id").alias("block_id"),
         (F.col("id") * spec.block_size).alias("start_scenario"),
         F.least((F.col("id") + 1) * spec.block_size, F.lit(spec.scenarios)).alias("end_scenario"),

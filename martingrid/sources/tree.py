@@ -6,6 +6,7 @@ and the nodes that they complete: the inner ones of its own blocks, formed in ta
 ``2^CHUNK`` neighbouring blocks, and about one a level above, formed on the driver from
 their children, which are looked up by level and position.  So a commit of b blocks
 writes 2 b + log n rows, whatever was there before, and the last one writes the root.
+One job writes several commits; each has the nodes that are complete once it is there.
 A level's odd last node goes up as it is, so positions, and with them all bits of the
 result, are those of the tree over all leaves at once.
 """
@@ -16,7 +17,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from martingrid.functions.codec import with_checksum
@@ -26,6 +27,7 @@ from martingrid.operators.simulate import merge_stats
 CHUNK = 10
 VALUES = ("n", "mean", "m2", "min", "max")
 NODE = "level int, position long, n long, mean double, m2 double, min double, max double"
+_OWNED = f"{NODE}, sequence long"
 _NAMES = [x.split()[0] for x in NODE.split(", ")]
 
 
@@ -56,51 +58,73 @@ def grown(known: dict, fresh: set, n_blocks: int, top: int) -> list[tuple[int, i
     return made
 
 
+def _claimed(made: list[tuple[int, int]], owner: dict) -> None:
+    """Adds inner nodes, lower levels first, to ``owner``: a node is of the latest commit that brought something under it."""
+    for level, p in made:
+        owner[level, p] = max(owner.get((level - 1, 2 * p), 0), owner.get((level - 1, 2 * p + 1), 0))
+
+
 def _chunks(rows: DataFrame, n_blocks: int, top: int) -> DataFrame:
-    """Fresh leaves, and the nodes within chunks that they complete; rows have the columns of nodes and ``fresh``."""
+    """Fresh leaves, and the nodes within chunks that they complete; rows have the columns of nodes and ``sequence``, 0 for what was there before."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         known = {(int(k), int(p)): tuple(v) for k, p, *v in part[_NAMES].itertuples(index=False, name=None)}
-        new = {(int(k), int(p)) for k, p in part.loc[part["fresh"], ["level", "position"]].itertuples(index=False, name=None)}
-        made = [*sorted(new), *grown(known, new, n_blocks, top)]
-        return pd.DataFrame([(*at, *known[at]) for at in made], columns=_NAMES)
+        owner = {(int(k), int(p)): int(s) for k, p, s in part.loc[part["sequence"] > 0, ["level", "position", "sequence"]].itertuples(index=False, name=None)}
+        leaves = sorted(owner)
+        made = grown(known, set(owner), n_blocks, top)
+        _claimed(made, owner)
+        return pd.DataFrame([(*at, *known[at], owner[at]) for at in (*leaves, *made)], columns=[*_NAMES, "sequence"])
 
     chunk = F.expr(f"position >> ({CHUNK} - level)").alias("chunk")
-    return rows.groupBy(chunk).applyInPandas(run, NODE)
+    return rows.groupBy(chunk).applyInPandas(run, _OWNED)
 
 
 def _read(spark: SparkSession, folder: str, sequences: list[int]) -> DataFrame:
-    """The nodes that the given commits added."""
+    """The nodes that the given commits added, with their sequence."""
     if not sequences:
-        return spark.createDataFrame([], NODE)
-    return spark.read.schema(NODE).parquet(*[f"{folder}/tree/sequence={s}" for s in sequences])
+        return spark.createDataFrame([], _OWNED)
+    return spark.read.schema(_OWNED).option("basePath", f"{folder}/tree").parquet(*[f"{folder}/tree/sequence={s}" for s in sequences])
 
 
 def add(spark: SparkSession, folder: str, sequence: int, leaves: DataFrame, n_blocks: int, before: list[int]) -> None:
     """Writes what a commit adds: ``leaves`` (block_id and statistics) and the nodes that they complete with those of the commits ``before``."""
-    path, top, inner = f"{folder}/tree/sequence={sequence}", height(n_blocks), min(CHUNK, height(n_blocks))
-    ends = leaves.agg(F.min("block_id"), F.max("block_id")).first()
-    if ends[0] is None:
-        spark.createDataFrame([], NODE).write.mode("overwrite").parquet(path)
-        return
-    old = _read(spark, folder, before)
-    low, high = ends[0] >> CHUNK, ends[1] >> CHUNK
-    near = old.where(f"level <= {inner}").where(F.expr(f"position >> ({CHUNK} - level)").between(low, high))
-    rows = leaves.select(F.lit(0).alias("level"), F.col("block_id").alias("position"), *VALUES, F.lit(True).alias("fresh")).unionByName(near.withColumn("fresh", F.lit(False)))
-    _chunks(rows, n_blocks, inner).write.mode("overwrite").parquet(path)
+    add_each(spark, folder, leaves.withColumn("sequence", F.lit(sequence)), n_blocks, before, before)
+
+
+def add_each(spark: SparkSession, folder: str, leaves: DataFrame, n_blocks: int, near: list[int], above: list[int]) -> set[int]:
+    """Writes what several commits add, in the order of the column ``sequence`` of ``leaves``; gives those that add nodes above the chunks.
+
+    Of earlier commits only those named are read: ``near`` for nodes within the chunks
+    of these leaves, ``above`` for nodes from the chunks' tops on.
+    """
+    top, inner = height(n_blocks), min(CHUNK, height(n_blocks))
+    low, high, first, last = leaves.agg(F.min("block_id"), F.max("block_id"), F.min("sequence"), F.max("sequence")).first()
+    if low is None:
+        return set()
+    low, high, cores = low >> CHUNK, high >> CHUNK, spark.sparkContext.defaultParallelism
+    within = _read(spark, folder, near).where(f"level <= {inner}").where(F.expr(f"position >> ({CHUNK} - level)").between(low, high))
+    fresh = leaves.select(F.lit(0).alias("level"), F.col("block_id").alias("position"), *VALUES, F.col("sequence").cast("long"))
+    rows = fresh.unionByName(within.withColumn("sequence", F.lit(0).cast("long")))
+    tasks = min(cores, last - first + 1)
+    written = _chunks(rows, n_blocks, inner).repartition(tasks, "sequence").write.partitionBy("sequence").option("partitionOverwriteMode", "dynamic")
+    written.mode("overwrite").parquet(f"{folder}/tree")  # without its head, what is there does not count
     if top <= CHUNK:
-        return
-    fresh = _known(spark.read.schema(NODE).parquet(path).where(f"level = {CHUNK}"))  # a node for 1,024 blocks of the commit
+        return set()
+    own = [r[0] for r in leaves.select(F.col("sequence").cast("long")).distinct().orderBy("sequence").collect()]
+    tops = _read(spark, folder, own).where(f"level = {CHUNK}").collect()  # a node for 1,024 blocks
+    owner = {(r.level, r.position): r.sequence for r in tops}
     # positions beside the fresh nodes and their ancestors: what may complete them
     wanted = [(F.col("level") == k) & F.col("position").between((low >> (k - CHUNK)) - 1, (high >> (k - CHUNK)) + 1) for k in range(CHUNK, top + 1)]
-    known = _known(old.where(reduce(or_, wanted))) | fresh
-    made = grown(known, set(fresh), n_blocks, top)
+    known = _known(_read(spark, folder, above).where(reduce(or_, wanted)).collect()) | _known(tops)
+    made = grown(known, set(owner), n_blocks, top)
+    _claimed(made, owner)
     if made:
-        spark.createDataFrame([(*at, *known[at]) for at in made], NODE).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame([(*at, *known[at], owner[at]) for at in made], _OWNED).coalesce(1).write.partitionBy("sequence").mode("append").parquet(f"{folder}/tree")
+    return set(owner.values())
 
 
-def _known(nodes: DataFrame) -> dict:
-    return {(r.level, r.position): tuple(r[c] for c in VALUES) for r in nodes.collect()}
+def _known(nodes: list[Row]) -> dict:
+    return {(r.level, r.position): tuple(r[c] for c in VALUES) for r in nodes}
 
 
 def root(spark: SparkSession, folder: str, sequences: list[int], n_blocks: int) -> tuple | None:
@@ -115,7 +139,7 @@ def from_leaves(spark: SparkSession, leaves: DataFrame, n_blocks: int) -> DataFr
     rows = leaves.select(F.lit(0).alias("level"), F.col("block_id").alias("position"), *VALUES)
     while True:
         inner = min(CHUNK, height(size))
-        made = _chunks(rows.withColumn("fresh", F.lit(True)), size, inner)
+        made = _chunks(rows.withColumn("sequence", F.lit(1).cast("long")), size, inner).drop("sequence")
         parts.append(made.where("level > 0" if level else "level >= 0").withColumn("level", F.col("level") + level))
         if height(size) <= CHUNK:
             break

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from martingrid.operators.simulate import RunSpec, block_stats, merge_stats, price, reduce_blocks
@@ -66,3 +67,36 @@ def test_runs_recover_from_damage_of_any_part(spark, tmp_path):
     head = runs.latest_valid(spark, folder, 8)
     assert (head.sequence, head.base, head.added, head.status) == (sequence, 0, 8, "Completed")
     assert runs.run_durable(spark, spec, folder, 2).first().computed == 0
+
+
+def test_small_batches_share_their_jobs(spark, tmp_path):
+    spec, sc, took = RunSpec(seed=8, scenarios=4_000, block_size=100), spark.sparkContext, {}
+    for batches in (4, 40):
+        sc.setJobGroup(f"batches-{batches}", "")
+        runs.run_durable(spark, spec, str(tmp_path / str(batches)), 40 // batches)
+        took[batches] = len(sc.statusTracker().getJobIdsForGroup(f"batches-{batches}"))
+    sc.setJobGroup("others", "")
+    assert [h.added for h in runs.heads(spark, str(tmp_path / "40"))] == [0, *[1] * 40, 0]
+    assert took[40] < 2 * took[4]
+
+
+def test_manifests_of_one_wave_hold_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "CHUNK", 2)
+    monkeypatch.setattr(runs, "WAVE_BATCHES", 4)
+    spec, folder = RunSpec(seed=8, scenarios=2_900, block_size=100), str(tmp_path / "run")
+    done = runs.run_durable(spark, spec, folder, 3).first()
+    assert (done.status, done.computed, done["mean"]) == ("Completed", 29, price(spark, spec).first()["price"])
+    known = runs.heads(spark, folder)
+    assert [h.committed for h in known] == [29, 29, *range(27, -1, -3)]
+    assert all(runs.is_valid(spark, folder, h, 29, known) for h in known if h.sequence in (4, 8, 12))
+
+
+def test_a_bad_block_fails_the_run_after_the_batches_before_it(spark, tmp_path, monkeypatch):
+    right = runs.validate_results
+    spoilt = lambda *a: right(*a).withColumn("status", F.when(F.col("block_id") == 5, "DeterminismError").otherwise(F.col("status"))).withColumn("benign", F.lit(False))
+    monkeypatch.setattr(runs, "validate_results", spoilt)
+    spec, folder = RunSpec(seed=8, scenarios=1_000, block_size=125), str(tmp_path / "run")
+    for _ in range(2):
+        with pytest.raises(runs.RunError, match="block 5: DeterminismError"):
+            runs.run_durable(spark, spec, folder, 2)
+        assert [(h.status, h.committed) for h in runs.heads(spark, folder)] == [("Failed", 4), ("Running", 4), ("Running", 2), ("Running", 0)]
