@@ -52,17 +52,17 @@ def aggregate_payload(n: int, mean: float, m2: float, low: float, high: float) -
     return np.array([(1, STATS, n, mean, m2, low, high)], dtype=_AGGREGATE).tobytes()
 
 
-def aggregate_bytes(n: Column, *values: Column) -> Column:
-    """The 48 bytes of a block's statistics as a binary column, in Spark expressions; null where one of them is."""
-    head = F.lit(struct.pack("<II", 1, STATS).hex().upper())
-    return F.unhex(F.concat(head, ieee.little_endian(n), *[ieee.little_endian(ieee.double_bits(x)) for x in values]))
-
-
 def with_checksum(stats: DataFrame, name: str = "checksum") -> DataFrame:
-    """``stats`` (n, mean, m2, min, max, ...) with the digest of their canonical bytes, lowercase hex; null where one of them is."""
+    """``stats`` (n, mean, m2, min, max, ...) with the digest of their canonical 48 bytes, lowercase hex; null where one of them is.
+
+    Filters on other columns do not move in front of the digest: apply them to ``stats``.
+    """
     rest = [c for c in stats.columns if c != name]
-    data = aggregate_bytes(F.col("n"), *[F.col(c).cast("double") for c in ("mean", "m2", "min", "max")])
-    return stats.select(*rest, F.sha2(data, 256).alias(name))
+    values = ("mean", "m2", "min", "max")
+    bits = stats.select(*rest, *[ieee.double_bits(F.col(c)).alias(f"_bits_of_{c}") for c in values])
+    head = F.lit(struct.pack("<II", 1, STATS).hex().upper())
+    data = F.unhex(F.concat(head, *[ieee.little_endian(F.col(c)) for c in ("n", *[f"_bits_of_{c}" for c in values])]))
+    return bits.select(*rest, F.sha2(data, 256).alias(name))
 
 
 def crc_table() -> list[int]:

@@ -7,37 +7,24 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the format: bits of the fraction, and what is added to exponents.
 FRACTION, BIAS = 52, 1023
-#: The bits of every NaN here: quiet, positive, no payload.
-NAN_BITS = 0x7FF << FRACTION | 1 << (FRACTION - 1)
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-def _magnitude(a: Column) -> Column:
-    """Bits of a finite number that is not negative."""
-
-    def normal(e: Column) -> Column:
-        # the logarithm may be off by one next to powers of two
-        exact = _let(a / F.pow(F.lit(2.0), e), lambda m: F.when(m >= 2, F.struct((m / 2).alias("m"), (e + 1).alias("e"))).when(m < 1, F.struct((m * 2).alias("m"), (e - 1).alias("e"))).otherwise(F.struct(m.alias("m"), e.alias("e"))))
-        return _let(exact, lambda x: F.shiftleft((x["e"] + BIAS).cast("long"), FRACTION) + ((x["m"] - 1) * float(1 << FRACTION)).cast("long"))
+def double_bits(x: Column) -> Column:
+    """The bits of a double as a long; -0 has its sign, every NaN the same bits (quiet, positive, no payload), null stays null.
 
-    tiny = 2.0 ** (1 - BIAS)  # below it numbers are whole multiples of the smallest one
-    small = (a * 2.0**537 * 2.0**537).cast("long")
-    return F.when(a < tiny, small).otherwise(normal(F.least(F.greatest(F.floor(F.log2(a)), F.lit(1 - BIAS)), F.lit(BIAS)).cast("double")))
+    Spark takes the call for not deterministic and forms it wherever it is named: name
+    it once in a select, and read that column.
+    """
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x.cast("double"))
+    return F.when(x.isNotNull(), bits.cast("long"))
 
 
-def double_bits(x: Column) -> Column:
-    """The bits of a double as a long; -0 has its sign, every NaN the same bits, null stays null."""
-    # only the text of a zero tells its sign: comparisons do not, and Spark's atan2 adds 0 first
-    negative = (x < 0) | (x == 0) & x.cast("string").startswith("-")
-    sign = F.when(negative, F.shiftleft(F.lit(1).cast("long"), 63)).otherwise(F.lit(0).cast("long"))
-    size = F.when(F.abs(x) == float("inf"), F.lit(0x7FF << FRACTION)).otherwise(_magnitude(F.abs(x)))
-    return F.when(x.isNull(), F.lit(None).cast("long")).when(F.isnan(x), F.lit(NAN_BITS)).otherwise(size.bitwiseOR(sign))
+def little_endian(n: Column, size: int = 8) -> Column:
+    """The lowest ``size`` bytes of a long, the lowest first, as hexadecimal digits; ``n`` is read several times."""
 
+    def swapped(x: Column, bits: int, mask: int) -> Column:
+        return F.shiftleft(x.bitwiseAND(F.lit(mask)), bits).bitwiseOR(F.shiftrightunsigned(x, bits).bitwiseAND(F.lit(mask)))
 
-def little_endian(n: Column, size: int = 8) -> Column:
-    """The lowest ``size`` bytes of a long, the lowest first, as hexadecimal digits."""
-    digits = F.lpad(F.hex(n.cast("long")), 16, "0")
-    return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)])
+    halves = swapped(swapped(n.cast("long"), 8, 0x00FF00FF00FF00FF), 16, 0x0000FFFF0000FFFF)
+    digits = F.lpad(F.hex(F.shiftleft(halves, 32).bitwiseOR(F.shiftrightunsigned(halves, 32))), 16, "0")
+    return digits if size == 8 else F.substring(digits, 1, 2 * size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martingrid.functions import codec, heston, ieee, parse
@@ -33,10 +33,14 @@ def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _results(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
-    """The results of ``only`` some orders, or all, whose checksum is the digest of their statistics where the text says that it is right."""
+def _digested(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+    """The results of ``only`` some orders, or all, with the digest of their statistics, which is their checksum where the text says that it is right."""
     rows = spark.sql(RESULTS.replace("FROM orders", "FROM {orders}"), orders=_rows(spark, sf_dir, "orders").where(only))
-    return codec.with_checksum(rows, "digest").withColumn("checksum", F.when(F.col("checksum") == "right", F.col("digest")).otherwise(F.col("checksum"))).drop("digest")
+    return codec.with_checksum(rows, "digest").withColumn("checksum", F.when(F.col("checksum") == "right", F.col("digest")).otherwise(F.col("checksum")))
+
+
+def _results(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+    return _digested(spark, sf_dir, only).drop("digest")
 
 
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,17 +55,20 @@ def f7_validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.validate_results(results, universe, done, RUN).select("result_id", "block_id", "status", "code", "benign")
 
 
-def _delivered(sent: DataFrame) -> DataFrame:
-    """Results as they are at their arrival: some with other statistics, an old lease or another digest than before."""
+def _delivered(spark: SparkSession, sf_dir: str, arrival: Column) -> DataFrame:
+    """Each result at its arrivals: some with other statistics, an old lease or another digest than before; both digests are formed ahead of them."""
     d = F.col("result_id") + F.col("arrival")
-    moved = sent.withColumn("max", F.col("max") + F.when(d % 5 == 0, 1.0).otherwise(0.0)).withColumn("lease_epoch", F.when(d % 4 == 1, 0).otherwise(F.col("lease_epoch")))
-    right = F.when(d % 11 == 0, "bad").when(F.col("checksum").isNull() | (F.col("checksum") == "bad"), F.col("checksum")).otherwise(F.col("digest"))
-    return codec.with_checksum(moved, "digest").withColumn("checksum", right).drop("digest")
+    plain = _digested(spark, sf_dir).withColumn("_max", F.col("max")).withColumn("max", F.col("_max") + 1.0)
+    sent = codec.with_checksum(plain, "_moved").select("*", arrival.alias("arrival"))
+    digest = F.when(d % 5 == 0, F.col("_moved")).otherwise(F.col("digest"))
+    right = F.when(d % 11 == 0, "bad").when(F.col("checksum").isNull() | (F.col("checksum") == "bad"), F.col("checksum")).otherwise(digest)
+    made = {"checksum": right, "max": F.when(d % 5 == 0, F.col("max")).otherwise(F.col("_max")), "lease_epoch": F.when(d % 4 == 1, 0).otherwise(F.col("lease_epoch"))}
+    return sent.withColumns(made).drop("digest", "_moved", "_max")
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each result four times."""
-    return _delivered(_results(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("arrival")))
+    return _delivered(spark, sf_dir, F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])))
 
 
 def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +83,9 @@ def f7_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e7_result_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same deliveries as a stream of files, one delivery after another, three files a micro-batch."""
-    folder, results = f"{shared.shared_root(spark)}/stream-{uuid.uuid4().hex}", _results(spark, sf_dir)
+    folder = f"{shared.shared_root(spark)}/stream-{uuid.uuid4().hex}"
     for k in range(4):
-        sent = _delivered(results.withColumn("arrival", F.lit(k).cast("long")))
+        sent = _delivered(spark, sf_dir, F.lit(k).cast("long"))
         sent.repartition(4, "block_id").write.mode("append").parquet(f"{folder}/sent")
     stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/sent")
     judged = arrivals.judge_stream(stream, _universe(spark, sf_dir), _committed(spark, sf_dir), RUN, columns=["result_id", "arrival"])

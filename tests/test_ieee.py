@@ -26,3 +26,9 @@ def test_checksums_are_those_of_the_packed_bytes(spark):
     rows = [(2048, 10.5, 3.25e5, 0.0, 99.0), (1, -0.0, 0.0, 5e-324, 1e308), (7, None, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0, 1.0)]
     got = [r.checksum for r in codec.with_checksum(spark.createDataFrame(rows, "n long, mean double, m2 double, min double, max double")).collect()]
     assert got == [None if None in r else hashlib.sha256(codec.aggregate_payload(*r)).hexdigest() for r in rows]
+
+
+def test_checksums_form_no_lambdas_and_each_double_once(spark):
+    """Lambdas are interpreted: a digest took about 100 us that way."""
+    plan = codec.with_checksum(spark.range(3).selectExpr("id as n", "1D as mean", "id / 7 as m2", "0D as min", "id * 1D as max"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "transform(" not in plan and plan.count("doubleToLongBits") <= 4
